@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, shard
+from . import bpe, jaccard, shard, suffix_dedup
 
 QUERIES = {
+    "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_bpe_encoding": bpe.op3_bpe_encoding,
     "op6_sharding": shard.op6_sharding,
+    "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
 }
 
 SQL = {
+    "op2_ngram_jaccard_join": jaccard.SQL,
     "op6_sharding": shard.SQL,
+    "op9_suffix_array_dedup": suffix_dedup.SQL,
 }

@@ -40,9 +40,11 @@ from .exchange import bucket_of, pack, run_starts, scatter, unpack_all
 from .rindex import RunLengthIndex
 
 U = np.uint64
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Undecided regions of one anchor above which they are dealt by whole windows.
 HOT = 20_000
+#: Index tasks for each document bucket.
+FINER = 6
 #: Windows are cut into new regions at multiples of this offset.
 LONGEST = 1024
 #: anchor, region, document, row mark, first window, windows
@@ -172,9 +174,10 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
         return frame(rows, ["bucket", "cuts", "open"])
 
     def fetch(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(b), c, None, None) for b, c in zip(part["bucket"], part["cuts"], strict=True) if c is not None]
+        own = int((texts if len(texts) else part)["bucket"].iloc[0])
+        rows = [(own * FINER, own, c, None, None) for c in part["cuts"] if c is not None]
         _, doc, mark, first, windows, anchor, hot = unpack_all([x for x in part["open"] if x is not None], OPEN)
-        names = ["bucket", "cuts", "pieces", "bytes"]
+        names = ["task", "bucket", "cuts", "pieces", "bytes"]
         if not len(doc) or not len(texts):
             return frame(rows, names)
         texts = texts.sort_values("doc_id", kind="stable")
@@ -197,7 +200,7 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
             alone = hot == 1
             anchor = anchor.copy()
             anchor[alone] = tx.span_hash(tx.prefix_hash(data), begin[alone], begin[alone] + length)
-        bucket = bucket_of(anchor, buckets)
+        bucket = bucket_of(anchor, FINER * buckets)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
         sizes = windows.astype(np.int64) + length - 1
@@ -206,12 +209,11 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
             pick = order[i:j]
             reach = sizes[pick]
             where = np.repeat(begin[pick] - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
-            rows.append((int(bucket[i]), None, pack([np.zeros(j - i, U), doc[pick], mark[pick], first[pick], windows[pick]]), data[where].tobytes()))
+            rows.append((int(bucket[i]), None, None, pack([np.zeros(j - i, U), doc[pick], mark[pick], first[pick], windows[pick]]), data[where].tobytes()))
         return frame(rows, names)
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(part["bucket"].iloc[0])
-        rows = [(bucket, c) for c in part["cuts"] if c is not None]
+        rows = [(int(b), c) for b, c in zip(part["bucket"], part["cuts"], strict=True) if c is not None]
         has = part[part["pieces"].notna()]
         if len(has):
             _, doc, mark, first, windows = unpack_all(list(has["pieces"]), PIECE)
@@ -252,8 +254,10 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
     sent = known.mapInArrow(gather, "bucket int, entries binary, cuts binary")
     decided = sent.groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary, open binary")
     dealt = with_bucket(known, buckets)
-    fetched = dealt.groupBy("bucket").cogroup(decided.groupBy("bucket")).applyInPandas(fetch, "bucket int, cuts binary, pieces binary, bytes binary")
-    return fetched.groupBy("bucket").applyInPandas(match, "bucket int, cuts binary")
+    fetched = dealt.groupBy("bucket").cogroup(decided.groupBy("bucket")).applyInPandas(
+        fetch, "task int, bucket int, cuts binary, pieces binary, bytes binary"
+    )
+    return fetched.groupBy("task").applyInPandas(match, "bucket int, cuts binary")
 
 
 def with_bucket(docs: DataFrame, buckets: int) -> DataFrame:

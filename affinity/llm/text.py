@@ -8,7 +8,6 @@ Arrow buffers, so no Python string is made for words or windows. Hashes are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 UNBASE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes worked on at a time; longer single texts make a larger slice.
-SLICE = 1 << 21
+SLICE = 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -34,16 +33,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODES = mix(np.arange(1, 257, dtype=U) * BASE)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, U(base))
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    """``base ** i`` for i below n."""
-    return _powers(1 << max(16, int(n - 1).bit_length() if n > 1 else 1), int(base))[:n]
+    """``base ** i`` for i below n; the longest table so far is kept."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(1 << max(16, (n - 1).bit_length()), base)
+        known[:1] = 1
+        _POWERS[int(base)] = known = np.multiply.accumulate(known)
+    return known[:n]
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

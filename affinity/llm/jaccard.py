@@ -10,11 +10,13 @@ Pieces that are empty in both sketches say nothing; bands have some pieces more
 than D + 1, and a set with more empty pieces than that sends these too, so no
 pair is lost.
 
-Equal keys link each holder to the smallest id (never all pairs), which gives
-candidate groups; in these, equal sets are one member, members' full sketches
-bound the difference, and what they don't rule out is verified on the sets until
-every two members are linked, connected or refuted. Large groups are cut into
-blocks, and each pair of blocks is a task. Links are then joined to components.
+Holders of an equal key form a group. Groups of the same holders are one, equal
+sets are one holder, and in each group the holders' whole sketches, which bound the
+difference from below, rule out chance meetings; a forest over the rest gives
+candidate clusters. In these, sketches again pick the pairs that are verified on
+the sets, until every two members are linked, connected or refuted. No step emits
+all pairs of a group; large groups and clusters are cut into blocks, and each pair
+of blocks is a task. Links are then joined to components.
 
 Words: A-Z is lower-cased, words are runs of bytes other than 0x20 and 0x09-0x0D.
 Fewer words than the shingle size: the whole sequence is the one shingle. Null,
@@ -44,7 +46,9 @@ U = np.uint64
 FLUSH = 1_000_000
 #: Sketch bits a piece covers.
 WIDTH = 256
-#: Members and shingles of a block of a candidate group.
+#: Holders in a block of a group.
+BLOCK_HOLDERS = 3000
+#: Members and shingles of a block of a candidate cluster.
 BLOCK_ROWS, BLOCK_SHINGLES = 1500, 4_000_000
 
 
@@ -105,110 +109,180 @@ def piece_keys(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(docs)
 
 
-def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit print of each document's set."""
+def prints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name a set."""
+    sums = [np.concatenate([np.zeros(1, U), np.cumsum(tx.mix(sets + U(s)), dtype=U)]) for s in (1, 0x7F4A7C15)]
+    return tuple((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
+
+
+def sketch_bits(n: int, percent: int) -> int:
+    """Sketch size for a set of n: a power of two, 16 bits and more for every
+    element in which two linked sets of that size may differ."""
+    return max(64, 1 << int(32 * n * (100 - percent) // (100 + percent)).bit_length())
+
+
+def sketch(elements: np.ndarray, bits: int) -> np.ndarray:
+    """Bit k is the parity of the elements that hash to k."""
+    odd = (np.bincount((tx.mix(elements + U(0xA5A5)) % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(U)
+
+
+def folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches at their smallest size: halves of a sketch XOR to that of half its size."""
+    least = min(map(len, sketches))
+    out = np.zeros((len(sketches), least), U)
+    for row, s in zip(out, sketches, strict=True):
+        row[:] = np.bitwise_xor.reduce(s.reshape(-1, least), axis=0)
+    return out
+
+
+def fingerprints(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, print and sketch of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in tx.slices(batch.column(1)):
                 sets, bounds = sets_of(data, at, size)
                 f, g = prints(sets, bounds)
+                n = np.diff(bounds)
+                bits = [sketch(sets[a:b], sketch_bits(b - a, percent)).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": batch.column(0).slice(i, j - i), "n_shingles": np.diff(bounds), "f": f.view(np.int64), "g": g.view(np.int64)}
+                    {"doc_id": batch.column(0).slice(i, j - i), "n_shingles": n, "f": f, "g": g, "sketch": pa.array(bits, pa.binary())}
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, f long, g long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, f long, g long, sketch binary")
 
 
-def prints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sums = [np.concatenate([np.zeros(1, U), np.cumsum(tx.mix(sets + U(s)), dtype=U)]) for s in (1, 0x7F4A7C15)]
-    return tuple(s[bounds[1:]] - s[bounds[:-1]] for s in sums)
-
-
-def candidate_edges(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) of stars over the documents that share a piece."""
+def shared_keys(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(gid, doc, holders): the holders of every key that several documents have;
+    gid names the set of holders."""
     buckets = 8 * splits(docs)
 
-    def send(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, doc = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        starts = run_starts(key)
-        lowest = np.repeat(doc[starts], np.diff(np.append(starts, len(key))))
-        other = lowest != doc
-        a, b = forest(lowest[other], doc[other])
-        parts = list(scatter([key[starts], doc[starts]], buckets))
-        none = [None] * len(parts)
-        yield pa.RecordBatch.from_pydict(
-            {"bucket": pa.array([p[0] for p in parts], pa.int32()), "entries": pa.array([p[1] for p in parts], pa.binary()), "a": pa.array(none, pa.int64()), "b": pa.array(none, pa.int64())}
-        )
-        if len(a):
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": pa.array(a % buckets, pa.int32()), "entries": pa.array([None] * len(a), pa.binary()), "a": pa.array(a), "b": pa.array(b)}
-            )
+    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, keys))
+        parts = list(scatter([keys[order], ids[order]], buckets))
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int32()), "entries": pa.array([p[1] for p in parts], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        held, count, seen = [], 0, set()
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, _, data, at in tx.slices(batch.column(1)):
-                key, doc = piece_keys(*sets_of(data, at, size), percent)
-                keys.append(key)
-                ids.append(own[i:][doc])
-                held += len(key)
-                if held >= FLUSH:
-                    yield from send(keys, ids)
-                    keys, ids, held = [], [], 0
-        if held:
-            yield from send(keys, ids)
+            for i, j, data, at in tx.slices(batch.column(1)):
+                sets, bounds = sets_of(data, at, size)
+                # Of equal sets in this task one sends keys; the others share its print.
+                fresh = np.zeros(j - i, bool)
+                for k, x in enumerate(zip(*(p.tolist() for p in prints(sets, bounds)), strict=True)):
+                    fresh[k] = x not in seen
+                    seen.add(x)
+                keys, doc = piece_keys(sets, bounds, percent)
+                keys, doc = keys[fresh[doc]], doc[fresh[doc]]
+                held.append((keys, own[i:][doc]))
+                count += len(keys)
+                if count >= FLUSH:
+                    yield from send(held)
+                    held, count, seen = [], 0, set()
+        if count:
+            yield from send(held)
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        key, doc = unpack_all([p for p in part["entries"] if p is not None], (U, np.int64))
+        key, doc = unpack_all(list(part["entries"]), (U, np.int64))
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
+        one = run_starts(key, doc)
+        key, doc = key[one], doc[one]
         starts = run_starts(key)
-        lowest = np.repeat(doc[starts], np.diff(np.append(starts, len(key))))
-        other, made = lowest != doc, part["a"].notna()
-        a = np.concatenate([lowest[other], part["a"][made].to_numpy(np.int64)])
-        b = np.concatenate([doc[other], part["b"][made].to_numpy(np.int64)])
-        a, b = forest(a, b)
-        return pd.DataFrame({"a": a, "b": b})
+        count = np.diff(np.append(starts, len(key)))
+        starts, count = starts[count > 1], count[count > 1]
+        total = np.concatenate([np.zeros(1, U), np.cumsum(tx.mix(doc.view(U) * tx.BASE + U(3)), dtype=U)])
+        gid = tx.mix(total[starts + count] - total[starts] + count.astype(U)).view(np.int64)
+        gid, pick = np.unique(gid, return_index=True)
+        starts, count = starts[pick], count[pick]
+        each = np.repeat(np.arange(len(gid)), count)
+        place = starts[each] + np.arange(len(each)) - (np.cumsum(count) - count)[each]
+        return pd.DataFrame({"gid": gid[each], "doc": doc[place], "holders": count[each]})
+
+    sent = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "bucket int, entries binary")
+    return sent.groupBy("bucket").applyInPandas(join, "gid long, doc long, holders long").distinct()
+
 
-    sent = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .where("doc_id is not null")
-        .mapInArrow(run, "bucket int, entries binary, a long, b long")
+def in_reach(n: np.ndarray, own: int, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and a lower bound of the difference allow a link."""
+    return (n * 100 >= own * percent) & (n * percent <= own * 100) & (differ * (100 + percent) <= (n + own) * (100 - percent))
+
+
+def likely_links(sketches: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest over the pairs that whole sketches don't rule out."""
+    root, links = np.arange(len(n)), []
+    within = bool((left & right).any())
+    for a in np.flatnonzero(left):
+        other = right & (root != root[a])
+        if within:
+            other[: a + 1] = False
+        b = np.flatnonzero(other)
+        if not len(b):
+            continue
+        b = b[in_reach(n[b], n[a], np.bitwise_count(sketches[b] ^ sketches[a]).sum(axis=1), percent)]
+        _, first = np.unique(root[b], return_index=True)
+        links += [(int(a), int(x)) for x in b[first]]
+        root[np.isin(root, root[b])] = root[a]
+    return links
+
+
+def candidate_edges(docs: DataFrame, known: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) between class representatives that may be linked."""
+    buckets = 8 * splits(docs)
+    of_doc = known.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "f", "g").distinct()
+    rep_of = of_doc.join(classes.select("n_shingles", "f", "g", "rep"), ["n_shingles", "f", "g"]).select("doc_id", "rep")
+    blocks = F.ceil(F.col("holders") / BLOCK_HOLDERS).cast("int")
+    members = (
+        shared_keys(docs, size, percent)
+        .join(rep_of, F.col("doc") == F.col("doc_id"))
+        .groupBy("gid", "rep")
+        .agg(F.max("holders").alias("holders"))
+        .join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"), "rep")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .withColumn("task", F.when(blocks == 1, F.pmod("gid", F.lit(buckets))).otherwise(F.xxhash64("gid", "low", "high")))
+        .select("task", "gid", "low", "high", "block", "rep", "n", "sketch")
     )
-    return sent.groupBy("bucket").applyInPandas(join, "a long, b long")
 
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["gid", "low", "high", "rep"])
+        gid, low, high, block, rep, n = (part[c].to_numpy(np.int64) for c in ("gid", "low", "high", "block", "rep", "n"))
+        bits = [np.frombuffer(x, U) for x in part["sketch"]]
+        at = np.append(run_starts(gid, low, high), len(gid))
+        a, b = [], []
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            if j - i > 1:
+                for x, y in likely_links(folded(bits[i:j]), n[i:j], block[i:j] == low[i], block[i:j] == high[i], percent):
+                    a.append(rep[i + x])
+                    b.append(rep[i + y])
+        a, b = forest(np.array(a, np.int64), np.array(b, np.int64))
+        return pd.DataFrame({"a": a, "b": b})
 
-def sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits // 64), U)
-    for row, s in zip(out, sets, strict=True):
-        odd = (np.bincount((tx.mix(s + U(0xA5A5)) % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-        row[:] = np.packbits(odd).view(U)
-    return out
+    return members.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
 def verified_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members flagged ``left`` and later
-    or earlier ones flagged ``right``; every such pair is linked by the result,
-    joined through other links, or below the threshold."""
+    """A forest of links between members flagged ``left`` and members flagged
+    ``right``: every such pair is linked in it, connected in it, or no link."""
     n = np.array([len(s) for s in sets])
-    most = int(2 * n.max() * (100 - percent) // (100 + percent)) if len(n) else 0
-    sketch = sketches(sets, max(256, 1 << (16 * most).bit_length()))
     root, links, within = np.arange(len(sets)), [], bool((left & right).any())
+    bits = sketch_bits(int(n.max(initial=0)), percent)
+    sketches = np.stack([sketch(s, bits) for s in sets]) if sets else np.zeros((0, 1), U)
     for a in np.flatnonzero(left):
-        other = right & (root != root[a]) & (n * 100 >= n[a] * percent) & (n * percent <= n[a] * 100)
+        other = right & (root != root[a])
         if within:
             other[: a + 1] = False
         b = np.flatnonzero(other)
         if not len(b):
             continue
-        differ = np.bitwise_count(sketch[b] ^ sketch[a]).sum(axis=1)
-        near = differ * (100 + percent) <= (n[b] + n[a]) * (100 - percent)
-        b = b[near][np.argsort(differ[near], kind="stable")]
-        for x in b.tolist():
+        differ = np.bitwise_count(sketches[b] ^ sketches[a]).sum(axis=1)
+        near = in_reach(n[b], n[a], differ, percent)
+        for x in b[near][np.argsort(differ[near], kind="stable")].tolist():
             if root[x] == root[a]:
                 continue
             both = len(np.intersect1d(sets[a], sets[x], assume_unique=True))
@@ -223,11 +297,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links of at least ``percent`` hundredths reach."""
     spark = prepare(docs.sparkSession)
     buckets = 8 * splits(docs)
-    prints_of = fingerprints(docs, size).checkpoint()
-    groups = components(candidate_edges(docs, size, percent))
+    known = fingerprints(docs, size, percent).checkpoint()
     classes = (
-        prints_of.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f", "g").agg(F.min("doc_id").alias("rep"))
-    ).checkpoint()
+        known.where("n_shingles > 0 and doc_id is not null")
+        .groupBy("n_shingles", "f", "g")
+        .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+        .checkpoint()
+    )
+    groups = components(candidate_edges(docs, known, classes, size, percent))
 
     members = classes.join(groups, classes["rep"] == groups["node"], "left").select(
         "rep", "f", "g", "n_shingles", F.coalesce("root", "rep").alias("group")
@@ -259,7 +336,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             data, at = tx.buffers(pa.array(own["text"], pa.string()))
             sets, bounds = sets_of(data, at, size)
             f, g = prints(sets, bounds)
-            same = (f.view(np.int64) == own["f"].to_numpy()) & (g.view(np.int64) == own["g"].to_numpy())
+            same = (f == own["f"].to_numpy()) & (g == own["g"].to_numpy())
             rows = np.flatnonzero(same)
             each = [sets[bounds[r] : bounds[r + 1]] for r in rows]
             block, ids = own["block"].to_numpy()[rows], own["rep"].to_numpy()[rows]
@@ -274,7 +351,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return (
-        prints_of.join(labels, ["n_shingles", "f", "g"], "left")
+        known.join(labels, ["n_shingles", "f", "g"], "left")
         .select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
 

@@ -67,6 +67,7 @@ def test_matches_brute_force(spark, seed, size, percent):
 
 def test_blocks_and_many_sends(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_HOLDERS", 5)
     monkeypatch.setattr(jaccard, "FLUSH", 300)
     rows = corpus(4)
     assert result(spark, rows, 4, 85) == brute(rows, 4, 85)

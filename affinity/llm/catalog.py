@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, shard, suffix_dedup
+from . import bpe, jaccard, langid, shard, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_bpe_encoding": bpe.op3_bpe_encoding,
     "op6_sharding": shard.op6_sharding,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 SQL = {

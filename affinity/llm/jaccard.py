@@ -6,9 +6,8 @@ in elements. Sets are joined inside geometric size bands. A pair in reach of the
 threshold in a band differs in at most D elements, so of a sketch cut into more
 than D pieces at least one piece is equal: pieces are the join keys. A piece is
 sent as the XOR of its set bits' codes, in which flips cancel like in the sketch.
-Pieces that are empty in both sketches say nothing; bands have some pieces more
-than D + 1, and a set with more empty pieces than that sends these too, so no
-pair is lost.
+Pieces with one bit or none meet by chance; bands have some pieces more than D + 1,
+and only a set with more such pieces than that sends them, so no pair is lost.
 
 Holders of an equal key form a group. Groups of the same holders are one, equal
 sets are one holder, and in each group the holders' whole sketches, which bound the
@@ -61,7 +60,7 @@ def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first.append(max(first[-1] + 1, -(-first[-1] * 100 // percent)))
     most = np.array(first[1:]) - 1
     differ = 2 * most * (100 - percent) // (100 + percent)
-    spare = np.where(differ > 0, 1 + differ // 32, 0)
+    spare = np.where(differ > 0, 1 + differ // 6, 0)
     return np.array(first[:-1]), differ + 1 + spare, spare
 
 
@@ -92,17 +91,20 @@ def piece_keys(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
         band = own + up
         count = np.where(n > 0, pieces[band], 0)
         offset = np.concatenate([[0], np.cumsum(count)])
-        bit = tx.mix(sets + U(0x51ED2701)) % (count[owner].astype(U) * U(WIDTH))
-        piece = offset[owner] + (bit // U(WIDTH)).astype(np.int64)
-        order = np.argsort(piece, kind="stable")
-        starts = run_starts(piece[order])
-        code = tx.mix((bit[order] + U(1)) * tx.BASE)
-        value = np.zeros(offset[-1], U)
-        if len(starts):
-            value[piece[order][starts]] = np.bitwise_xor.reduceat(code, starts)
         holder = np.repeat(np.arange(len(n)), count)
-        empty = value == 0
-        sends = ~empty | (np.bincount(holder[empty], minlength=len(n)) > spare[band])[holder]
+        place = tx.mix(sets + U(0x51ED2701)) % (count[owner].astype(U) * U(WIDTH)) + offset[owner].astype(U) * U(WIDTH)
+        place.sort()
+        starts = run_starts(place)
+        bits = place[starts[np.diff(np.append(starts, len(place))) & 1 == 1]]
+        piece = (bits // U(WIDTH)).astype(np.int64)
+        code = tx.mix((bits - (offset[holder[piece]] * WIDTH).astype(U) + U(1)) * tx.BASE)
+        value, size = np.zeros(offset[-1], U), np.bincount(piece, minlength=offset[-1])
+        firsts = run_starts(piece)
+        if len(firsts):
+            value[piece[firsts]] = np.bitwise_xor.reduceat(code, firsts)
+        # A piece of one bit or none tells little and is met by chance.
+        weak = (size <= 1) & (spare[band] > 0)[holder]
+        sends = ~weak | (np.bincount(holder[weak], minlength=len(n)) > spare[band])[holder]
         tag = band[holder].astype(U) << U(40) | (np.arange(offset[-1]) - offset[holder]).astype(U)
         keys.append(tx.mix(value + tx.mix(tag * tx.BASE + U(7)))[sends])
         docs.append(holder[sends])
@@ -116,9 +118,9 @@ def prints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sketch_bits(n: int, percent: int) -> int:
-    """Sketch size for a set of n: a power of two, 16 bits and more for every
+    """Sketch size for a set of n: a power of two, 8 bits and more for every
     element in which two linked sets of that size may differ."""
-    return max(64, 1 << int(32 * n * (100 - percent) // (100 + percent)).bit_length())
+    return max(64, 1 << int(16 * n * (100 - percent) // (100 + percent)).bit_length())
 
 
 def sketch(elements: np.ndarray, bits: int) -> np.ndarray:

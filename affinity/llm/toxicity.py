@@ -11,8 +11,8 @@ Training is numpy on a bounded sample of labelled rows (``ROWS`` of each label,
 at most ``BYTES`` bytes): Adam on windows. A toxic text's label says nothing of
 where, so its windows are those whose words speak most for the label in the
 sample (smoothed log odds by document), and after the first round those that the
-network itself scores highest; clean texts give random windows and their highest
-scoring ones. Every sixth sampled text is held back to calibrate the score.
+network itself scores highest; clean texts give random windows, their highest
+scoring ones, and windows that repeat one or two of their words. Every sixth sampled text is held back to calibrate the score.
 
 Null, empty and wordless texts are one window without words; its pooled state is
 zero. Without labelled rows of both kinds every score is the share of toxic
@@ -296,16 +296,23 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, seed: i
     free = ~held[w.text]
     clean_windows = np.flatnonzero(free & ~toxic[w.text])
     hard: list[np.ndarray] = []
+    # Clean texts also stand for ones that repeat a word over and over.
+    clean_words = np.flatnonzero(~held[doc] & ~toxic[doc])
+    if len(clean_words):
+        again = np.repeat(rng.choice(clean_words, 1500)[:, None], SPAN, axis=1)
+        again[:750, SPAN // 2 :] = rng.choice(clean_words, 750)[:, None]
+        w.place = np.concatenate([w.place, again])
+    real, drills = len(w.text), np.arange(len(w.text), len(w.place))
     for turn, epochs in enumerate((5, 3, 3)):
         top = best_window(score, w.text, len(texts))
         positive = top[toxic & ~held]
         if turn:
             hard.append(top[~toxic & ~held])
         random = rng.choice(clean_windows, min(len(clean_windows), 2 * len(positive) + 1500), replace=False)
-        negative = np.unique(np.concatenate([random, *hard]))
+        negative = np.unique(np.concatenate([random, drills, *hard]))
         chosen = np.concatenate([positive, negative])
         learn(model, w, ids, chosen, (np.arange(len(chosen)) < len(positive)).astype(R), epochs, rng, moments)
-        score = model.logits(w)
+        score = model.logits(w)[:real]
     top = score[best_window(score, w.text, len(texts))]
     check = held if held.any() else ~held
     model.slope, model.shift = calibrate(top[check].astype(np.float64), toxic[check], share)

@@ -3,8 +3,8 @@
 Some operators give several entries for every few words of the corpus. A row
 for each would cost far more than the entry itself, so a task sorts its entries
 by key and sends, for each bucket (a range of hashed keys), one row that holds
-the entries as byte planes; sorted keys are stored as differences, whose high
-planes are zero and shrink in Spark's own compression. Spark shuffles the rows by
+the entries as compressed byte planes; sorted keys are stored as differences, whose
+high planes are zero. Spark shuffles the rows by
 bucket, and whoever reads a bucket gets all entries of its keys. The number of
 buckets follows the number of input splits, so a bucket's size doesn't grow with
 the data.
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 
@@ -29,12 +30,21 @@ def pack(columns: Sequence[np.ndarray]) -> bytes:
     first = columns[0].astype(U)
     first[1:] -= columns[0][:-1].astype(U)
     planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.ravel() for c in map(np.ascontiguousarray, (first, *columns[1:]))]
-    return np.concatenate(planes).tobytes()
+    return squeeze(np.concatenate(planes).tobytes())
+
+
+def squeeze(data: bytes) -> bytes:
+    """Compressed bytes behind their own length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
 def unpack(payload: bytes, dtypes: Sequence[type]) -> list[np.ndarray]:
     kinds = [np.dtype(d) for d in dtypes]
-    data = np.frombuffer(payload, np.uint8)
+    data = np.frombuffer(unsqueeze(payload), np.uint8)
     n, at, out = len(data) // sum(k.itemsize for k in kinds), 0, []
     for k in kinds:
         planes = data[at : at + n * k.itemsize].reshape(k.itemsize, n)

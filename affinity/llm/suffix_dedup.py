@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import prepare, splits, table
-from .exchange import bucket_of, pack, run_starts, scatter, unpack_all
+from .exchange import bucket_of, pack, run_starts, scatter, squeeze, unpack_all, unsqueeze
 from .rindex import RunLengthIndex
 
 U = np.uint64
@@ -46,15 +46,15 @@ HOT = 20_000
 #: Index tasks for each document bucket.
 FINER = 6
 #: Windows are cut into new regions at multiples of this offset.
-LONGEST = 1024
+LONGEST = 128
 #: anchor, region, document, row mark, first window, windows
 ENTRY = (U, U, np.int64, U, np.int32, np.int16)
 #: document, row mark, first window, windows
 CUT = (U, np.int64, U, np.int32, np.int16)
-#: document, row mark, first window, windows, anchor, dealt by windows
+#: document, row mark, first window, windows, anchor, flags: 1 dealt by windows, 2 may lose bytes
 OPEN = (U, np.int64, U, np.int32, np.int16, U, np.uint8)
-#: document, row mark, first window, windows
-PIECE = (U, np.int64, U, np.int32, np.int16)
+#: document, row mark, first window, windows, flags
+PIECE = (U, np.int64, U, np.int32, np.int16, np.uint8)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def regions(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     total = int(size.sum())
     if not total:
         return np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int16)
-    short = max(2, min(16, length // 3))
+    short = max(2, min(20, length // 3))
     prefix = tx.prefix_hash(data)
     n = len(data) - short + 1
     hashes = tx.mix((prefix[short:] - prefix[:-short]) * tx.powers(n, tx.UNBASE))
@@ -89,7 +89,8 @@ def regions(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     count = np.diff(np.append(first, total))
     begin = window[first]
     whole = tx.span_hash(prefix, begin, begin + count + length - 1)
-    return anchor[first], whole, owner[first], inside[first].astype(np.int32), count.astype(np.int16)
+    # Least hashes are small, so they are mixed again. 56 and 48 bits: two regions are taken as equal if both agree.
+    return tx.mix(anchor[first]) & ~U(0xFF), whole & U(0xFFFFFFFFFFFF), owner[first], inside[first].astype(np.int32), count.astype(np.int16)
 
 
 def by_document(cut: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -113,8 +114,9 @@ def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({c: pd.Series(dtype=object) for c in names})
 
 
-def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> DataFrame:
-    """(bucket, cuts): packed windows to remove, by bucket of their documents."""
+def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, buckets: int) -> DataFrame:
+    """(bucket, cuts): packed windows to remove, by bucket of their documents;
+    ``dealt`` is ``docs`` with the bucket."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -169,18 +171,18 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
         if later.any():
             rows += [(b, p, None) for b, p in by_document([x[later] for x in (doc, mark, first, windows)], buckets)]
         if undecided.any():
-            hot = (number > HOT).astype(np.uint8)
-            rows += [(b, None, p) for b, p in by_document([x[undecided] for x in (doc, mark, first, windows, anchor, hot)], buckets)]
+            flags = ((number > HOT) + 2 * (doc > np.repeat(low, per_anchor))).astype(np.uint8)
+            rows += [(b, None, p) for b, p in by_document([x[undecided] for x in (doc, mark, first, windows, anchor, flags)], buckets)]
         return frame(rows, ["bucket", "cuts", "open"])
 
     def fetch(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         own = int((texts if len(texts) else part)["bucket"].iloc[0])
         rows = [(own * FINER, own, c, None, None) for c in part["cuts"] if c is not None]
-        _, doc, mark, first, windows, anchor, hot = unpack_all([x for x in part["open"] if x is not None], OPEN)
+        _, doc, mark, first, windows, anchor, flags = unpack_all([x for x in part["open"] if x is not None], OPEN)
         names = ["task", "bucket", "cuts", "pieces", "bytes"]
         if not len(doc) or not len(texts):
             return frame(rows, names)
-        texts = texts.sort_values("doc_id", kind="stable")
+        texts = texts[texts["doc_id"].notna()].sort_values("doc_id", kind="stable")
         data, at = tx.buffers(pa.array(texts["text"], pa.string()))
         ids = texts["doc_id"].to_numpy(np.int64)
         row = np.searchsorted(ids, doc)
@@ -190,16 +192,15 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
             while (wrong := (own[row] != mark) & (row < last)).any():
                 row[wrong] += 1
         begin = at[row] + first
+        hot = flags & 1 == 1
         if hot.any():  # one window each, dealt by its content
-            times = np.where(hot == 1, windows, 1)
+            times = np.where(hot, windows, 1)
             each = np.repeat(np.arange(len(doc)), times)
             step = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-            doc, mark, first, windows, anchor, hot, begin = (x[each] for x in (doc, mark, first, windows, anchor, hot, begin))
+            doc, mark, first, windows, anchor, flags, hot, begin = (x[each] for x in (doc, mark, first, windows, anchor, flags, hot, begin))
             first, begin = (first + step).astype(np.int32), begin + step
-            windows = np.where(hot == 1, 1, windows).astype(np.int16)
-            alone = hot == 1
-            anchor = anchor.copy()
-            anchor[alone] = tx.span_hash(tx.prefix_hash(data), begin[alone], begin[alone] + length)
+            windows = np.where(hot, 1, windows).astype(np.int16)
+            anchor[hot] = tx.span_hash(tx.prefix_hash(data), begin[hot], begin[hot] + length)
         bucket = bucket_of(anchor, FINER * buckets)
         order = np.argsort(bucket, kind="stable")
         bucket = bucket[order]
@@ -209,15 +210,15 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
             pick = order[i:j]
             reach = sizes[pick]
             where = np.repeat(begin[pick] - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
-            rows.append((int(bucket[i]), None, None, pack([np.zeros(j - i, U), doc[pick], mark[pick], first[pick], windows[pick]]), data[where].tobytes()))
+            rows.append((int(bucket[i]), None, None, pack([np.zeros(j - i, U), *(x[pick] for x in (doc, mark, first, windows, flags))]), squeeze(data[where].tobytes())))
         return frame(rows, names)
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(b), c) for b, c in zip(part["bucket"], part["cuts"], strict=True) if c is not None]
         has = part[part["pieces"].notna()]
         if len(has):
-            _, doc, mark, first, windows = unpack_all(list(has["pieces"]), PIECE)
-            data = np.frombuffer(b"".join(has["bytes"]), np.uint8)
+            _, doc, mark, first, windows, flags = unpack_all(list(has["pieces"]), PIECE)
+            data = np.frombuffer(b"".join(map(unsqueeze, has["bytes"])), np.uint8)
             end = np.cumsum(windows.astype(np.int64) + length - 1)
             begin = end - (windows.astype(np.int64) + length - 1)
             whole = tx.span_hash(tx.prefix_hash(data), begin, end)
@@ -231,8 +232,16 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
             at = np.concatenate([[0], np.cumsum(size)])
             held = data[np.repeat(begin[one] - at[:-1], size) + np.arange(at[-1])]
             index = RunLengthIndex(held, at, length)
-            reach, row = index.matching(held, at)
+            # Texts that may lose bytes are streamed through the index.
+            streams = np.zeros(len(one), bool)
+            streams[kind[flags & 2 == 2]] = True
+            sent_at = np.concatenate([[0], np.cumsum(size[streams])])
+            reach, row = index.matching(held[np.repeat(streams, size)], sent_at)
             lowest = index.lowest(doc[one])[index.group[row]]
+            at = np.zeros(len(one), np.int64)
+            at[streams] = sent_at[:-1]
+            asks = streams[kind]
+            doc, mark, first, windows, kind = (x[asks] for x in (doc, mark, first, windows, kind))
             # Each piece's windows against the smallest document that has them.
             count = windows.astype(np.int64)
             each = np.repeat(np.arange(len(doc)), count)
@@ -250,10 +259,8 @@ def repeat_cuts(docs: DataFrame, length: int, marked: bool, buckets: int) -> Dat
                 rows += list(by_document([doc[who], mark[who], at_window, run], buckets))
         return frame(rows, ["bucket", "cuts"])
 
-    known = docs.where("doc_id is not null")
-    sent = known.mapInArrow(gather, "bucket int, entries binary, cuts binary")
+    sent = docs.where("doc_id is not null").mapInArrow(gather, "bucket int, entries binary, cuts binary")
     decided = sent.groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary, open binary")
-    dealt = with_bucket(known, buckets)
     fetched = dealt.groupBy("bucket").cogroup(decided.groupBy("bucket")).applyInPandas(
         fetch, "task int, bucket int, cuts binary, pieces binary, bytes binary"
     )
@@ -274,7 +281,8 @@ def dedup(docs: DataFrame, length: int = 50, whole_characters: bool = False) ->
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     buckets = 8 * splits(docs) | 1
     marked = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
-    cuts = repeat_cuts(docs, length, marked, buckets)
+    dealt = with_bucket(docs, buckets)  # one exchange, read by both that need texts
+    cuts = repeat_cuts(docs, dealt, length, marked, buckets)
 
     def apply(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         texts = texts.sort_values("doc_id", kind="stable")
@@ -304,8 +312,7 @@ def dedup(docs: DataFrame, length: int = 50, whole_characters: bool = False) ->
         return frame(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return (
-        with_bucket(docs, buckets)
-        .groupBy("bucket")
+        dealt.groupBy("bucket")
         .cogroup(cuts.groupBy("bucket"))
         .applyInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, shard, suffix_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, jaccard, langid, sentences, shard, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
     "op3_bpe_encoding": bpe.op3_bpe_encoding,
+    "op4_substring_dedup": sentences.op4_substring_dedup,
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_sharding": shard.op6_sharding,
+    "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -16,5 +19,6 @@ QUERIES = {
 SQL = {
     "op2_ngram_jaccard_join": jaccard.SQL,
     "op6_sharding": shard.SQL,
+    "op7_embedding_near_dedup": embedding_dedup.SQL,
     "op9_suffix_array_dedup": suffix_dedup.SQL,
 }

@@ -41,9 +41,11 @@ SPAN, STEP = 32, 16
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 GRAM_BITS, GRAM_SIZES = 15, (3, 4)
 #: Bounds of the training sample and of the word table.
-ROWS, BYTES, WORDS = 1600, 10_000, 30_000
+ROWS, BYTES, WORDS = 1200, 8_000, 30_000
 #: Windows that run through the network at a time.
 BATCH = 4096
+#: Words whose n-grams are averaged at a time.
+PART = 1 << 16
 
 
 @dataclass
@@ -104,10 +106,14 @@ class Model:
         """Input of every word, and one of zeros for place -1."""
         out = np.zeros((len(w.word) + 1, WORD_DIM + GRAM_DIM), R)
         out[:-1, :WORD_DIM] = self.p["word"][ids]
-        if len(w.gram):
-            sums = np.add.reduceat(self.p["gram"][w.gram], np.minimum(w.gram_at[:-1], len(w.gram) - 1), axis=0)
-            count = np.diff(w.gram_at)
-            out[:-1, WORD_DIM:] = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], 0)
+        count = np.diff(w.gram_at)
+        for i in range(0, len(count), PART):
+            own = count[i : i + PART]
+            begin = w.gram_at[i : i + len(own)]
+            part = w.gram[begin[0] : begin[-1] + own[-1]]
+            if len(part):
+                sums = np.add.reduceat(self.p["gram"][part], np.minimum(begin - begin[0], len(part) - 1), axis=0)
+                out[i : i + len(own), WORD_DIM:] = np.where(own[:, None] > 0, sums / np.maximum(own, 1)[:, None], 0)
         return out
 
     def logits(self, w: Windows) -> np.ndarray:
@@ -200,21 +206,21 @@ def log_odds(w: Windows, toxic: np.ndarray) -> np.ndarray:
     doc[w.place[rows, cols]] = w.text[rows]
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
 
-    def telling(feature: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        kinds, flat = np.unique(feature, return_inverse=True)
-        pairs = flat.astype(np.int64)
+    def telling(kind: np.ndarray, owner: np.ndarray, kinds: int) -> np.ndarray:
+        pairs = kind.astype(np.int32 if kinds * len(toxic) < 1 << 31 else np.int64)
         pairs *= len(toxic)
         pairs += owner
         pairs.sort()
         pairs = pairs[run_starts(pairs)]
-        kind, who = pairs // len(toxic), pairs % len(toxic)
-        pos = np.bincount(kind, toxic[who], len(kinds))
-        neg = np.bincount(kind, ~toxic[who], len(kinds))
-        return (np.log((pos + 0.1) / (n1 + 0.2)) - np.log((neg + 0.5) / (n0 + 1.0)))[flat]
+        feature, who = pairs // len(toxic), pairs % len(toxic)
+        pos = np.bincount(feature, toxic[who], kinds)
+        neg = np.bincount(feature, ~toxic[who], kinds)
+        return (np.log((pos + 0.1) / (n1 + 0.2)) - np.log((neg + 0.5) / (n0 + 1.0))).astype(R)[kind]
 
-    value = telling(w.word, doc)
+    names, flat = np.unique(w.word, return_inverse=True)
+    value = telling(flat, doc, len(names))
     if len(w.gram):
-        each = telling(w.gram, np.repeat(doc, np.diff(w.gram_at)))
+        each = telling(w.gram, np.repeat(doc.astype(np.int32), np.diff(w.gram_at)), 1 << GRAM_BITS)
         best = np.maximum.reduceat(each, np.minimum(w.gram_at[:-1], len(each) - 1))
         value = np.maximum(value, np.where(np.diff(w.gram_at) > 0, best, value))
     return value

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embedding_dedup, jaccard, langid, sentences, shard, suffix_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, jaccard, langid, licences, sentences, shard, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_sharding": shard.op6_sharding,
     "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
+    "op8_license_scans": licences.op8_license_scans,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -20,5 +21,6 @@ SQL = {
     "op2_ngram_jaccard_join": jaccard.SQL,
     "op6_sharding": shard.SQL,
     "op7_embedding_near_dedup": embedding_dedup.SQL,
+    "op8_license_scans": licences.SQL,
     "op9_suffix_array_dedup": suffix_dedup.SQL,
 }

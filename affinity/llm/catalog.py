@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, decontaminate, embedding_dedup, jaccard, langid, licences, sentences, shard, suffix_dedup, toxicity
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_license_scans": licences.op8_license_scans,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
@@ -24,3 +27,6 @@ SQL = {
     "op8_license_scans": licences.SQL,
     "op9_suffix_array_dedup": suffix_dedup.SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

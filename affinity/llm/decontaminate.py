@@ -138,21 +138,26 @@ def matches(items: Items, seeds: tuple, data: np.ndarray, at: np.ndarray, thresh
     return [(t, int(items.ids[k]), *x) for (t, k), x in best.items()]
 
 
+def item_blocks(docs: DataFrame, items: DataFrame) -> Iterator[tuple[Items, tuple]]:
+    """Items and their seeds, in blocks of at most about BLOCK bytes."""
+    items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    load = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-load // BLOCK)
+    for block in range(blocks):
+        own = Items.of(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect())
+        if own.words:
+            yield own, own.seeds(*word_counts(docs, np.unique(np.concatenate(own.words))))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, first_byte, last_byte): a row for each document and
     item of which it holds a copy; the bytes are those of the best one."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     schema = "doc_id long, item_id long, score double, first_byte long, last_byte long"
-    load = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, found = -(-load // BLOCK), None
-    for block in range(blocks):
-        own = Items.of(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect())
-        if not own.words:
-            continue
-        counts, total = word_counts(docs, np.unique(np.concatenate(own.words)))
-        shared = spark.sparkContext.broadcast((own, own.seeds(counts, total)))
+    found = spark.createDataFrame([], schema)
+    for block in item_blocks(docs, items):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -165,14 +170,29 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> D
                             {"doc_id": ids.take(pa.array([i + x for x in t])), **{c: pa.array(v) for c, v in zip(("item_id", "score", "first_byte", "last_byte"), rest, strict=True)}}
                         )
 
-        part = docs.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+        found = found.unionByName(docs.mapInArrow(run, schema))
     best = F.max(F.struct("score", (-F.col("first_byte")).alias("f"), "last_byte")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", (-F.col("b.f")).alias("first_byte"), "b.last_byte")
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows, with all their columns, that hold no copy of an item."""
+    spark = prepare(docs.sparkSession)
+    column, out = docs.columns.index("text"), docs
+    for block in item_blocks(docs, items):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, data, at in tx.slices(batch.column(column)):
+                    keep = np.ones(j - i, bool)
+                    keep[[x[0] for x in matches(*shared.value, data, at, threshold)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def word_counts(docs: DataFrame, words: np.ndarray) -> tuple[dict[int, int], int]:
     """Occurrences of the given words in the whole corpus, and its number of words."""
     shared = docs.sparkSession.sparkContext.broadcast(Member(words))

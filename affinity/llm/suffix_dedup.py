@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,53 +272,84 @@ def with_bucket(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
 
 
+def removed(ids: pa.Array, column: pa.Array, payloads: list[bytes], length: int, marked: bool, whole_characters: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of each text, and which of them go."""
+    data, at = tx.buffers(column)
+    _, doc, mark, first, windows = unpack_all(payloads, CUT)
+    own = row_marks(data, at) if marked else None
+    order = np.argsort(doc, kind="stable")
+    doc, mark, first, windows = doc[order], mark[order], first[order].astype(np.int64), windows[order]
+    for i, x in enumerate(ids.to_pylist()):
+        body = data[at[i] : at[i + 1]]
+        mine = np.arange(0) if x is None else np.arange(np.searchsorted(doc, x, "left"), np.searchsorted(doc, x, "right"))
+        if marked:
+            mine = mine[mark[mine] == own[i]]
+        edge = np.zeros(len(body) + 1, np.int64)
+        np.add.at(edge, first[mine], 1)
+        np.add.at(edge, first[mine] + windows[mine] - 1 + length, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        if whole_characters and gone.any():
+            lead = np.flatnonzero((body & 0xC0) != 0x80)
+            gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(body))))
+        yield body, gone
+
+
+def planned(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Documents with their buckets, what to cut by bucket, and whether ids repeat."""
+    prepare(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long"), "text")
+    buckets = 8 * splits(docs) | 1
+    marked = bool(slim.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    return with_bucket(docs, buckets), repeat_cuts(slim, with_bucket(slim, buckets), length, marked, buckets), marked
+
+
 def dedup(docs: DataFrame, length: int = 50, whole_characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of every row.
 
     ``whole_characters`` keeps a character whose bytes are only partly covered, so
     that what is kept is UTF-8.
     """
-    prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    buckets = 8 * splits(docs) | 1
-    marked = bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
-    dealt = with_bucket(docs, buckets)  # one exchange, read by both that need texts
-    cuts = repeat_cuts(docs, dealt, length, marked, buckets)
+    dealt, cuts, marked = planned(docs.select(F.col("doc_id").cast("long"), "text"), length)
 
-    def apply(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.sort_values("doc_id", kind="stable")
-        data, at = tx.buffers(pa.array(texts["text"], pa.string()))
-        ids = pd.array(texts["doc_id"], "Int64")
-        _, doc, mark, first, windows = unpack_all([x for x in part["cuts"] if x is not None], CUT)
-        own = row_marks(data, at) if marked else np.zeros(len(texts), U)
-        order = np.argsort(doc, kind="stable")
-        doc, mark, first, windows = doc[order], mark[order], first[order], windows[order]
+    def apply(texts: pa.Table, part: pa.Table) -> pa.Table:
         out = []
-        for i, x in enumerate(ids):
-            body = data[at[i] : at[i + 1]]
-            lo, hi = (0, 0) if x is pd.NA else (np.searchsorted(doc, x, "left"), np.searchsorted(doc, x, "right"))
-            mine = np.arange(lo, hi)
-            if marked:
-                mine = mine[mark[lo:hi] == own[i]]
-            edge = np.zeros(len(body) + 1, np.int64)
-            np.add.at(edge, first[mine], 1)
-            np.add.at(edge, first[mine].astype(np.int64) + windows[mine] - 1 + length, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            if whole_characters and gone.any():
-                lead = np.flatnonzero((body & 0xC0) != 0x80)
-                gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(body))))
+        for body, gone in removed(texts["doc_id"], texts["text"], part["cuts"].drop_null().to_pylist(), length, marked, whole_characters):
             kept = body[~gone].tobytes()
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-            out.append((None if x is pd.NA else x, len(body), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        return frame(out, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            out.append((len(body), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+        n, r, s, h, k = zip(*out, strict=True) if out else ([],) * 5
+        return pa.table(
+            {"doc_id": texts["doc_id"], "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "n_spans": pa.array(s, pa.int64()), "kept_sha256": pa.array(h, pa.string()), "kept": pa.array(k, pa.binary())}
+        )
 
     return (
         dealt.groupBy("bucket")
         .cogroup(cuts.groupBy("bucket"))
-        .applyInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        .applyInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     )
 
 
+def dedup_texts(docs: DataFrame, length: int = 50) -> DataFrame:
+    """All rows and columns, with repeats cut from ``text`` at whole characters, and
+    ``n_chars``, if there is one, counted again where something was cut."""
+    dealt, cuts, marked = planned(docs, length)
+    names = docs.columns
+
+    def apply(texts: pa.Table, part: pa.Table) -> pa.Table:
+        kept, changed = [], []
+        for body, gone in removed(texts["doc_id"], texts["text"], part["cuts"].drop_null().to_pylist(), length, marked, True):
+            changed.append(bool(gone.any()))
+            kept.append(body[~gone].tobytes().decode() if changed[-1] else None)
+        columns = {c: texts[c] for c in names}
+        swap = pa.array(changed, pa.bool_())
+        columns["text"] = pa.compute.if_else(swap, pa.array(kept, pa.string()), texts["text"].cast(pa.string()))
+        if "n_chars" in names:
+            columns["n_chars"] = pa.compute.if_else(swap, pa.array([None if k is None else len(k) for k in kept], texts["n_chars"].type), texts["n_chars"])
+        return pa.table(columns)
+
+    return dealt.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(apply, docs.schema)
+
+
 def op9_suffix_array_dedup(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents")).drop("kept")
 

@@ -381,6 +381,19 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def clean_only(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """Rows, with all their columns, whose score is under ``limit``."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in tx.slices(batch.column(column)):
+                yield batch.slice(i, j - i).filter(pa.array(scores(shared.value, data, at) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scores(m: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     if m.constant is not None:
         return np.full(len(at) - 1, m.constant)

@@ -1,4 +1,623 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the recommendation operators, and their DuckDB statements.
 
-QUERIES: dict = {}
+Each runs over its whole tables. Times are returned as text, and scores at six places.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas as s
+from ..functions import text as fx
+from ..operators import catalog, content, evaluate, factors, interactions, recommend, scores
+from ..sources import files
+from ..sources.tables import Tables, with_tables
+from ..streaming import ratings as stream
+from . import jobs, statements
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its own name, with a statement behind the
+    common frames."""
+
+    def add(fn: Callable[[Tables], DataFrame]):
+        QUERIES[fn.__name__] = lambda spark, folder: fn(Tables(spark, folder))
+        if sql:
+            SQL[fn.__name__] = with_tables(sql)
+        return fn
+
+    return add
+
+
+def text_time(c: str = "ts"):
+    return F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+def scored(t: Tables) -> DataFrame:
+    return scores.scored_items(t.items(), t.ratings())
+
+
+def tagged(t: Tables) -> DataFrame:
+    return jobs.tagged_items(t.items(), t.ratings(), t.tags())
+
+
+def weights(t: Tables) -> DataFrame:
+    return jobs.item_weights(tagged(t))
+
+
+def model(t: Tables) -> dict[str, DataFrame]:
+    """Fixed factors from ``embeddings``, so that results can be compared."""
+    return {"mean": t.ratings().agg(F.avg("rating").alias("mean")), "users": t.user_factors(), "items": t.item_factors()}
+
+
+def popular_lists(t: Tables, n: int) -> DataFrame:
+    ratings = t.ratings()
+    pop = scores.popularity(ratings).withColumn("popularity_score", F.round("popularity_score", 6))
+    return recommend.popularity_topn(ratings.select("user_id").distinct(), pop, ratings, n)
+
+
+def watchlist(t: Tables, floor: float) -> DataFrame:
+    return t.ratings().where(F.col("rating") >= floor).select("user_id", "item_id", F.col("ts").alias("added_at"))
+
+
+def split(t: Tables) -> tuple[DataFrame, DataFrame]:
+    both = factors.split_ratings(t.ratings())
+    return both.where("is_train").drop("is_train"), both.where("not is_train").drop("is_train")
+
+
+def train_lists(t: Tables) -> DataFrame:
+    train, test = split(t)
+    pop = scores.popularity(train).withColumn("popularity_score", F.round("popularity_score", 6))
+    return recommend.popularity_topn(test.select("user_id").distinct(), pop, evaluate.exclude_set(t.ratings(), test), 10)
+
+
+# Sources
+
+
+@query("SELECT user_id, item_id, rating, CAST(epoch(ts) AS BIGINT) AS ts FROM ratings")
+def scan_csv(t):
+    path = jobs.work_path(t.spark, "csv")
+    out = t.ratings().select(F.col("user_id").alias("userId"), F.col("item_id").alias("movieId"), "rating", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("timestamp"))
+    out.write.option("header", True).csv(path)
+    read = files.scan_csv(t.spark, path, s.RATINGS_CSV)
+    return read.select(F.col("userId").alias("user_id"), F.col("movieId").alias("item_id"), "rating", F.col("timestamp").alias("ts"))
+
+
+@query("SELECT user_id, item_id, rating, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ratings")
+def scan_table(t):
+    return t.ratings().select("user_id", "item_id", "rating", text_time())
+
+
+@query("""SELECT user_id, item_id, rating FROM ratings
+WHERE CAST(concat('0x', substr(md5(concat_ws(':', user_id, item_id)), 1, 8)) AS BIGINT)
+  < CAST(floor(least(1.0, 1.1 * 5000 / (SELECT count(*) FROM ratings)) * 4294967296) AS BIGINT)
+ORDER BY md5(concat_ws(':', user_id, item_id)) LIMIT 5000""")
+def sample_ratings(t):
+    return factors.sample_ratings(t.ratings(), 5000).select("user_id", "item_id", "rating")
+
+
+def details_json(t: Tables) -> DataFrame:
+    """Detail documents made from the items, some of them not found, written and read as JSON."""
+    path = jobs.work_path(t.spark, "details")
+    t.items().where("tmdb_id <> 'nan'").select(
+        "tmdb_id", F.when(F.col("id") % 7 == 0, 404).otherwise(200).alias("status"), F.concat(F.lit("/n"), "tmdb_id").alias("poster_path"),
+        F.upper("title").alias("overview"), F.lit("2001-02-03").alias("release_date"), F.col("runtime"), F.col("original_language"),
+        F.struct(
+            F.array(F.struct(F.lit("Ann").alias("name"), F.lit("Writer").alias("job")), F.struct(F.col("title").alias("name"), F.lit("Director").alias("job"))).alias("crew"),
+            F.transform(F.split("cast_list", ", "), lambda x: F.struct(x.alias("name"))).alias("cast"),
+        ).alias("credits"),
+    ).write.json(path)
+    return files.details_of(t.spark.read.schema(s.DETAILS_JSON).json(path))
+
+
+@query("""SELECT id, CASE WHEN tmdb_id = 'nan' THEN poster_path WHEN id % 7 = 0 THEN '' ELSE concat('/n', tmdb_id) END AS poster_path,
+  CASE WHEN tmdb_id = 'nan' THEN overview WHEN id % 7 = 0 THEN '' ELSE upper(title) END AS overview,
+  CASE WHEN tmdb_id <> 'nan' AND id % 7 <> 0 THEN title ELSE director END AS director,
+  cast_list, CASE WHEN tmdb_id <> 'nan' AND id % 7 <> 0 THEN '2001-02-03' END AS release_date FROM items""")
+def enrich_metadata(t):
+    return files.enrich_metadata(t.items(), details_json(t)).select("id", "poster_path", "overview", "director", "cast_list", "release_date")
+
+
+@query("SELECT id FROM items WHERE tmdb_id IS NOT NULL AND tmdb_id NOT IN ('', 'nan') AND poster_path IS NULL")
+def enrich_pending(t):
+    return files.enrich_pending(t.items()).select("id")
+
+
+@query("SELECT id, tmdb_id FROM items WHERE tmdb_id <> 'nan' AND id % 7 = 0")
+def enrich_missing(t):
+    done = files.enrich_metadata(t.items(), details_json(t))
+    return done.where("poster_path = '' and overview = ''").select("id", "tmdb_id")
+
+
+@query(statements.DISCOVER)
+def import_discover(t):
+    path = jobs.work_path(t.spark, "discover")
+    codes = F.array(*[F.lit(k) for k in s.GENRE_NAMES])
+    t.read("orders").select(
+        (F.col("o_orderkey") + 1).alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("release_date"),
+        F.round(F.col("o_totalprice") / 1000, 2).alias("popularity"), F.when(F.col("o_orderkey") % 4 > 0, (F.col("o_orderkey") % 10).cast("double")).alias("vote_average"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.array(F.get(codes, (F.col("o_orderkey") % 19).cast("int")), F.lit(1))).alias("genre_ids"),
+    ).write.json(path)
+    feed = t.spark.read.schema(s.DISCOVER_JSON).json(path)
+    return files.import_discover(t.items(), feed, 1996, 1999)
+
+
+# Sinks and upkeep
+
+
+@query()
+def seed_tables(t):
+    path = jobs.work_path(t.spark, "seed")
+    for _ in range(2):
+        jobs.seed(t.ratings(), path)
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("ratings"))
+
+
+@query("SELECT user_id, item_id, rating, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ratings")
+def rating_upsert(t):
+    log = t.changes()
+    out = interactions.rating_upsert(log.where("line <= 3"), log.where("line > 3"), t.items(), ["ts", "seq", "line", "quantity"])
+    return out.select("user_id", "item_id", "rating", text_time())
+
+
+@query("SELECT user_id, item_id, rating, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ratings")
+def rating_upsert_stream(t):
+    base = jobs.work_path(t.spark, "stream")
+    t.changes().repartition(2).write.parquet(f"{base}/in")
+    stream.upsert_stream(t.spark, f"{base}/in", f"{base}/out", f"{base}/state", t.items(), ["ts", "seq", "line", "quantity"])
+    return stream.latest(t.spark, f"{base}/out").select("user_id", "item_id", "rating", text_time())
+
+
+@query("SELECT user_id, item_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS added_at FROM ratings WHERE rating >= 4")
+def watchlist_add(t):
+    out = interactions.watchlist_add(watchlist(t, 4.5), watchlist(t, 4.0).unionByName(watchlist(t, 4.0)), t.items())
+    return out.select("user_id", "item_id", text_time("added_at"))
+
+
+@query("SELECT user_id, item_id FROM ratings WHERE rating >= 3 AND rating < 4.5")
+def watchlist_remove(t):
+    return interactions.watchlist_remove(watchlist(t, 3.0), watchlist(t, 4.5)).select("user_id", "item_id")
+
+
+@query(statements.POPULAR + "SELECT user_id, 'popularity' AS recommendation_type, string_agg(item_id, ',' ORDER BY rank) AS item_ids FROM lists WHERE rank <= 10 GROUP BY user_id")
+def append_rec_history(t):
+    out = interactions.rec_history(popular_lists(t, 10), "popularity", "2001-11-05 00:00:00")
+    return out.select("user_id", "recommendation_type", F.array_join("item_ids", ",").alias("item_ids"))
+
+
+@query(statements.POPULAR + "SELECT user_id, item_id, popularity_score, rank FROM lists WHERE rank <= 5")
+def materialize_recs(t):
+    path = jobs.work_path(t.spark, "recs")
+    interactions.kept_recs(popular_lists(t, 10), 5, "2001-11-05 00:00:00").write.parquet(path)
+    return interactions.read_recs(t.spark.read.parquet(path), 5, "2001-11-05 00:30:00").select("user_id", "item_id", "popularity_score", "rank")
+
+
+@query("SELECT item_id, round(bias, 6) AS bias, len(features) AS rank FROM item_factors")
+def save_model(t):
+    path = jobs.work_path(t.spark, "model")
+    factors.save_model(model(t), path)
+    return factors.load_model(t.spark, path)["items"].select("item_id", F.round("bias", 6).alias("bias"), F.size("features").alias("rank"))
+
+
+@query("SELECT count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, count(*) AS ratings, 64 AS factors FROM ratings")
+def write_metrics(t):
+    path = jobs.work_path(t.spark, "metrics")
+    jobs.write_metrics(scores.matrix_stats(t.ratings()), path, factors=64)
+    return t.spark.read.json(path).select("users", "items", "ratings", "factors")
+
+
+# Scalars
+
+
+@query(f"SELECT id, {statements.clean('title')} AS title FROM items")
+def clean_title(t):
+    return t.items().select("id", fx.clean_title("title").alias("title"))
+
+
+@query(r"SELECT id, CAST(nullif(regexp_extract(trim(title), '\((\d{4})\)$', 1), '') AS INT) AS year FROM items")
+def release_year(t):
+    return t.items().select("id", fx.release_year("title").alias("year"))
+
+
+@query(f"SELECT id, {statements.DECADE} AS decade FROM items")
+def decade_token(t):
+    return t.items().select("id", fx.decade_token("title").alias("decade"))
+
+
+@query("""SELECT p_partkey AS id, lpad(CAST(p_partkey * 99991 AS VARCHAR), CAST(greatest(7, length(CAST(p_partkey * 99991 AS VARCHAR))) AS INT), '0') AS imdb_id,
+  CASE WHEN p_partkey % 10 > 0 THEN CAST(p_partkey AS VARCHAR) END AS tmdb_id FROM part""")
+def normalize_links(t):
+    raw = t.read("part").select(
+        F.col("p_partkey").alias("id"), F.concat((F.col("p_partkey") * 99991).cast("string"), F.lit(".0")).alias("i"), F.when(F.col("p_partkey") % 10 > 0, F.concat(F.col("p_partkey").cast("string"), F.lit(".0"))).alias("m")
+    )
+    return raw.select("id", fx.imdb_id("i").alias("imdb_id"), fx.tmdb_id("m").alias("tmdb_id"))
+
+
+@query("SELECT tag, count(*) AS uses FROM tags GROUP BY tag")
+def normalize_tags(t):
+    padded = t.tags().select(F.concat(F.lit("  "), F.upper("tag"), F.lit(" ")).alias("raw"))
+    return padded.groupBy(fx.normal_tag("raw").alias("tag")).agg(F.count(F.lit(1)).alias("uses"))
+
+
+@query(f"SELECT id, CASE WHEN length(poster_path) > 0 THEN concat('{s.POSTER_BASE}', poster_path) END AS poster_url FROM items")
+def image_urls(t):
+    return t.items().select("id", fx.image_url(s.POSTER_BASE, "poster_path").alias("poster_url"))
+
+
+@query(statements.TAGGED + f"SELECT id, {statements.FEATURE_TEXT} AS text FROM tagged")
+def feature_text(t):
+    return tagged(t).select("id", fx.feature_text("user_tags").alias("text"))
+
+
+@query("""SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(genres, '|'), lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS genres,
+  array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(cast_list, ','), lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS cast_names FROM items""")
+def delimited_split(t):
+    joined = lambda c, p: F.array_join(F.sort_array(fx.delimited(c, p)), "|")
+    return t.items().select("id", joined("genres", r"\|").alias("genres"), joined("cast_list", ",").alias("cast_names"))
+
+
+@query("SELECT user_id, item_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ratings")
+def epoch_to_timestamp(t):
+    seconds = t.ratings().select("user_id", "item_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("e"))
+    return seconds.select("user_id", "item_id", F.timestamp_seconds("e").alias("ts")).select("user_id", "item_id", text_time())
+
+
+@query("SELECT user_id, item_id, round((rating - 0.5) / 4.5, 6) AS score FROM ratings")
+def normalize_prediction(t):
+    return t.ratings().select("user_id", "item_id", F.round(fx.normalized_prediction("rating"), 6).alias("score"))
+
+
+@query("SELECT user_id, item_id, least(greatest(rating * 2 - 3, 0.5), 5.0) AS rating FROM ratings")
+def clip_prediction(t):
+    return t.ratings().select("user_id", "item_id", fx.clipped(F.col("rating") * 2 - 3).alias("rating"))
+
+
+@query("SELECT user_id, item_id, CASE WHEN rating > 1 THEN CAST(round((rating - 1) / 4 * 100) AS INT) END AS match FROM ratings")
+def match_percent(t):
+    return t.ratings().select("user_id", "item_id", fx.match_percent((F.col("rating") - 1) / 4).alias("match"))
+
+
+@query("SELECT item_id, substr(strftime(max(ts), '%Y-%m-%d'), 1, 4) AS year FROM ratings GROUP BY item_id")
+def release_year_display(t):
+    dated = t.ratings().groupBy("item_id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("release_date"))
+    return dated.select("item_id", F.substring("release_date", 1, 4).alias("year"))
+
+
+@query("SELECT user_id, item_id, CASE WHEN rating / 5 > 1 - rating / 5 THEN 'collaborative' ELSE 'content' END AS signal FROM ratings")
+def dominant_signal(t):
+    return t.ratings().select("user_id", "item_id", fx.dominant_signal(F.col("rating") / 5, 1 - F.col("rating") / 5).alias("signal"))
+
+
+# Catalog
+
+
+@query("SELECT id, title, genres FROM items WHERE contains(genres, 'ECONOMY')")
+def filter_genre(t):
+    return catalog.filter_genre(t.items(), "ECONOMY").select("id", "title", "genres")
+
+
+@query("SELECT id, genres FROM items WHERE contains(genres, 'widget') AND contains(genres, 'SMALL')")
+def filter_genres_all(t):
+    return catalog.filter_genres_all(t.items(), "widget, ,SMALL").select("id", "genres")
+
+
+@query("SELECT id, original_language FROM items WHERE original_language = 'fr'")
+def filter_language(t):
+    return catalog.filter_language(t.items(), "FR").select("id", "original_language")
+
+
+@query("SELECT id, title FROM items WHERE contains(title, '(1995)')")
+def filter_year(t):
+    return catalog.filter_year(t.items(), "1995").select("id", "title")
+
+
+@query(statements.SCORED + "SELECT id, title, popularity_score FROM scored WHERE title ILIKE '%Bolt%' ORDER BY popularity_score DESC NULLS LAST, id LIMIT 20 OFFSET 20")
+def search_title(t):
+    return catalog.search_title(scored(t), "Bolt", number=2).select("id", "title", "popularity_score")
+
+
+@query("SELECT id, title FROM items WHERE id = 42")
+def get_item(t):
+    return t.items().where(F.col("id") == 42).select("id", "title")
+
+
+@query(statements.SCORED + "SELECT id, vote_average FROM scored WHERE contains(genres, 'SMALL') AND original_language = 'en' ORDER BY vote_average ASC NULLS FIRST, id LIMIT 30")
+def browse(t):
+    return catalog.browse(scored(t), genre="SMALL", language="en", sort="vote_average", descending=False, size=30).select("id", "vote_average")
+
+
+@query(statements.SCORED + "SELECT id, title, trending_score FROM scored ORDER BY trending_score DESC NULLS LAST, id LIMIT 20")
+def trending_page(t):
+    return catalog.browse(scored(t), sort="trending_score").select("id", "title", "trending_score")
+
+
+@query("SELECT user_id, item_id, rating, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS n FROM ratings) WHERE n <= 20")
+def rating_history(t):
+    return catalog.user_rows(t.ratings(), "ts").select("user_id", "item_id", "rating", "n")
+
+
+@query("""SELECT user_id, n, id, title FROM (SELECT r.user_id, i.id, i.title, row_number() OVER (PARTITION BY r.user_id ORDER BY r.ts DESC, r.item_id) AS n
+  FROM ratings r JOIN items i ON r.item_id = i.id WHERE r.rating >= 4) WHERE n BETWEEN 6 AND 10""")
+def watchlist_page(t):
+    return interactions.watchlist_page(watchlist(t, 4.0), t.items(), 2, 5).select("user_id", "n", "item.id", "item.title")
+
+
+@query("""SELECT count(*) AS total_items, CAST(greatest(1, ceil(count(*) / 50)) AS BIGINT) AS total_pages,
+  3 < greatest(1, ceil(count(*) / 50)) AS has_next, true AS has_previous FROM items WHERE contains(genres, 'ECONOMY')""")
+def page_meta(t):
+    return catalog.page_meta(catalog.filter_genre(t.items(), "ECONOMY"), 3, 50)
+
+
+@query("SELECT user_id, item_id, rating - 1 AS rating FROM ratings WHERE rating - 1 BETWEEN 0.5 AND 5")
+def valid_ratings(t):
+    return interactions.valid_ratings(t.ratings().withColumn("rating", F.col("rating") - 1)).select("user_id", "item_id", "rating")
+
+
+# Joins
+
+
+@query(statements.TAGGED + "SELECT id, popularity_score, trending_score, user_tags FROM tagged")
+def join_left(t):
+    return tagged(t).select("id", "popularity_score", "trending_score", "user_tags")
+
+
+@query(statements.POPULAR + "SELECT l.user_id, l.rank, i.title FROM lists l JOIN items i ON i.id = l.item_id WHERE l.rank <= 10")
+def join_lookup(t):
+    return popular_lists(t, 10).join(t.items().select(F.col("id").alias("item_id"), "title"), "item_id").select("user_id", "rank", "title")
+
+
+@query("SELECT user_id, item_id FROM (SELECT DISTINCT user_id, item_id FROM tags) t ANTI JOIN (SELECT user_id, item_id FROM ratings WHERE rating >= 2.5) r USING (user_id, item_id)")
+def anti_watched(t):
+    seen = t.ratings().where("rating >= 2.5").select("user_id", "item_id")
+    return t.tags().select("user_id", "item_id").distinct().join(seen, ["user_id", "item_id"], "left_anti")
+
+
+@query("SELECT id, title FROM items WHERE id IN (SELECT item_id FROM ratings WHERE rating = 5)")
+def semi_ids(t):
+    top = t.ratings().where("rating = 5").select(F.col("item_id").alias("id"))
+    return t.items().join(top, "id", "left_semi").select("id", "title")
+
+
+@query("SELECT u.user_id, count(*) AS items, sum(i.item_id) AS ids FROM user_factors u, item_factors i GROUP BY u.user_id")
+def cross_candidates(t):
+    pairs = factors.candidates(t.user_factors().select("user_id"), t.item_factors().select("item_id"))
+    return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("items"), F.sum("item_id").alias("ids"))
+
+
+@query(statements.SPLIT + "SELECT user_id, item_id FROM train")
+def exclude_set(t):
+    return evaluate.exclude_set(t.ratings(), split(t)[1])
+
+
+# Aggregates
+
+
+@query("SELECT item_id, round(avg(rating) * ln(1 + count(*)), 6) AS popularity_score FROM ratings GROUP BY item_id")
+def popularity_score(t):
+    return scores.popularity(t.ratings()).select("item_id", F.round("popularity_score", 6).alias("popularity_score"))
+
+
+@query(statements.SCORED + "SELECT id AS item_id, trending_score FROM scored WHERE id IN (SELECT item_id FROM ratings)")
+def trending_score(t):
+    return scores.trending(t.ratings()).select("item_id", F.round("trending_score", 6).alias("trending_score"))
+
+
+@query(statements.TAGGED + "SELECT id AS item_id, user_tags FROM tagged WHERE user_tags IS NOT NULL")
+def top_tags(t):
+    return scores.top_tags(t.tags())
+
+
+@query(f"SELECT genre, count(*) AS items FROM (SELECT trim(unnest(string_split(genres, '|'))) AS genre FROM items) WHERE genre NOT IN ('', '{s.NO_GENRES}') GROUP BY genre")
+def genre_counts(t):
+    return catalog.genre_counts(t.items())
+
+
+@query("""SELECT count(*) AS items, count(poster_path) AS enriched, count(*) FILTER (tmdb_id NOT IN ('', 'nan') AND poster_path IS NULL) AS pending,
+  (SELECT count(*) FROM ratings) AS ratings, round(count(poster_path) / count(*) * 100, 1) AS enriched_pct FROM items""")
+def table_stats(t):
+    return catalog.table_stats(t.items(), t.ratings())
+
+
+@query(statements.TAGGED + "SELECT count(*) FILTER (length(trim(overview)) > 0) AS with_overview, count(*) FILTER (length(trim(user_tags)) > 0) AS with_tags FROM tagged")
+def feature_coverage(t):
+    return catalog.feature_coverage(tagged(t))
+
+
+@query("SELECT count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, count(*) AS ratings, round((1 - count(*) / (count(DISTINCT user_id) * count(DISTINCT item_id))) * 100, 6) AS sparsity_pct FROM ratings")
+def matrix_stats(t):
+    return scores.matrix_stats(t.ratings())
+
+
+@query(statements.SPLIT + "SELECT item_id, count(*) AS ratings FROM train GROUP BY item_id")
+def train_popularity(t):
+    return scores.rating_counts(split(t)[0])
+
+
+@query("""SELECT user_id, count(*) AS total, round(avg(rating), 1) AS average, max(rating) AS highest, min(rating) AS lowest
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS n FROM ratings) WHERE n <= 500 GROUP BY user_id""")
+def rating_insights(t):
+    return interactions.rating_insights(t.ratings())
+
+
+@query("SELECT b.bin, count(r.rating) AS ratings FROM (SELECT unnest(range(1, 11)) / 2 AS bin) b LEFT JOIN ratings r ON r.rating = b.bin GROUP BY b.bin")
+def rating_histogram(t):
+    return interactions.rating_histogram(t.ratings())
+
+
+@query(statements.TOP_GENRES)
+def user_top_genres(t):
+    return interactions.user_top_genres(t.ratings(), t.items()).select("user_id", "genre", "liked", "rank")
+
+
+# Ranking
+
+
+@query(statements.POPULAR + "SELECT user_id, item_id, popularity_score, rank FROM lists WHERE rank <= 10")
+def popularity_topn(t):
+    return popular_lists(t, 10).select("user_id", "item_id", "popularity_score", "rank")
+
+
+@query("SELECT user_id, item_id, rank FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS rank FROM ratings) WHERE rank <= 5")
+def topk_per_group(t):
+    return factors.top_n(t.ratings(), "rating", 5).select("user_id", "item_id", "rank")
+
+
+@query(statements.OVERLAP)
+def set_overlap(t):
+    sets = t.tags().groupBy("item_id").agg(F.collect_set("tag").alias("a"))
+    mine = sets.join(t.items().select(F.col("id").alias("item_id"), F.split("genres", r"\|").alias("g")), "item_id")
+    lowered = F.transform("a", lambda x: F.substring_index(x, "_", 1))
+    return mine.select("item_id", F.round(fx.jaccard(F.array_distinct(lowered), F.array(F.lit("high"), F.lit("urgent"), F.get("g", F.lit(0)))), 6).alias("overlap"))
+
+
+@query(statements.SPLIT + statements.TRAIN_LISTS + statements.HITS + "SELECT user_id, item_id, rank, hit, hits FROM hits")
+def running_hits(t):
+    return evaluate.marked_hits(train_lists(t), split(t)[1])
+
+
+# Content
+
+
+@query(statements.TAGGED + statements.TERMS + "SELECT item_id, term, tf FROM counts")
+def tokenize_ngrams(t):
+    return content.term_counts(tagged(t).select(F.col("id").alias("item_id"), fx.feature_text("user_tags").alias("text")))
+
+
+@query(statements.TAGGED + statements.TERMS + "SELECT term, df FROM vocab")
+def tfidf_vocab(t):
+    texts = tagged(t).select(F.col("id").alias("item_id"), fx.feature_text("user_tags").alias("text"))
+    return content.vocabulary(content.term_counts(texts), texts.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + "SELECT item_id, term, round(w, 6) AS w FROM weights")
+def tfidf_weights(t):
+    return weights(t).select("item_id", "term", F.round("w", 6).alias("w"))
+
+
+@query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.SIMILAR)
+def similar_items_content(t):
+    return content.similar_items(weights(t), 10)
+
+
+@query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.PROFILES + "SELECT user_id, count(*) AS terms, round(sum(p), 6) AS total FROM profiles GROUP BY user_id")
+def user_profile(t):
+    return content.user_profiles(t.ratings(), weights(t)).groupBy("user_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("p"), 6).alias("total"))
+
+
+@query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.PROFILES + statements.CONTENT + "SELECT user_id, item_id, similarity, rank FROM content WHERE rank <= 10")
+def recommend_content(t):
+    return content.recommend_content(t.ratings(), weights(t), t.ratings(), 10)
+
+
+@query(statements.LATENT)
+def similar_items_latent(t):
+    return factors.similar_items_latent(t.item_factors(), 10)
+
+
+# Factors
+
+
+@query(statements.SPLIT + "SELECT user_id, item_id, is_train FROM parts")
+def train_test_split(t):
+    return factors.split_ratings(t.ratings()).select("user_id", "item_id", "is_train")
+
+
+@query(statements.BIASES)
+def bias_baseline(t):
+    mean, items, users = factors.bias_baseline(t.ratings())
+    return items.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.round("item_bias", 6).alias("bias")).unionByName(
+        users.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), F.round("user_bias", 6).alias("bias"))
+    )
+
+
+@query()
+def fit_factors(t):
+    fitted = factors.fit_factors(t.ratings(), rank=8, rounds=4)
+    return fitted["items"].select("item_id", F.size("features").alias("rank"), F.round("bias", 4).alias("bias"))
+
+
+@query()
+def fit_early_stop(t):
+    train, test = split(t)
+    _, errors = factors.fit_early_stop(train, test, (1, 2, 3), 2, rank=4)
+    return test.agg(F.count(F.lit(1)).alias("rows")).select("rows", *[F.lit(e).alias(f"rmse_{i}") for i, e in enumerate(errors[:2])])
+
+
+@query(statements.PREDICT + "SELECT user_id, item_id, prediction FROM predicted")
+def predict_rating(t):
+    return factors.predict(t.ratings().select("user_id", "item_id"), model(t)).withColumn("prediction", F.round("prediction", 6))
+
+
+@query(statements.PREDICT_ALL + "SELECT user_id, item_id, prediction, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM open_items) WHERE rank <= 10")
+def recommend_collab(t):
+    return factors.top_n(factors.score_candidates(model(t), t.ratings()), "prediction", 10)
+
+
+@query(statements.HYBRID + "SELECT user_id, item_id, rating_prediction, content_similarity, score, rank FROM hybrid WHERE rank <= 10")
+def recommend_hybrid(t):
+    return recommend.recommend_hybrid(model(t), t.ratings(), weights(t), 10)
+
+
+@query("SELECT user_id, count(*) < 5 AS is_cold FROM ratings GROUP BY user_id")
+def cold_start_route(t):
+    users = t.ratings().select("user_id").distinct()
+    return recommend.cold_users(users, t.ratings(), t.user_factors())
+
+
+@query()
+def explain(t):
+    w = weights(t).checkpoint() if t.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else weights(t)
+    recs = recommend.recommend_hybrid(model(t), t.ratings(), w, 10)
+    return recommend.explain(recs, t.ratings(), w, tagged(t))
+
+
+@query()
+def refit_full(t):
+    fitted = factors.fit_factors(t.ratings(), rank=8, rounds=3)
+    return factors.rmse_mae(factors.predict(t.ratings(), fitted)).select(F.round("rmse", 2).alias("rmse"))
+
+
+# Evaluation
+
+
+@query(statements.PREDICT + "SELECT round(sqrt(avg((rating - raw) * (rating - raw))), 6) AS rmse, round(avg(abs(rating - raw)), 6) AS mae FROM predicted")
+def rmse_mae(t):
+    got = factors.rmse_mae(factors.predict(t.ratings(), model(t)))
+    return got.select(F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"))
+
+
+@query(statements.SPLIT + statements.TRAIN_LISTS + statements.HITS + statements.RANK_METRICS)
+def rank_metrics(t):
+    return evaluate.rank_metrics(train_lists(t), split(t)[1])
+
+
+@query(statements.SPLIT + statements.TRAIN_LISTS + "SELECT round(count(DISTINCT item_id) / (SELECT count(*) FROM items), 6) AS coverage FROM recs")
+def catalog_coverage(t):
+    return evaluate.catalog_coverage(train_lists(t), t.items())
+
+
+@query(statements.SPLIT + statements.TRAIN_LISTS + statements.DIVERSITY)
+def intralist_diversity(t):
+    return evaluate.intralist_diversity(train_lists(t), t.items())
+
+
+@query(statements.SPLIT + statements.TRAIN_LISTS + statements.NOVELTY)
+def novelty(t):
+    return evaluate.novelty(train_lists(t), split(t)[0], t.items())
+
+
+@query(statements.SPLIT + "SELECT user_id FROM (SELECT DISTINCT user_id FROM test) ORDER BY CAST(concat('0x', substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT), user_id LIMIT 2000")
+def eval_user_sample(t):
+    return evaluate.eval_user_sample(split(t)[1])
+
+
+@query()
+def evaluate_all(t):
+    _, metrics = jobs.train_and_evaluate(t.items(), t.ratings())
+    return metrics

@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import subwords
@@ -346,12 +346,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     """Fit on at most ROWS labelled rows of each label, chosen by hashed id."""
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").where(allowed).distinct()
     fits = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= BYTES)).select("doc_id").distinct()
-    chosen = (
-        marked.join(fits, "doc_id", "left_semi")
-        .withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")))
-        .where(F.col("n") <= ROWS)
-        .select("doc_id", "toxic")
-    )
+    able = marked.join(fits, "doc_id", "left_semi").withColumn("spread", F.xxhash64("doc_id", F.lit(7)))
+    # The first by hashed id of each label; Spark keeps as many in each task, not all.
+    first = lambda label: able.where(F.col("toxic") == label).orderBy("spread", "doc_id").limit(ROWS)
+    chosen = first(0).unionByName(first(1)).select("doc_id", "toxic")
     rows = (
         docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= BYTES))
         .select("doc_id", "text")

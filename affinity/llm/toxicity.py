@@ -40,8 +40,8 @@ U, R = np.uint64, np.float32
 SPAN, STEP = 32, 16
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 GRAM_BITS, GRAM_SIZES = 15, (3, 4)
-#: Bounds of the training sample and of the word table.
-ROWS, BYTES, WORDS = 1200, 8_000, 30_000
+#: Bounds of the training sample (texts of each label, bytes a text) and of the word table.
+ROWS, BYTES, WORDS = {0: 2000, 1: 800}, 8_000, 30_000
 #: Windows that run through the network at a time.
 BATCH = 4096
 #: Words whose n-grams are averaged at a time.
@@ -309,7 +309,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, seed: i
         again[:750, SPAN // 2 :] = rng.choice(clean_words, 750)[:, None]
         w.place = np.concatenate([w.place, again])
     real, drills = len(w.text), np.arange(len(w.text), len(w.place))
-    for turn, epochs in enumerate((5, 3, 3)):
+    for turn, epochs in enumerate((5, 2, 2, 2, 2)):
         top = best_window(score, w.text, len(texts))
         positive = top[toxic & ~held]
         if turn:
@@ -319,43 +319,58 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, seed: i
         chosen = np.concatenate([positive, negative])
         learn(model, w, ids, chosen, (np.arange(len(chosen)) < len(positive)).astype(R), epochs, rng, moments)
         score = model.logits(w)[:real]
-    top = score[best_window(score, w.text, len(texts))]
+    top = score[best_window(score, w.text, len(texts))].astype(np.float64)
     check = held if held.any() else ~held
-    model.slope, model.shift = calibrate(top[check].astype(np.float64), toxic[check], share)
+    share = toxic.mean() if share is None else min(max(share, 0.001), 0.999)
+    cut = best_cut(top, toxic, share)
+    model.slope = slope_at(top[check] - cut, toxic[check], share)
+    model.shift = -model.slope * cut
     return model
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, share: float | None) -> tuple[float, float]:
-    """Slope and shift of a logistic curve by damped Newton steps, with one
-    imagined text of each kind so that separable samples stay finite."""
-    share = y.mean() if share is None else min(max(share, 0.001), 0.999)
-    weight = np.where(y, share / max(1, y.sum()), (1 - share) / max(1, (~y).sum())) * len(y)
+def weights(y: np.ndarray, share: float) -> np.ndarray:
+    """Of texts, so that ``share`` of the weight is on toxic ones."""
+    return np.where(y, share / max(1, y.sum()), (1 - share) / max(1, (~y).sum())) * len(y)
+
+
+def best_cut(x: np.ndarray, y: np.ndarray, share: float) -> float:
+    """The cut with the least weighted error, in the middle of the widest such gap."""
+    order = np.argsort(x, kind="stable")
+    x, w = x[order], weights(y, share)[order] * np.where(y[order], 1, -1)
+    error = np.cumsum(w)[:-1]  # up to a constant, with the cut behind each text but the last
+    gap = np.diff(x)
+    open_ = gap > 1e-9
+    if not open_.any():
+        return float(x[0])
+    least = error[open_].min()
+    at = np.flatnonzero(open_ & (error <= least + 1e-9))
+    at = at[np.argmax(gap[at])]
+    return float((x[at] + x[at + 1]) / 2)
+
+
+def slope_at(x: np.ndarray, y: np.ndarray, share: float) -> float:
+    """Slope of the logistic curve through 1/2 at 0 that fits best on a grid, with one
+    imagined text of each kind so that it stays finite."""
     target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    a, b = 1.0, 0.0
-    for _ in range(80):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        e, v = weight * (p - target), weight * (p * (1 - p) + 1e-6)
-        g = np.array([(e * x).sum() + 1e-3 * (a - 1), e.sum()])
-        hess = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
-        move = np.clip(np.linalg.solve(hess, g), -1, 1)
-        a, b = max(0.05, a - move[0]), b - move[1]
-    return float(a), float(b)
+    w, grid = weights(y, share), np.geomspace(0.05, 5, 60)
+    loss = [(w * (np.logaddexp(0, a * x) - target * a * x)).sum() for a in grid]
+    return float(grid[int(np.argmin(loss))])
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
-    """Fit on at most ROWS labelled rows of each label, chosen by hashed id."""
+    """Fit on at most ROWS labelled rows, chosen by hashed id."""
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").where(allowed).distinct()
     fits = docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= BYTES)).select("doc_id").distinct()
     able = marked.join(fits, "doc_id", "left_semi").withColumn("spread", F.xxhash64("doc_id", F.lit(7)))
     # The first by hashed id of each label; Spark keeps as many in each task, not all.
-    first = lambda label: able.where(F.col("toxic") == label).orderBy("spread", "doc_id").limit(ROWS)
+    first = lambda label: able.where(F.col("toxic") == label).orderBy("spread", "doc_id").limit(ROWS[label])
     chosen = first(0).unionByName(first(1)).select("doc_id", "toxic")
     rows = (
         docs.where((F.octet_length("text") > 0) & (F.octet_length("text") <= BYTES))
         .select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")  # 2 * ROWS rows at most
+        .join(F.broadcast(chosen), "doc_id")  # the sum of ROWS at most
         .orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "text")
-        .limit(2 * ROWS)
+        .limit(sum(ROWS.values()))
         .collect()
     )
     share = marked.agg(F.avg("toxic")).first()[0]

@@ -3,11 +3,12 @@
 A document's set of word shingles is XOR-hashed into a bit sketch: every shingle
 flips one bit, so two sketches differ in at most as many bits as the sets differ
 in elements. Sets are joined inside geometric size bands. A pair in reach of the
-threshold in a band differs in at most D elements, so of a sketch cut into more
-than D pieces at least one piece is equal: pieces are the join keys. A piece is
-sent as the XOR of its set bits' codes, in which flips cancel like in the sketch.
-Pieces with one bit or none meet by chance; bands have some pieces more than D + 1,
-and only a set with more such pieces than that sends them, so no pair is lost.
+threshold in a band differs in at most D elements. Of a sketch cut into more than
+D / 2 triples of pieces, at least one triple differs in one piece or none, and so
+agrees in two: pairs of pieces in a triple are the join keys. A piece counts as the
+XOR of its set bits' codes, in which flips cancel like in the sketch. Pairs with one
+bit or none meet by chance; bands have some spare triples, and only a set that has
+such pairs in more triples than that sends them, so no pair of sets is lost.
 
 Holders of an equal key form a group. Groups of the same holders are one, equal
 sets are one holder, and in each group the holders' whole sketches, which bound the
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import prepare, splits, table
+from .common import prepare, release, splits, table
 from .components import components
 from .exchange import forest, run_starts, scatter, unpack_all
 
@@ -52,16 +53,17 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1500, 4_000_000
 
 
 @lru_cache(maxsize=8)
-def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size, pieces, and spare pieces of each band, beyond sizes ``upto``."""
+def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First size, greatest difference D of a pair, triples of pieces, and spare triples
+    of each band, beyond sizes ``upto``."""
     first = [1]
     while first[-1] <= upto:
         first.append(max(first[-1] + 1, -(-first[-1] * 100 // percent)))
     first.append(max(first[-1] + 1, -(-first[-1] * 100 // percent)))
     most = np.array(first[1:]) - 1
     differ = 2 * most * (100 - percent) // (100 + percent)
-    spare = np.where(differ > 0, 1 + differ // 6, 0)
-    return np.array(first[:-1]), differ + 1 + spare, spare
+    spare = np.where(differ > 0, 1 + differ // 12, 0)
+    return np.array(first[:-1]), differ, differ // 2 + 1 + spare, spare
 
 
 def band_limit(n: int) -> int:
@@ -83,31 +85,39 @@ def sets_of(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np
 def piece_keys(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Join keys and the document of each."""
     n = np.diff(bounds)
-    first, pieces, spare = bands(percent, band_limit(n.max(initial=1)))
+    first, differ, triples, spare = bands(percent, band_limit(n.max(initial=1)))
     own = np.searchsorted(first, n, "right") - 1
     owner = np.repeat(np.arange(len(n)), n)
     keys, docs = [], []
     for up in (0, 1):
         band = own + up
-        count = np.where(n > 0, pieces[band], 0)
+        count = np.where(n > 0, triples[band], 0)
         offset = np.concatenate([[0], np.cumsum(count)])
         holder = np.repeat(np.arange(len(n)), count)
-        place = tx.mix(sets + U(0x51ED2701)) % (count[owner].astype(U) * U(WIDTH)) + offset[owner].astype(U) * U(WIDTH)
+        base = (3 * WIDTH * offset).astype(U)
+        place = tx.mix(sets + U(0x51ED2701)) % (count[owner] * 3 * WIDTH).astype(U) + base[owner]
         place.sort()
         starts = run_starts(place)
         bits = place[starts[np.diff(np.append(starts, len(place))) & 1 == 1]]
         piece = (bits // U(WIDTH)).astype(np.int64)
-        code = tx.mix((bits - (offset[holder[piece]] * WIDTH).astype(U) + U(1)) * tx.BASE)
-        value, size = np.zeros(offset[-1], U), np.bincount(piece, minlength=offset[-1])
+        code = tx.mix((bits - base[holder[piece // 3]] + U(1)) * tx.BASE)
+        value, size = np.zeros(3 * offset[-1], U), np.bincount(piece, minlength=3 * offset[-1])
         firsts = run_starts(piece)
         if len(firsts):
             value[piece[firsts]] = np.bitwise_xor.reduceat(code, firsts)
-        # A piece of one bit or none tells little and is met by chance.
-        weak = (size <= 1) & (spare[band] > 0)[holder]
-        sends = ~weak | (np.bincount(holder[weak], minlength=len(n)) > spare[band])[holder]
-        tag = band[holder].astype(U) << U(40) | (np.arange(offset[-1]) - offset[holder]).astype(U)
-        keys.append(tx.mix(value + tx.mix(tag * tx.BASE + U(7)))[sends])
-        docs.append(holder[sends])
+        value, size = tx.mix(value).reshape(-1, 3), size.reshape(-1, 3)
+        tag = tx.mix((band[holder].astype(U) << U(40) | (np.arange(offset[-1]) - offset[holder]).astype(U)) * tx.BASE + U(7))
+        key = np.stack([tx.mix(value[:, i] + tx.mix(value[:, j] + tag + U(i + j))) for i, j in ((0, 1), (0, 2), (1, 2))], axis=1)
+        # A pair of one bit or none tells little and is met by chance.
+        weak = np.stack([size[:, i] + size[:, j] <= 1 for i, j in ((0, 1), (0, 2), (1, 2))], axis=1) & (spare[band] > 0)[holder, None]
+        many = np.bincount(holder[weak.any(axis=1)], minlength=len(n)) > spare[band]
+        sends = ~weak | many[holder, None]
+        # Without room for a difference the whole set is the only key.
+        same = (differ[band] == 0)[holder]
+        key[same, 0] = tx.mix(value[same].sum(axis=1, dtype=U) + tag[same])
+        sends[same] = [True, False, False]
+        keys.append(key[sends])
+        docs.append(np.repeat(holder, 3).reshape(-1, 3)[sends])
     return np.concatenate(keys), np.concatenate(docs)
 
 
@@ -118,9 +128,9 @@ def prints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sketch_bits(n: int, percent: int) -> int:
-    """Sketch size for a set of n: a power of two, 8 bits and more for every
+    """Sketch size for a set of n: a power of two, 4 bits and more for every
     element in which two linked sets of that size may differ."""
-    return max(64, 1 << int(16 * n * (100 - percent) // (100 + percent)).bit_length())
+    return max(64, 1 << int(8 * n * (100 - percent) // (100 + percent)).bit_length())
 
 
 def sketch(elements: np.ndarray, bits: int) -> np.ndarray:
@@ -307,6 +317,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .checkpoint()
     )
     groups = components(candidate_edges(docs, known, classes, size, percent))
+    release(spark)
 
     members = classes.join(groups, classes["rep"] == groups["node"], "left").select(
         "rep", "f", "g", "n_shingles", F.coalesce("root", "rep").alias("group")

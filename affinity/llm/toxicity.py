@@ -41,7 +41,7 @@ SPAN, STEP = 32, 16
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 GRAM_BITS, GRAM_SIZES = 15, (3, 4)
 #: Bounds of the training sample (texts of each label, bytes a text) and of the word table.
-ROWS, BYTES, WORDS = {0: 2000, 1: 800}, 8_000, 30_000
+ROWS, BYTES, WORDS = {0: 1600, 1: 600}, 8_000, 30_000
 #: Windows that run through the network at a time.
 BATCH = 4096
 #: Words whose n-grams are averaged at a time.

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import prepare, release, splits, table
+from .common import prepare, release, scratch, splits, table
 from .components import components
 from .exchange import forest, run_starts, scatter, unpack_all
 
@@ -247,8 +247,11 @@ def candidate_edges(docs: DataFrame, known: DataFrame, classes: DataFrame, size:
     of_doc = known.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "f", "g").distinct()
     rep_of = of_doc.join(classes.select("n_shingles", "f", "g", "rep"), ["n_shingles", "f", "g"]).select("doc_id", "rep")
     blocks = F.ceil(F.col("holders") / BLOCK_HOLDERS).cast("int")
+    path = scratch(docs.sparkSession, "keys")
+    shared_keys(docs, size, percent).write.parquet(path)
+    release(docs.sparkSession)
     members = (
-        shared_keys(docs, size, percent)
+        docs.sparkSession.read.parquet(path)
         .join(rep_of, F.col("doc") == F.col("doc_id"))
         .groupBy("gid", "rep")
         .agg(F.max("holders").alias("holders"))

@@ -166,3 +166,17 @@ def test_metrics(spark, items):
     train = spark.createDataFrame([(9, 1, 1.0), (8, 1, 1.0), (9, 2, 1.0)], "user_id long, item_id long, rating double")
     want = -sum(math.log2((c + 1) / 8) for c in (2, 1, 0, 0, 0)) / 5
     assert evaluate.novelty(recs, train, items).first().novelty == pytest.approx(want, abs=1e-6)
+
+
+def test_stop_words_are_those_of_spark(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    assert content.stop_words() == sorted(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 80

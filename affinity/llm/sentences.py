@@ -2,11 +2,15 @@
 
 A sentence ends at a line break, or at white space after ``.``, ``!`` or ``?``. Two
 sentences are equal if their words are (A-Z lower-cased, white space aside). Every
-run of ``run`` neighbouring sentences with ``least`` words or more is hashed. Over
-all documents the first of equal runs, by (doc_id, place), stays; sentences that any
-other run covers go. Runs are judged on the input, and may overlap. Runs are packed
-and exchanged by hash (``exchange``), so a run that very many documents share costs a
-few bytes for each.
+run of ``run`` neighbouring sentences with ``least`` words or more is hashed. With
+``grow``, so is every longer run that has enough words, but not without its first or
+not without its last sentence; then any repeated passage of ``run`` sentences and
+``least`` words is covered by runs, however short its sentences are. A text that has no
+such run (one sentence, or too few words) is then hashed as a whole, and meets only
+texts that are equal as a whole. Over all documents the first of equal runs, by
+(doc_id, place), stays; sentences that any other run covers go. Runs are judged on the
+input, and may overlap. Runs are packed and exchanged by hash (``exchange``), so a run
+that very many documents share costs a few bytes for each.
 
 Null and empty texts have no sentences and stay as they are. Rows that share a
 doc_id are told apart by their texts; rows equal in both are one document and get
@@ -34,10 +38,10 @@ FLUSH = 500_000
 LAST = np.iinfo(np.int64).max
 STOP = np.zeros(256, bool)
 STOP[[0x21, 0x2E, 0x3F]] = True
-#: run, document, row mark, place
-ENTRY = (U, np.int64, U, np.int32)
-#: document, row mark, place
-CUT = (U, np.int64, U, np.int32)
+#: run, document, row mark, place, sentences
+ENTRY = (U, np.int64, U, np.int32, np.int32)
+#: document, row mark, place, sentences
+CUT = (U, np.int64, U, np.int32, np.int32)
 
 
 def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -58,20 +62,35 @@ def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return head, doc[first], tx.mix(total + size.astype(U)), size
 
 
-def runs(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first sentence of every long enough run inside a text."""
-    n = len(owner) - run + 1
-    if n <= 0:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    key, words = np.zeros(n, U), np.zeros(n, np.int64)
-    for k in range(run):
-        key = key * tx.BASE + hashes[k : k + n]
-        words += size[k : k + n]
-    at = np.flatnonzero((owner[:n] == owner[run - 1 :]) & (words >= least))
-    return tx.mix(key[at]), at
-
-
-def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10) -> DataFrame:
+def runs(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray, run: int, least: int, grow: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first sentence and number of sentences of every run inside a text."""
+    n = len(owner)
+    if not n:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = np.concatenate([[0], np.cumsum(size)])
+    begin, end = np.searchsorted(owner, owner), np.searchsorted(owner, owner, "right")
+    # The shortest run from each sentence on, then the shortest up to each sentence.
+    a = np.arange(n)
+    b = np.maximum(a + run, np.searchsorted(words, words[:-1] + least))
+    inside = b <= end
+    d = a + 1
+    c = np.minimum(d - run, np.searchsorted(words, words[1:] - least, "right") - 1)
+    other = c >= begin
+    other[other] = b[c[other]] != d[other]
+    # Texts without a run: their first sentences.
+    whole = (a == begin) & ((end - begin < run) | (words[end] - words[begin] < least))
+    if not grow:
+        inside &= b - a == run
+        other[:], whole[:] = False, False
+    first = np.concatenate([a[inside], c[other], a[whole]])
+    past = np.concatenate([b[inside], d[other], end[whole]])
+    prefix = np.zeros(n + 1, U)
+    np.cumsum(hashes * tx.powers(n), out=prefix[1:])
+    unpowers = tx.powers(n, tx.UNBASE)
+    return tx.mix((prefix[past] - prefix[first]) * unpowers[first] + (past - first).astype(U)), first, past - first
+
+
+def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool = False) -> DataFrame:
     """doc_id, n_sentences, n_removed and text (what is kept) of every row."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -83,10 +102,10 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10) -> DataFrame
             ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
             for i, _, data, at in tx.slices(batch.column(1)):
                 _, owner, hashes, size = split(data, at)
-                key, first = runs(owner, hashes, size, run, least)
+                key, first, length = runs(owner, hashes, size, run, least, grow)
                 text = owner[first]
                 place = (first - np.searchsorted(owner, text)).astype(np.int32)
-                held.append((key, ids[i:][text], row_marks(data, at)[text], place))
+                held.append((key, ids[i:][text], row_marks(data, at)[text], place, length.astype(np.int32)))
                 count += len(key)
                 if count >= FLUSH:
                     yield send(held)
@@ -101,29 +120,29 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10) -> DataFrame
         return pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int32()), "entries": pa.array([p[1] for p in parts], pa.binary())})
 
     def decide(part: pd.DataFrame) -> pd.DataFrame:
-        key, doc, mark, place = unpack_all(list(part["entries"]), ENTRY)
+        key, doc, mark, place, length = unpack_all(list(part["entries"]), ENTRY)
         order = np.lexsort((place, mark, doc, key))
         order = order[run_starts(*(c[order] for c in (key, doc, mark, place)))]
         again = np.ones(len(order), bool)
         again[run_starts(key[order])] = False
         gone = order[again]
-        rows = list(by_document([doc[gone], mark[gone], place[gone]], buckets)) if len(gone) else []
+        rows = list(by_document([doc[gone], mark[gone], place[gone], length[gone]], buckets)) if len(gone) else []
         return frame(rows, ["bucket", "cuts"])
 
     def apply(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         ids = texts["doc_id"].astype("Int64").fillna(LAST).to_numpy(np.int64)
         data, at = tx.buffers(pa.array(texts["text"], pa.string()))
         mark, cuts = row_marks(data, at), {}
-        _, doc, own, place = unpack_all(list(part["cuts"]), CUT)
-        for d, m, p in zip(doc.tolist(), own.tolist(), place.tolist(), strict=True):
-            cuts.setdefault((d, m), []).append(p)
+        _, doc, own, place, length = unpack_all(list(part["cuts"]), CUT)
+        for d, m, p, k in zip(doc.tolist(), own.tolist(), place.tolist(), length.tolist(), strict=True):
+            cuts.setdefault((d, m), []).append((p, k))
         head, owner, _, _ = split(data, at)
         first, out = np.searchsorted(owner, np.arange(len(texts) + 1)), []
         for i, (d, text) in enumerate(zip(ids.tolist(), texts["text"], strict=True)):
             begin, n = head[first[i] : first[i + 1]], int(first[i + 1] - first[i])
             gone = np.zeros(n, bool)
-            for p in cuts.get((d, int(mark[i])), []):
-                gone[p : p + run] = True
+            for p, k in cuts.get((d, int(mark[i])), []):
+                gone[p : p + k] = True
             bounds = np.append(begin, at[i + 1])
             kept = text if not gone.any() else b"".join(data[a:b].tobytes() for a, b, g in zip(bounds[:-1], bounds[1:], gone, strict=True) if not g).decode()
             out.append((None if d == LAST else d, n, int(gone.sum()), kept))
@@ -139,4 +158,4 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10) -> DataFrame
 
 
 def op4_substring_dedup(spark, sf_dir):
-    return dedup_sentences(table(spark, sf_dir, "documents"))
+    return dedup_sentences(table(spark, sf_dir, "documents"), grow=True)

@@ -70,3 +70,39 @@ def test_other_lengths_and_many_sends(spark, monkeypatch):
 def test_empty(spark):
     assert dedup_sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(x) for x in dedup_sentences(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 0, None)]
+
+
+def brute_grown(rows, run, least):
+    """All runs that are too short without their first or without their last sentence."""
+    spans = {}
+    for d, t in sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0)):
+        p = parts(t or "")
+        enough = lambda i, j: j - i >= run and sum(len(w) for _, w in p[i:j]) >= least
+        found = [(i, j) for i in range(len(p)) for j in range(i + 1, len(p) + 1) if enough(i, j) and not (enough(i + 1, j) and enough(i, j - 1))]
+        for i, j in found or [(0, len(p))] * bool(p):
+            spans.setdefault(tuple(w for _, w in p[i:j]), []).append((d, t, i, j))
+    gone = {}
+    for places in spans.values():
+        for d, t, i, j in sorted(places, key=lambda x: (x[0] is None, x[0] or 0))[1:]:
+            gone.setdefault((d, t), set()).update(range(i, j))
+    out = []
+    for d, t in rows:
+        p, g = parts(t or ""), gone.get((d, t), set())
+        out.append((-1 if d is None else d, len(p), len(g), (t if not g else b"".join(x for i, (x, _) in enumerate(p) if i not in g).decode()) or ""))
+    return sorted(out)
+
+
+def test_grown_runs_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "FLUSH", 500)
+    rows = corpus(3) + [(910 + i, t) for i, t in enumerate(["Yes.", "No way. Yes.", "no  way. yes.", "yes."])]
+    assert result(spark, rows, 3, grow=True) == brute_grown(rows, 2, 10)
+
+
+def test_query_cuts_short_sentences_and_whole_texts(spark, tmp_path):
+    shout = " ".join(f"WORD{i}!!" for i in range(30))  # one-word sentences
+    tail = "This sentence has quite a few more words than ten in it. Ka. Lo. Mi."
+    line = "one sentence without an end " * 4
+    texts = [shout, shout, f"Start. {shout} End.", tail, tail, line, line, "Too short.", "Too short.", "Other one."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.text) for r in sentences.op4_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, shout), 1: (30, ""), 2: (30, "Start. End."), 3: (0, tail), 4: (4, ""), 5: (0, line), 6: (1, ""), 7: (0, "Too short."), 8: (1, ""), 9: (0, "Other one.")}

@@ -10,6 +10,11 @@ of bounds before it is counted. The same bound asks a unit to share least / (2 -
 of a template's bigrams; a text that as a whole shares fewer with every template holds
 no such unit and is dropped first. Bigrams that no template has only count for the size.
 
+With ``passages``, runs of two or more neighbouring sentences are units too, across
+lines, whose breaks read as spaces: a licence wrapped above other text is one. Only runs
+that begin and end with a bigram of the template found nowhere else in the run are
+tried; any other run has a shorter one inside it that scores as much or more.
+
 Normalised text: lower case, every run of other characters than letters and digits is
 one space. A unit of one word has that word as its bigram. Null, empty and wordless
 texts match nothing. Repeated rows are scanned once each, and documents are told apart
@@ -20,10 +25,10 @@ columns are not read. The templates below are a fixed table, so it is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
 #: Published licence notices and texts; fixed values.
 TEMPLATES = {
@@ -104,9 +109,9 @@ def normalised(text: Column) -> Column:
 
 
 def units(norm: Column) -> Column:
-    """(unit, piece) of all units of a normalised text."""
-    several = F.filter(F.split(norm, LINE), lambda x: F.contains(x, F.lit(SENTENCE)))
-    named = lambda kind, pieces: F.transform(pieces, lambda x: F.struct(F.lit(kind).alias("unit"), F.trim(F.regexp_replace(x, "[ \x01\x02]+", " ")).alias("piece")))
+    """(unit, its place among its kind, piece) of all sentences, lines and the text."""
+    several = F.transform(F.split(norm, LINE), lambda x: F.when(F.contains(x, F.lit(SENTENCE)), x).otherwise(""))
+    named = lambda kind, pieces: F.transform(pieces, lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("at"), F.trim(F.regexp_replace(x, "[ \x01\x02]+", " ")).alias("piece")))
     whole = F.filter(F.array(norm), lambda x: F.contains(x, F.lit(LINE)))
     return F.concat(named("sentence", F.split(norm, "[\x01\x02]")), named("line", several), named("text", whole))
 
@@ -142,15 +147,74 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def passages_of(texts: DataFrame, sets: dict[str, set[str]], least: float) -> DataFrame:
+    """(text_hash, licence, passages): runs of sentences that reach ``least``, as structs
+    (last, first, last_line, first_line, dice) in order of their ends."""
+    spark = texts.sparkSession
+    low, high = least / (2 - least), (2 - least) / least
+    rows = [(name, len(s), *g.partition(" ")[::2]) for name, s in sets.items() for g in sorted(s)]
+    marks = spark.createDataFrame(rows, "licence string, size int, a string, b string").select("licence", "size", F.xxhash64("a", "b").alias("pair"))
+    sentences = F.flatten(F.transform(F.split("norm", LINE), lambda x, i: F.transform(F.split(x, SENTENCE), lambda y: F.struct(i.alias("line"), F.trim(y).alias("words")))))
+    numbered = F.transform(sentences, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["words"].alias("words")))
+    words = F.flatten(F.transform("pieces", lambda x: F.transform(F.split(x["words"], " "), lambda w: F.struct(x["at"].alias("at"), x["line"].alias("line"), w.alias("w")))))
+    pair = lambda x, y: F.struct(F.xxhash64(x["w"], y["w"]).alias("pair"), x["at"].alias("a"), y["at"].alias("b"), x["line"].alias("la"), y["line"].alias("lb"))
+    once = settled(texts.groupBy("text_hash").agg(F.first("text").alias("text")), "norm", normalised(F.col("text")))
+    once = settled(once, "pieces", F.filter(numbered, lambda x: x["words"] != ""))
+    once = settled(once.select("text_hash", words.alias("w")).where(F.size("w") > 1), "pairs", F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), pair)).select("text_hash", "pairs")
+    # Pairs of words that a text has for the first time, up to each place: a run has at
+    # least as many distinct ones as are new in it.
+    every = once.select("text_hash", F.posexplode("pairs").alias("pos", "p")).select("text_hash", "pos", "p.*")
+    new = (F.row_number().over(Window.partitionBy("text_hash", "pair").orderBy("pos")) == 1).cast("int")
+    every = every.withColumn("new", new).withColumn("c", F.sum("new").over(Window.partitionBy("text_hash").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    key = ["text_hash", "licence", "size"]
+    hits = every.join(F.broadcast(marks), "pair").withColumn("before", F.coalesce(F.lag("a").over(Window.partitionBy(*key, "pair").orderBy("pos")), F.lit(-1)))
+    starts = hits.groupBy(*key, F.col("a").alias("first")).agg(F.min("la").alias("first_line"), F.min("c").alias("c0"))
+    # For each first sentence, where each of the template's bigrams ends that follows first.
+    ends = (
+        hits.join(starts, key)
+        .where((F.col("before") < F.col("first")) & (F.col("first") <= F.col("a")) & (F.col("c") - F.col("c0") <= high * F.col("size") + 1e-9))
+        .select(*key, "first", "first_line", F.col("b").alias("last"), F.col("lb").alias("last_line"))
+        .groupBy(*key, "first", "first_line", "last", "last_line").agg(F.count(F.lit(1)).alias("here"))
+    )
+    upto = Window.partitionBy(*key, "first").orderBy("last").rowsBetween(Window.unboundedPreceding, 0)
+    tried = (
+        ends.withColumn("both", F.sum("here").over(upto))
+        .where((F.col("both") >= low * F.col("size") - 1e-9) & (F.col("last") > F.col("first")))
+        .groupBy("text_hash").agg(F.collect_list(F.struct("licence", "size", "first", "first_line", "last", "last_line", "both")).alias("runs"))
+    )
+    inside = lambda x: F.size(F.array_distinct(F.transform(F.filter("pairs", lambda q: (q["a"] >= x["first"]) & (q["b"] <= x["last"])), lambda q: q["pair"])))
+    scored = settled(tried.join(once, "text_hash").select("text_hash", "pairs", F.explode("runs").alias("x")), "n", inside(F.col("x")))
+    return (
+        scored.select("text_hash", "x.*", (2 * F.col("x.both") / (F.col("n") + F.col("x.size"))).alias("dice"))
+        .where(F.col("dice") >= least)
+        .groupBy("text_hash", "licence")
+        .agg(F.array_sort(F.collect_list(F.struct("last", "first", "last_line", "first_line", "dice"))).alias("passages"))
+    )
+
+
+def apart(passages: Column, found: Column) -> Column:
+    """Most passages that share no sentence with each other or with the units found."""
+    within = lambda b, x: (
+        (b["unit"] == "text")
+        | ((b["unit"] == "sentence") & b["at"].between(x["first"], x["last"]))
+        | ((b["unit"] == "line") & b["at"].between(x["first_line"], x["last_line"]))
+    )
+    free = F.filter(passages, lambda x: ~F.exists(found, lambda b: within(b, x)))
+    none = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("n"))
+    add = lambda s, x: F.when(x["first"] > s["last"], F.struct(x["last"].alias("last"), (s["n"] + 1).alias("n"))).otherwise(s)
+    return F.coalesce(F.aggregate(free, none, add, lambda s: s["n"]), F.lit(0))
+
+
 def python_bigrams(text: str) -> set[str]:
     w = "".join(c.lower() if c.isalnum() else " " for c in text).split()
     return {f"{a} {b}" for a, b in zip(w, w[1:])} or set(w)
 
 
-def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] = TEMPLATES, passages: bool = False) -> DataFrame:
     """(doc_id, text_hash, licence, dice, unit, n_units): for each document and licence,
     the best coefficient of ``least`` or more, the kind of unit that has it (``line``,
-    ``sentence`` or ``text``), and how many of its units reach ``least``."""
+    ``sentence``, ``text`` or ``passage``), and how many of its units reach ``least``;
+    passages count where they share no sentence with other units that do."""
     spark = docs.sparkSession
     sets = {name: python_bigrams(t) for name, t in templates.items()}
     sizes = sorted({len(s) for s in sets.values()})
@@ -162,33 +226,54 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] = TEMPLA
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     if min(len(t.split()) for t in templates.values()) > 1:
         texts = texts.join(sharing(texts, sets, low), "text_hash", "left_semi")
+    if passages:  # read twice
+        path = scratch(spark, "licences")
+        texts.write.parquet(path)
+        texts = spark.read.parquet(path)
     pieces = (
         settled(texts, "norm", normalised(F.col("text")))
         .select("doc_id", "text_hash", F.posexplode(units(F.col("norm"))).alias("place", "u"))
         .where(F.col("u.piece") != "")
-        .select("doc_id", "text_hash", "place", "u.unit", F.split("u.piece", " ").alias("words"))
+        .select("doc_id", "text_hash", "place", "u.unit", "u.at", F.split("u.piece", " ").alias("words"))
     )
     fitting = (
         # A set is no larger than its list, so the lower bound can go by the list.
         settled(pieces.where(F.size("words") >= low * sizes[0]), "grams", bigrams(F.col("words")))
-        .select("doc_id", "text_hash", "unit", "place", "grams", F.size("grams").alias("n"))
+        .select("doc_id", "text_hash", "unit", "at", "place", "grams", F.size("grams").alias("n"))
         .where(fits)
     )
     shared = (
         fitting.select("*", F.explode("grams").alias("gram"))
         .join(marks, "gram")
         .where((F.col("n") >= low * F.col("size") - 1e-9) & (F.col("n") <= high * F.col("size") + 1e-9))
-        .groupBy("doc_id", "text_hash", "unit", "place", "n", "licence", "size")
+        .groupBy("doc_id", "text_hash", "unit", "at", "place", "n", "licence", "size")
         .agg(F.count(F.lit(1)).alias("both"))
         .withColumn("dice", 2 * F.col("both") / (F.col("n") + F.col("size")))
         .where(F.col("dice") >= least)
     )
     best = F.max_by("unit", F.struct("dice", "unit"))
-    return shared.groupBy("doc_id", "text_hash", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), best.alias("unit"), F.count(F.lit(1)).alias("n_units"))
+    if not passages:
+        return shared.groupBy("doc_id", "text_hash", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), best.alias("unit"), F.count(F.lit(1)).alias("n_units"))
+    runs = (
+        texts.select("doc_id", "text_hash").distinct().join(passages_of(texts, sets, least), "text_hash")
+        .withColumn("dice", F.array_max(F.transform("passages", lambda x: x["dice"])))
+    )
+    other = F.col("unit") != "passage"
+    best = F.max_by("unit", F.struct("dice", other, "unit"))
+    return (
+        shared.select("doc_id", "text_hash", "licence", "dice", "unit", "at")
+        .unionByName(runs.withColumn("unit", F.lit("passage")), allowMissingColumns=True)
+        .groupBy("doc_id", "text_hash", "licence")
+        .agg(
+            F.round(F.max("dice"), 6).alias("dice"), best.alias("unit"), F.count_if(other).alias("n_units"),
+            F.collect_list(F.when(other, F.struct("unit", "at"))).alias("found"), F.first("passages", ignorenulls=True).alias("passages"),
+        )
+        .select("doc_id", "text_hash", "licence", "dice", "unit", (F.col("n_units") + apart(F.col("passages"), F.col("found"))).alias("n_units"))
+    )
 
 
 def op8_license_scans(spark, sf_dir):
-    return scan(table(spark, sf_dir, "documents")).drop("text_hash")
+    return scan(table(spark, sf_dir, "documents"), passages=True).drop("text_hash")
 
 
 def oracle(least: float = 0.8) -> str:

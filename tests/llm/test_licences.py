@@ -1,6 +1,7 @@
 import re
+import textwrap
 
-from affinity.llm.licences import TEMPLATES, python_bigrams, scan
+from affinity.llm.licences import TEMPLATES, op8_license_scans, python_bigrams, scan
 
 
 def brute(rows, least=0.8):
@@ -31,3 +32,55 @@ def test_matches_brute_force(spark):
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_passages(rows, least=0.8):
+    """All runs of two or more sentences besides the other units."""
+    sets = {k: python_bigrams(v) for k, v in TEMPLATES.items()}
+    out = {(d, n): (dice, unit, count) for d, n, dice, unit, count in brute(rows, least)}
+    for d, t in rows:
+        m = re.sub("\x02?[ \t\r\f\x0b]*\n\\s*", "\x01", re.sub("([.!?])[ \t\r\f\x0b]+", "\\1\x02", t))
+        spans, k = {"text": [], "line": [], "sentence": []}, 0
+        for line in m.split("\x01"):
+            first = k
+            for x in line.split("\x02"):
+                if python_bigrams(x):
+                    spans["sentence"].append((k, k + 1, x))
+                    k += 1
+            if "\x02" in line:
+                spans["line"].append((first, k, line))
+        spans["text"] = [(0, k, m)] * ("\x01" in m)
+        s = [x for _, _, x in spans["sentence"]]
+        for name, marks in sets.items():
+            score = lambda x: 2 * len((g := python_bigrams(x)) & marks) / max(1, len(g) + len(marks))  # noqa: B023, E731
+            taken = [(i, j) for kind in spans.values() for i, j, x in kind if score(x) >= least]
+            runs = sorted((j, i, v) for i in range(k) for j in range(i + 2, k + 1) if (v := score(" ".join(s[i:j]))) >= least)
+            if not runs:
+                continue
+            last, n = 0, 0
+            for j, i, _ in runs:
+                if i >= last and all(j <= a or b <= i for a, b in taken):
+                    last, n = j, n + 1
+            top = round(max(v for _, _, v in runs), 6)
+            dice, unit, count = out.get((d, name), (0, "passage", 0))
+            out[d, name] = (max(dice, top), "passage" if top > dice else unit, count + n)
+    return sorted((d, n, *v) for (d, n), v in out.items())
+
+
+def test_wrapped_licences_match_brute_force(spark):
+    code = "\n".join(f"x{i} = call(of the, {i % 7}); in no event" for i in range(20))
+    wrap = lambda t: textwrap.fill(t, 78, initial_indent=" * ", subsequent_indent=" * ")
+    rows = [(i, f"Head line\n{wrap(t)}\n{code}") for i, t in enumerate(TEMPLATES.values())]
+    mit, isc = wrap(TEMPLATES["mit text"]), wrap(TEMPLATES["isc text"])
+    rows += [(100, f"{code}\n{mit}\n{mit}\n{code}\n{isc}\n{mit}"), (101, f"{TEMPLATES['mit text']}\n{code}\n{mit}"), (102, "MIT License. " * 40), (103, mit.replace("the", "a") + "\n" + code)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.licence, r.dice, r.unit, r.n_units) for r in scan(docs, passages=True).collect())
+    assert got == brute_passages(rows)
+    long = {k for k, v in TEMPLATES.items() if len(v) > 150}
+    assert len(long) == 7 and {(i, k) for i, k in enumerate(TEMPLATES) if k in long} <= {(d, k) for d, k, *_ in got}
+
+
+def test_query_finds_a_wrapped_licence(spark, tmp_path):
+    text = textwrap.fill(TEMPLATES["apache-2.0 header"], 78) + "\n" + "x = call(y)\n" * 80
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert ("apache-2.0 header", 1.0, "passage", 1) in [(r.licence, r.dice, r.unit, r.n_units) for r in op8_license_scans(spark, str(tmp_path)).collect()]

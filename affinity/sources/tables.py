@@ -26,7 +26,7 @@ SELECT p.p_partkey + 1 AS id, concat(p.p_name, ' (', CAST(1950 + p.p_partkey % 7
     ELSE concat_ws('|', split_part(p.p_name, ' ', 1), split_part(p.p_name, ' ', 2), p.p_type) END AS genres,
   CASE WHEN p.p_partkey % 10 = 0 THEN 'nan' ELSE CAST(p.p_partkey + 1 AS STRING) END AS tmdb_id,
   CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE concat('/p', CAST(p.p_partkey AS STRING), '.jpg') END AS poster_path,
-  CASE WHEN p.p_partkey % 3 = 0 THEN NULL ELSE substr(d.text, 1, 300) END AS overview, d.lang AS original_language,
+  CASE WHEN p.p_partkey % 3 = 0 THEN NULL ELSE d.text END AS overview, d.lang AS original_language,
   CASE WHEN p.p_partkey % 4 = 0 THEN NULL ELSE p.p_brand END AS director,
   concat_ws(', ', s1.s_name, s2.s_name) AS cast_list, p.p_size AS runtime,
   CASE WHEN p.p_partkey % 5 = 0 THEN NULL ELSE CAST(p.p_size AS DOUBLE) / 5 END AS vote_average

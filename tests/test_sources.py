@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinity import schemas as s
-from affinity.operators import factors
+from affinity.operators import content, factors
 from affinity.plans import jobs
 from affinity.sources import files
+from affinity.sources.tables import Tables
 from affinity.streaming import ratings as stream
 
 
@@ -86,3 +87,14 @@ def test_seed_once(spark, tmp_path):
     jobs.seed(spark.range(3), str(tmp_path / "t"))
     jobs.seed(spark.range(9), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_overviews_are_whole_texts(spark, tmp_path):
+    text = "word " * 200 + "lastword"
+    spark.createDataFrame([(k, text) for k in range(2)], "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, "red blue", "SMALL", 5, "B") for k in range(1, 3)], "p_partkey long, p_name string, p_type string, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, "S")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    items = Tables(spark, str(tmp_path)).items()
+    assert [r.overview for r in items.collect()] == [text] * 2
+    terms = content.term_counts(items.select(F.col("id").alias("item_id"), F.lower("overview").alias("text")))
+    assert {(r.item_id, r.tf) for r in terms.where("term = 'lastword'").collect()} == {(2, 1), (3, 1)}

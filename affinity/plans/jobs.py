@@ -56,9 +56,11 @@ def metrics_of(recs: DataFrame, train: DataFrame, test: DataFrame, items: DataFr
     return out
 
 
-def train_and_evaluate(items: DataFrame, ratings: DataFrame, rank: int = 8, rounds: int = 4) -> tuple[dict[str, DataFrame], DataFrame]:
+def train_and_evaluate(items: DataFrame, ratings: DataFrame, rank: int = 8, rounds: int = 4, weights: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Split, fit, measure on the held-out part, then fit on all ratings. Cold users get
-    popular items, from which everything they rated is left out, held-out items too."""
+    popular items, from which everything they rated is left out, held-out items too. With
+    ``weights`` of the items' texts the others get hybrid lists with profiles of the
+    training part, else lists by prediction."""
     split = factors.split_ratings(ratings)
     train, test = split.where("is_train").drop("is_train"), split.where("not is_train").drop("is_train")
     model = factors.fit_factors(train, rank, rounds)
@@ -66,7 +68,10 @@ def train_and_evaluate(items: DataFrame, ratings: DataFrame, rank: int = 8, roun
     users = test.select("user_id").distinct()
     cold = recommend.cold_users(users, ratings, model["users"])
     popular = recommend.popularity_topn(users, scores.popularity(train), ratings, 10)
-    warm = factors.top_n(factors.score_candidates(model, evaluate.exclude_set(ratings, test)), "prediction", 10).withColumnRenamed("prediction", "score")
+    if weights is None:
+        warm = factors.top_n(factors.score_candidates(model, evaluate.exclude_set(ratings, test)), "prediction", 10).withColumnRenamed("prediction", "score")
+    else:  # what the training part has rated is the exclude set
+        warm = recommend.recommend_hybrid(model, train, weights, 10)
     recs = recommend.route(cold, warm, popular)
     metrics = metrics_of(recs, train, test, items).crossJoin(F.broadcast(error))  # one row
     return factors.fit_factors(ratings, rank, rounds), metrics

@@ -619,7 +619,9 @@ def eval_user_sample(t):
 
 @query()
 def evaluate_all(t):
-    _, metrics = jobs.train_and_evaluate(t.items(), t.ratings())
+    path = jobs.work_path(t.spark, "weights")
+    weights(t).write.parquet(path)  # several joins read them
+    _, metrics = jobs.train_and_evaluate(t.items(), t.ratings(), weights=t.spark.read.parquet(path))
     return metrics
 
 

@@ -98,3 +98,23 @@ def test_overviews_are_whole_texts(spark, tmp_path):
     assert [r.overview for r in items.collect()] == [text] * 2
     terms = content.term_counts(items.select(F.col("id").alias("item_id"), F.lower("overview").alias("text")))
     assert {(r.item_id, r.tf) for r in terms.where("term = 'lastword'").collect()} == {(2, 1), (3, 1)}
+
+
+def test_evaluation_ranks_hybrid_lists(spark, monkeypatch):
+    ratings = spark.createDataFrame([(1, i, 5.0) for i in range(1, 21)], "user_id long, item_id long, rating double").withColumn("ts", F.lit("2001-01-01").cast("timestamp"))
+    items = spark.createDataFrame([(i, "A", 1.0) for i in range(1, 41)], "id long, genres string, popularity_score double")
+    zero = F.array(F.lit(0.0))
+    fixed = {
+        "mean": spark.createDataFrame([(3.0,)], "mean double"),
+        "users": spark.createDataFrame([(1,)], "user_id long").select("user_id", zero.alias("features"), F.lit(0.0).alias("bias")),
+        "items": items.select(F.col("id").alias("item_id"), zero.alias("features"), F.lit(0.0).alias("bias")),
+    }
+    monkeypatch.setattr(factors, "fit_factors", lambda *_: fixed)  # every prediction is 3
+    # Items 1 to 20 (rated) and 31 to 40 share a term, 21 to 30 have another.
+    weights = items.select(F.col("id").alias("item_id"), F.when(F.col("id").between(21, 30), "b").otherwise("a").alias("term"), F.lit(1.0).alias("w"))
+    seen = {}
+    monkeypatch.setattr(jobs, "metrics_of", lambda recs, train, test, items: seen.update(recs=recs, test=test) or recs.agg(F.count("*").alias("n")))
+    jobs.train_and_evaluate(items, ratings, weights=weights)
+    held = {r.item_id for r in seen["test"].collect()}
+    got = [r.item_id for r in seen["recs"].orderBy("rank").collect()]
+    assert held and got == sorted(held | set(range(31, 41)))[:10]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .. import schemas as s
-from ..operators.content import stop_words
 
 
 def clean(column: str) -> str:
@@ -41,7 +40,7 @@ _PARTS = [_GENRES] * 3 + [clean("title"), "lower(overview)"] + [clean("director"
 _PARTS.append("CASE WHEN original_language <> 'en' THEN concat('lang_', original_language) END")
 FEATURE_TEXT = "concat_ws(' ', " + ", ".join(map(_channel, _PARTS)) + ")"
 
-_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words()) + "]"
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in s.STOP_WORDS) + "]"
 TERMS = rf"""
 , words AS (
   SELECT id AS item_id, list_filter(regexp_extract_all(lower({FEATURE_TEXT}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_STOP}, w)) AS w FROM tagged

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from affinity import schemas
 from affinity.functions import text as fx
 from affinity.operators import catalog, content, evaluate, factors, interactions, recommend, scores
 
@@ -171,12 +172,13 @@ def test_metrics(spark, items):
 def test_stop_words_are_those_of_spark(spark):
     from pyspark.ml.feature import StopWordsRemover
 
-    assert content.stop_words() == sorted(StopWordsRemover.loadDefaultStopWords("english"))
+    assert schemas.STOP_WORDS == sorted(StopWordsRemover.loadDefaultStopWords("english"))
 
 
 def test_entry_needs_no_session():
     import subprocess
     import sys
 
-    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    hide = "import pathlib, glob, zipfile; pathlib.Path.glob = glob.glob = lambda *a, **k: iter(()); zipfile.ZipFile = None; "  # Spark's jars may lie anywhere
+    code = hide + "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 80

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Links a node, and on the lowest level; beam while building; queries at a time.
-LINKS, BUILD_BEAM, BATCH = 8, 40, 256
+LINKS, BUILD_BEAM, BATCH = 12, 48, 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -136,7 +136,7 @@ class Graph:
         ids = np.full((n, max(width, start.shape[1])), -1, np.int64)
         ids[:, : start.shape[1]] = start
         sims = np.where(ids >= 0, np.einsum("nd,nkd->nk", q, self.x[np.maximum(ids, 0)]), -2).astype(np.float32)
-        seen[rows[:, None], np.maximum(ids, 0)] = True
+        seen[rows[:, None], start] = True
         done = ids < 0
         while True:
             waiting = np.where(done, -3, sims)
@@ -146,8 +146,9 @@ class Graph:
                 return ids, sims, seen
             done[live, at[live]] = True
             near = links[ids[live, at[live]]].astype(np.int64)
-            fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            seen[live[:, None], np.maximum(near, 0)] |= near >= 0
+            fresh = (near >= 0) & ~seen[live[:, None], near]  # -1 reads the last node, and counts for nothing
+            at, col = np.nonzero(fresh)
+            seen[live[at], near[at, col]] = True
             near = np.where(fresh, near, -1)
             new = np.where(fresh, np.einsum("nd,nkd->nk", q[live], self.x[np.maximum(near, 0)]), -2).astype(np.float32)
             use = np.flatnonzero((new > sims[live].min(axis=1)[:, None]).any(axis=1))

@@ -41,6 +41,11 @@ def user_metrics(recs: DataFrame, test: DataFrame, k: int = s.TOP_K) -> DataFram
     )
 
 
+def evaluated(recs: DataFrame, test: DataFrame) -> DataFrame:
+    """Lists of the users that are evaluated: those with a relevant item in ``test``."""
+    return recs.join(test.where(F.col("rating") >= s.RELEVANT).select("user_id").distinct(), "user_id", "left_semi")
+
+
 def rank_metrics(recs: DataFrame, test: DataFrame, k: int = s.TOP_K) -> DataFrame:
     mean = lambda c, name: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(name)
     return user_metrics(recs, test, k).agg(F.count(F.lit(1)).alias("users"), mean("precision", "precision_at_k"), mean("recall", "recall_at_k"), mean("average_precision", "map_at_k"), mean("ndcg", "ndcg_at_k"))
@@ -61,8 +66,9 @@ def intralist_diversity(recs: DataFrame, items: DataFrame, k: int = s.TOP_K) ->
 
 
 def novelty(recs: DataFrame, train: DataFrame, items: DataFrame) -> DataFrame:
+    """Mean self-information of each list, then over users."""
     counts = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("c"))
     whole = train.agg(F.count(F.lit(1)).alias("t")).crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("n"))))  # one row each
     joined = recs.join(counts, "item_id", "left").crossJoin(F.broadcast(whole))
-    surprise = -F.log2((F.coalesce("c", F.lit(0)) + 1) / (F.col("t") + F.col("n")))
-    return joined.agg(F.round(F.coalesce(F.avg(surprise), F.lit(0.0)), 6).alias("novelty"))
+    surprise = -F.log2((F.coalesce("c", F.lit(0)) + 1) / (F.greatest("t", F.lit(1)) + F.col("n")))
+    return joined.groupBy("user_id").agg(F.avg(surprise).alias("own")).agg(F.round(F.coalesce(F.avg("own"), F.lit(0.0)), 6).alias("novelty"))

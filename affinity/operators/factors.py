@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clipped, dot, norm, user_bucket
+from .. import schemas as s
+from ..functions.text import clipped, dot, user_bucket
 from .content import rank_by
+from .kept import read_if_there
 
 DAMPING = 5.0
 #: Rows of a block of items that is scored against users.
@@ -90,12 +95,57 @@ def candidates(users: DataFrame, items: DataFrame) -> DataFrame:
     return users.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "block").drop("block")
 
 
-def score_candidates(model: dict[str, DataFrame], watched: DataFrame) -> DataFrame:
-    """(user_id, item_id, prediction) of all unrated items in the factor table."""
-    users = model["users"].select("user_id", F.col("features").alias("p"), F.col("bias").alias("user_bias"))
-    items = model["items"].select("item_id", F.col("features").alias("q"), F.col("bias").alias("item_bias"))
-    open_ = candidates(users, items).join(watched.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").crossJoin(F.broadcast(model["mean"]))  # one row
-    return open_.select("user_id", "item_id", F.round(rating_of("mean", "user_bias", "item_bias", "p", "q"), 6).alias("prediction"))
+def best_in_blocks(left: DataFrame, items: DataFrame, seen: DataFrame, n: int, score: Callable[..., np.ndarray], name: str) -> DataFrame:
+    """(id, item_id, score): for each row of ``left`` (id, features, bias) the n best of
+    each block of ``items`` (item_id, features, bias), without the pairs (id, item_id) in
+    ``seen``. A task takes BLOCK rows of both sides, scores them as matrices and keeps the
+    best, so that pairs are never shuffled. Equal scores (at six places) go by item_id;
+    scores that aren't numbers are left out."""
+    blocks, chunks = (max(1, -(-df.count() // BLOCK)) for df in (items, left))
+    block, chunk = (F.pmod(F.xxhash64(c), F.lit(k)).cast("int") for c, k in (("item_id", blocks), ("id", chunks)))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    missed = seen.select("id", block.alias("block"), "item_id").groupBy("id", "block").agg(F.collect_set("item_id").alias("seen"))  # BLOCK or so at most
+    asked = left.select("id", F.col("features").alias("p"), F.col("bias").alias("a"), chunk.alias("chunk"), every(blocks).alias("block")).join(missed, ["id", "block"], "left")
+    held = items.select("item_id", F.col("features").alias("q"), F.col("bias").alias("b"), block.alias("block"), every(chunks).alias("chunk"))
+
+    def best(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(other):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype="int64"), name: pd.Series(dtype="float64")})
+        other = other.sort_values("item_id")
+        ids, out = other["item_id"].to_numpy(np.int64), []
+        width = max((len(x) for part in (own["p"], other["q"]) for x in part if x is not None), default=0)
+        stack = lambda part: np.stack([np.zeros(width) if x is None else np.asarray(x, np.float64) for x in part])
+        q, b = stack(other["q"]), other["b"].to_numpy(np.float64)
+        for i in range(0, len(own), 256):
+            part = own.iloc[i : i + 256]
+            value = score(stack(part["p"]), part["a"].to_numpy(np.float64), q, b)
+            value = np.where(np.isnan(value), -np.inf, np.round(value, 6))
+            for row, seen_here in enumerate(part["seen"]):
+                if seen_here is not None:
+                    at = np.searchsorted(ids, seen_here)
+                    at = at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == seen_here)]
+                    value[row, at] = -np.inf
+            order = np.argsort(-value, axis=1, kind="stable")[:, :n]  # equal ones by item_id
+            top = np.take_along_axis(value, order, 1)
+            row, col = np.nonzero(top > -np.inf)
+            out.append(pd.DataFrame({"id": part["id"].to_numpy(np.int64)[row], "item_id": ids[order[row, col]], name: top[row, col]}))
+        return pd.concat(out)
+
+    keys = ["block", "chunk"]
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(best, f"id long, item_id long, {name} double")
+
+
+def recommend_collab(model: dict[str, DataFrame], watched: DataFrame, n: int) -> DataFrame:
+    """(user_id, item_id, prediction, rank): the n best unrated items of the factor table."""
+    mean = model["mean"].first()[0]
+
+    def score(p: np.ndarray, user_bias: np.ndarray, q: np.ndarray, item_bias: np.ndarray) -> np.ndarray:
+        return np.clip(mean + user_bias[:, None] + item_bias + p @ q.T, s.RATING_LOW, s.RATING_HIGH)
+
+    users = model["users"].select(F.col("user_id").alias("id"), "features", "bias")
+    seen = watched.select(F.col("user_id").alias("id"), "item_id")
+    best = best_in_blocks(users, model["items"], seen, n, score, "prediction").withColumnRenamed("id", "user_id")
+    return top_n(best, "prediction", n)
 
 
 def top_n(scores: DataFrame, score: str, n: int, key: str = "user_id") -> DataFrame:
@@ -104,12 +154,15 @@ def top_n(scores: DataFrame, score: str, n: int, key: str = "user_id") -> DataFr
 
 def similar_items_latent(factors: DataFrame, n: int) -> DataFrame:
     """(item_id, other_id, similarity, rank) by cosine of the factors, above 0."""
-    sized = factors.select("item_id", "features", F.greatest(norm("features"), F.lit(1e-9)).alias("size"))
-    target = sized.select(F.col("item_id").alias("target"), F.col("features").alias("f"), F.col("size").alias("s"))
-    pairs = candidates(target, sized).where("target <> item_id")
-    cosine = F.round(dot("f", "features") / (F.col("s") * F.col("size")), 6)
-    scores = pairs.select("target", "item_id", cosine.alias("similarity")).where("similarity > 0 and not isnan(similarity)")
-    return top_n(scores, "similarity", n, "target").select(F.col("target").alias("item_id"), F.col("item_id").alias("other_id"), "similarity", "rank")
+
+    def cosine(p: np.ndarray, _: np.ndarray, q: np.ndarray, __: np.ndarray) -> np.ndarray:
+        size = lambda x: np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)
+        return p @ q.T / (size(p)[:, None] * size(q))
+
+    items = factors.select("item_id", "features", F.lit(0.0).alias("bias"))
+    itself = factors.select(F.col("item_id").alias("id"), "item_id")
+    best = best_in_blocks(items.withColumnRenamed("item_id", "id"), items, itself, n, cosine, "similarity").where("similarity > 0")
+    return top_n(best, "similarity", n, "id").select(F.col("id").alias("item_id"), F.col("item_id").alias("other_id"), "similarity", "rank")
 
 
 def rmse_mae(predicted: DataFrame) -> DataFrame:
@@ -117,16 +170,15 @@ def rmse_mae(predicted: DataFrame) -> DataFrame:
     return predicted.agg(F.coalesce(F.sqrt(F.avg(e * e)), F.lit(0.0)).alias("rmse"), F.coalesce(F.avg(F.abs(e)), F.lit(0.0)).alias("mae"))
 
 
-def save_model(model: dict[str, DataFrame], path: str) -> None:
-    for name, df in model.items():
+def save_model(model: dict[str, DataFrame], path: str, weights: DataFrame | None = None) -> None:
+    """The tables of the factors and, if given, the TF-IDF weights."""
+    for name, df in (model | ({} if weights is None else {"weights": weights})).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_model(spark, path: str) -> dict[str, DataFrame] | None:
-    """The saved tables, or None where there is no complete model."""
-    try:
-        return {name: spark.read.parquet(f"{path}/{name}") for name in ("mean", "users", "items")}
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    """The saved tables, with ``weights`` where they were saved, or None where there is no complete model."""
+    tables = {name: read_if_there(spark, f"{path}/{name}") for name in ("mean", "users", "items", "weights")}
+    if any(tables[name] is None for name in ("mean", "users", "items")):
+        return None
+    return {name: df for name, df in tables.items() if df is not None}

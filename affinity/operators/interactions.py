@@ -60,6 +60,11 @@ def rec_history(recs: DataFrame, kind: str, generated_at: str) -> DataFrame:
     )
 
 
+def append_history(history: DataFrame, path: str) -> None:
+    """Add rows to the kept history."""
+    history.write.mode("append").parquet(path)
+
+
 def kept_recs(recs: DataFrame, limit: int, generated_at: str) -> DataFrame:
     """What is kept for later reads: the first 2 * limit of each user."""
     return recs.where(F.col("rank") <= 2 * limit).withColumn("generated_at", F.lit(generated_at).cast("timestamp"))

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import time
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import feature_text
 from ..operators import content, evaluate, factors, recommend, scores
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="affinity-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from ..operators.kept import keep, read_if_there
 
 
 def tagged_items(items: DataFrame, ratings: DataFrame, tags: DataFrame) -> DataFrame:
@@ -25,7 +20,7 @@ def tagged_items(items: DataFrame, ratings: DataFrame, tags: DataFrame) -> DataF
 
 
 def item_weights(items: DataFrame) -> DataFrame:
-    """TF-IDF weights of the items' feature texts; kept, as several joins read them."""
+    """TF-IDF weights of the items' feature texts."""
     return content.tfidf(items.select(F.col("id").alias("item_id"), feature_text("user_tags").alias("text")))
 
 
@@ -34,21 +29,23 @@ def seed(df: DataFrame, path: str) -> None:
     df.write.mode("ignore").parquet(path)
 
 
-def write_metrics(metrics: DataFrame, path: str, **facts) -> None:
+def write_metrics(metrics: DataFrame, path: str, began: float | None = None, **facts) -> None:
+    """One row as JSON, with the time of training, how long it took since ``began`` (seconds
+    since 1970), and other facts."""
+    now = time.time()
+    facts |= {"trained_at": datetime.fromtimestamp(now, timezone.utc).isoformat(), "training_duration_seconds": round(now - (began or now), 2)}
     metrics.select("*", *[F.lit(v).alias(k) for k, v in facts.items()]).write.mode("overwrite").json(path)
 
 
-def evaluate_popularity(items: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Metrics of popularity lists of all test users against the held-out fifth."""
-    split = factors.split_ratings(ratings)
-    train, test = split.where("is_train").drop("is_train"), split.where("not is_train").drop("is_train")
-    users = test.select("user_id").distinct()
-    recs = recommend.popularity_topn(users, scores.popularity(train).withColumn("popularity_score", F.round("popularity_score", 6)), evaluate.exclude_set(ratings, test), 10)
-    return metrics_of(recs, train, test, items)
+def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last metrics, or None where nothing was trained."""
+    return read_if_there(spark, path, "json")
 
 
 def metrics_of(recs: DataFrame, train: DataFrame, test: DataFrame, items: DataFrame) -> DataFrame:
-    """One row of ranking metrics, coverage, diversity and novelty."""
+    """One row of ranking metrics, coverage, diversity and novelty of the users that have
+    relevant items in ``test``."""
+    recs = keep(evaluate.evaluated(recs, test), "lists")
     parts = [evaluate.catalog_coverage(recs, items), evaluate.intralist_diversity(recs, items), evaluate.novelty(recs, train, items)]
     out = evaluate.rank_metrics(recs, test)
     for p in parts:
@@ -56,6 +53,20 @@ def metrics_of(recs: DataFrame, train: DataFrame, test: DataFrame, items: DataFr
     return out
 
 
+def routed_lists(model: dict[str, DataFrame] | None, users: DataFrame, ratings: DataFrame, n: int) -> DataFrame:
+    """(user_id, item_id, score, rank, kind, message): popular lists for cold users, and for
+    all where there is no model; for the others hybrid lists, or lists by prediction where
+    the model has no TF-IDF weights."""
+    pop = scores.popularity(ratings).withColumn("popularity_score", F.round("popularity_score", 6))
+    popular = recommend.popularity_topn(users, pop, ratings, n)
+    if model is None:
+        cold = users.select("user_id", F.lit(True).alias("is_cold")).distinct()
+        return recommend.route(cold, popular.withColumn("score", F.col("popularity_score")).limit(0), popular)
+    weights = model.get("weights")
+    lists = factors.recommend_collab(model, ratings, n).withColumnRenamed("prediction", "score") if weights is None else recommend.recommend_hybrid(model, ratings, weights, n)
+    return recommend.route(recommend.cold_users(users, ratings, model["users"]), lists, popular)
+
+
 def train_and_evaluate(items: DataFrame, ratings: DataFrame, rank: int = 8, rounds: int = 4, weights: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Split, fit, measure on the held-out part, then fit on all ratings. Cold users get
     popular items, from which everything they rated is left out, held-out items too. With
@@ -69,7 +80,7 @@ def train_and_evaluate(items: DataFrame, ratings: DataFrame, rank: int = 8, roun
     cold = recommend.cold_users(users, ratings, model["users"])
     popular = recommend.popularity_topn(users, scores.popularity(train), ratings, 10)
     if weights is None:
-        warm = factors.top_n(factors.score_candidates(model, evaluate.exclude_set(ratings, test)), "prediction", 10).withColumnRenamed("prediction", "score")
+        warm = factors.recommend_collab(model, evaluate.exclude_set(ratings, test), 10).withColumnRenamed("prediction", "score")
     else:  # what the training part has rated is the exclude set
         warm = recommend.recommend_hybrid(model, train, weights, 10)
     recs = recommend.route(cold, warm, popular)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as s
 from ..functions import text as fx
 from ..operators import catalog, content, evaluate, factors, interactions, recommend, scores
+from ..operators.kept import keep, work_path
 from ..sources import files
 from ..sources.tables import Tables, with_tables
 from ..streaming import ratings as stream
@@ -71,6 +72,10 @@ def split(t: Tables) -> tuple[DataFrame, DataFrame]:
     return both.where("is_train").drop("is_train"), both.where("not is_train").drop("is_train")
 
 
+def evaluated_lists(t: Tables) -> DataFrame:
+    return evaluate.evaluated(train_lists(t), split(t)[1])
+
+
 def train_lists(t: Tables) -> DataFrame:
     train, test = split(t)
     pop = scores.popularity(train).withColumn("popularity_score", F.round("popularity_score", 6))
@@ -82,7 +87,7 @@ def train_lists(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, item_id, rating, CAST(epoch(ts) AS BIGINT) AS ts FROM ratings")
 def scan_csv(t):
-    path = jobs.work_path(t.spark, "csv")
+    path = work_path(t.spark, "csv")
     out = t.ratings().select(F.col("user_id").alias("userId"), F.col("item_id").alias("movieId"), "rating", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("timestamp"))
     out.write.option("header", True).csv(path)
     read = files.scan_csv(t.spark, path, s.RATINGS_CSV)
@@ -104,7 +109,7 @@ def sample_ratings(t):
 
 def details_json(t: Tables) -> DataFrame:
     """Detail documents made from the items, some of them not found, written and read as JSON."""
-    path = jobs.work_path(t.spark, "details")
+    path = work_path(t.spark, "details")
     t.items().where("tmdb_id <> 'nan'").select(
         "tmdb_id", F.when(F.col("id") % 7 == 0, 404).otherwise(200).alias("status"), F.concat(F.lit("/n"), "tmdb_id").alias("poster_path"),
         F.upper("title").alias("overview"), F.lit("2001-02-03").alias("release_date"), F.col("runtime"), F.col("original_language"),
@@ -137,7 +142,7 @@ def enrich_missing(t):
 
 @query(statements.DISCOVER)
 def import_discover(t):
-    path = jobs.work_path(t.spark, "discover")
+    path = work_path(t.spark, "discover")
     codes = F.array(*[F.lit(k) for k in s.GENRE_NAMES])
     t.read("orders").select(
         (F.col("o_orderkey") + 1).alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("release_date"),
@@ -153,7 +158,7 @@ def import_discover(t):
 
 @query()
 def seed_tables(t):
-    path = jobs.work_path(t.spark, "seed")
+    path = work_path(t.spark, "seed")
     for _ in range(2):
         jobs.seed(t.ratings(), path)
     return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("ratings"))
@@ -168,7 +173,7 @@ def rating_upsert(t):
 
 @query("SELECT user_id, item_id, rating, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ratings")
 def rating_upsert_stream(t):
-    base = jobs.work_path(t.spark, "stream")
+    base = work_path(t.spark, "stream")
     t.changes().repartition(2).write.parquet(f"{base}/in")
     stream.upsert_stream(t.spark, f"{base}/in", f"{base}/out", f"{base}/state", t.items(), ["ts", "seq", "line", "quantity"])
     return stream.latest(t.spark, f"{base}/out").select("user_id", "item_id", "rating", text_time())
@@ -187,29 +192,30 @@ def watchlist_remove(t):
 
 @query(statements.POPULAR + "SELECT user_id, 'popularity' AS recommendation_type, string_agg(item_id, ',' ORDER BY rank) AS item_ids FROM lists WHERE rank <= 10 GROUP BY user_id")
 def append_rec_history(t):
-    out = interactions.rec_history(popular_lists(t, 10), "popularity", "2001-11-05 00:00:00")
-    return out.select("user_id", "recommendation_type", F.array_join("item_ids", ",").alias("item_ids"))
+    path = work_path(t.spark, "history")
+    interactions.append_history(interactions.rec_history(popular_lists(t, 10), "popularity", "2001-11-05 00:00:00"), path)
+    return t.spark.read.parquet(path).select("user_id", "recommendation_type", F.array_join("item_ids", ",").alias("item_ids"))
 
 
 @query(statements.POPULAR + "SELECT user_id, item_id, popularity_score, rank FROM lists WHERE rank <= 5")
 def materialize_recs(t):
-    path = jobs.work_path(t.spark, "recs")
+    path = work_path(t.spark, "recs")
     interactions.kept_recs(popular_lists(t, 10), 5, "2001-11-05 00:00:00").write.parquet(path)
     return interactions.read_recs(t.spark.read.parquet(path), 5, "2001-11-05 00:30:00").select("user_id", "item_id", "popularity_score", "rank")
 
 
 @query("SELECT item_id, round(bias, 6) AS bias, len(features) AS rank FROM item_factors")
 def save_model(t):
-    path = jobs.work_path(t.spark, "model")
+    path = work_path(t.spark, "model")
     factors.save_model(model(t), path)
     return factors.load_model(t.spark, path)["items"].select("item_id", F.round("bias", 6).alias("bias"), F.size("features").alias("rank"))
 
 
 @query("SELECT count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, count(*) AS ratings, 64 AS factors FROM ratings")
 def write_metrics(t):
-    path = jobs.work_path(t.spark, "metrics")
+    path = work_path(t.spark, "metrics")
     jobs.write_metrics(scores.matrix_stats(t.ratings()), path, factors=64)
-    return t.spark.read.json(path).select("users", "items", "ratings", "factors")
+    return jobs.read_metrics(t.spark, path).select("users", "items", "ratings", "factors")
 
 
 # Scalars
@@ -502,7 +508,7 @@ def tfidf_weights(t):
 
 @query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.SIMILAR)
 def similar_items_content(t):
-    return content.similar_items(weights(t), 10)
+    return content.titled(content.similar_items(weights(t), 10), t.items(), "other_id")
 
 
 @query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.PROFILES + "SELECT user_id, count(*) AS terms, round(sum(p), 6) AS total FROM profiles GROUP BY user_id")
@@ -556,12 +562,22 @@ def predict_rating(t):
 
 @query(statements.PREDICT_ALL + "SELECT user_id, item_id, prediction, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM open_items) WHERE rank <= 10")
 def recommend_collab(t):
-    return factors.top_n(factors.score_candidates(model(t), t.ratings()), "prediction", 10)
+    return factors.recommend_collab(model(t), t.ratings(), 10)
 
 
 @query(statements.HYBRID + "SELECT user_id, item_id, rating_prediction, content_similarity, score, rank FROM hybrid WHERE rank <= 10")
 def recommend_hybrid(t):
-    return recommend.recommend_hybrid(model(t), t.ratings(), weights(t), 10)
+    return recommend.recommend_hybrid(model(t), t.ratings(), keep(weights(t), "weights"), 10)
+
+
+@query(
+    statements.POPULAR + statements.PREDICT_ALL + """, cold AS (SELECT user_id, count(*) < 5 AS is_cold FROM ratings GROUP BY user_id),
+predicted AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM open_items)
+SELECT user_id, item_id, prediction AS score, rank, 'hybrid' AS kind, NULL AS message FROM predicted JOIN cold USING (user_id) WHERE rank <= 10 AND NOT is_cold
+UNION ALL SELECT user_id, item_id, popularity_score, rank, 'popularity_cold_start', '""" + s.POPULAR_REASON.replace("'", "''") + """' FROM lists JOIN cold USING (user_id) WHERE rank <= 10 AND is_cold"""
+)
+def routed_lists(t):
+    return jobs.routed_lists(model(t), t.ratings().select("user_id").distinct(), t.ratings(), 10)
 
 
 @query("SELECT user_id, count(*) < 5 AS is_cold FROM ratings GROUP BY user_id")
@@ -572,7 +588,7 @@ def cold_start_route(t):
 
 @query()
 def explain(t):
-    w = weights(t).checkpoint() if t.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else weights(t)
+    w = keep(weights(t), "weights")
     recs = recommend.recommend_hybrid(model(t), t.ratings(), w, 10)
     return recommend.explain(recs, t.ratings(), w, tagged(t))
 
@@ -597,19 +613,19 @@ def rank_metrics(t):
     return evaluate.rank_metrics(train_lists(t), split(t)[1])
 
 
-@query(statements.SPLIT + statements.TRAIN_LISTS + "SELECT round(count(DISTINCT item_id) / (SELECT count(*) FROM items), 6) AS coverage FROM recs")
+@query(statements.SPLIT + statements.TRAIN_LISTS + statements.EVALUATED + "SELECT round(count(DISTINCT item_id) / (SELECT count(*) FROM items), 6) AS coverage FROM shown")
 def catalog_coverage(t):
-    return evaluate.catalog_coverage(train_lists(t), t.items())
+    return evaluate.catalog_coverage(evaluated_lists(t), t.items())
 
 
-@query(statements.SPLIT + statements.TRAIN_LISTS + statements.DIVERSITY)
+@query(statements.SPLIT + statements.TRAIN_LISTS + statements.EVALUATED + statements.DIVERSITY)
 def intralist_diversity(t):
-    return evaluate.intralist_diversity(train_lists(t), t.items())
+    return evaluate.intralist_diversity(evaluated_lists(t), t.items())
 
 
-@query(statements.SPLIT + statements.TRAIN_LISTS + statements.NOVELTY)
+@query(statements.SPLIT + statements.TRAIN_LISTS + statements.EVALUATED + statements.NOVELTY)
 def novelty(t):
-    return evaluate.novelty(train_lists(t), split(t)[0], t.items())
+    return evaluate.novelty(evaluated_lists(t), split(t)[0], t.items())
 
 
 @query(statements.SPLIT + "SELECT user_id FROM (SELECT DISTINCT user_id FROM test) ORDER BY CAST(concat('0x', substr(md5(CAST(user_id AS VARCHAR)), 1, 8)) AS BIGINT), user_id LIMIT 2000")
@@ -619,9 +635,7 @@ def eval_user_sample(t):
 
 @query()
 def evaluate_all(t):
-    path = jobs.work_path(t.spark, "weights")
-    weights(t).write.parquet(path)  # several joins read them
-    _, metrics = jobs.train_and_evaluate(t.items(), t.ratings(), weights=t.spark.read.parquet(path))
+    _, metrics = jobs.train_and_evaluate(t.items(), keep(t.ratings(), "ratings"), weights=keep(weights(t), "weights"))
     return metrics
 
 

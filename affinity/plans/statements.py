@@ -59,10 +59,10 @@ WEIGHTS = """
 ), weights AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM raw_weights) """
 
 SIMILAR = """
-SELECT item_id, other_id, similarity, rank FROM (
+SELECT item_id, other_id, similarity, rank, title, genres FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, other_id) AS rank FROM (
     SELECT a.item_id, b.item_id AS other_id, round(sum(a.w * b.w), 6) AS similarity
-    FROM weights a JOIN weights b ON a.term = b.term AND a.item_id <> b.item_id GROUP BY 1, 2) WHERE similarity > 0) WHERE rank <= 10
+    FROM weights a JOIN weights b ON a.term = b.term AND a.item_id <> b.item_id GROUP BY 1, 2) WHERE similarity > 0) JOIN items ON items.id = other_id WHERE rank <= 10
 """
 
 PROFILES = f"""
@@ -117,9 +117,12 @@ SELECT count(*) AS users, round(avg(found / 10), 6) AS precision_at_k, round(avg
 FROM per_user
 """
 
+EVALUATED = f"""
+, shown AS (SELECT * FROM recs WHERE user_id IN (SELECT user_id FROM test WHERE rating >= {s.RELEVANT})) """
+
 DIVERSITY = """
 , sets AS (SELECT r.user_id, r.rank, list_distinct(list_filter(list_transform(string_split(i.genres, '|'), lambda x: lower(trim(x))), lambda x: x <> '')) AS g
-  FROM recs r JOIN items i ON i.id = r.item_id),
+  FROM shown r JOIN items i ON i.id = r.item_id),
 pairs AS (
   SELECT a.user_id, CASE WHEN len(list_distinct(list_concat(a.g, b.g))) > 0
     THEN 1 - len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) ELSE 1 END AS d
@@ -129,8 +132,9 @@ SELECT round(avg(d), 6) AS diversity FROM (SELECT user_id, avg(d) AS d FROM pair
 """
 
 NOVELTY = """
-SELECT round(avg(-log2((coalesce(c, 0) + 1) / ((SELECT count(*) FROM train) + (SELECT count(*) FROM items)))), 6) AS novelty
-FROM recs LEFT JOIN (SELECT item_id, count(*) AS c FROM train GROUP BY item_id) n USING (item_id)
+SELECT round(avg(own), 6) AS novelty FROM (
+  SELECT user_id, avg(-log2((coalesce(c, 0) + 1) / ((SELECT count(*) FROM train) + (SELECT count(*) FROM items)))) AS own
+  FROM shown LEFT JOIN (SELECT item_id, count(*) AS c FROM train GROUP BY item_id) n USING (item_id) GROUP BY user_id)
 """
 
 TOP_GENRES = f"""

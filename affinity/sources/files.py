@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as s
+from ..operators.kept import numbered
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -37,7 +38,11 @@ def details_of(raw: DataFrame) -> DataFrame:
 
 def enrich_metadata(items: DataFrame, details: DataFrame) -> DataFrame:
     """Detail columns written onto the items that were found; not found (404) sets
-    overview and poster to '', so that the item is not asked for again."""
+    overview and poster to '', so that the item is not asked for again. Of several
+    documents of one id a found one counts, then the one with the greatest overview."""
+    best = F.struct(F.coalesce(F.col("status") == 200, F.lit(False)), F.coalesce("overview", F.lit("")), F.coalesce("poster_path", F.lit("")))
+    one = details.groupBy("tmdb_id").agg(F.max_by(F.struct(*[c for c in details.columns if c != "tmdb_id"]), best).alias("d"))
+    details = one.select("tmdb_id", "d.*").select(*details.columns)
     d = details.select(*[F.col(c).alias(f"d_{c}") for c in details.columns])
     found, gone = F.col("d_status") == 200, F.col("d_status") == 404
 
@@ -59,9 +64,7 @@ def enrich_pending(items: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def import_discover(items: DataFrame, feed: DataFrame, start_year: int, end_year: int) -> DataFrame:
-    """New items of a discover feed, in order of popularity, numbered after the last id.
-
-    The feed is one import job's pages; its new rows are numbered in one window."""
+    """New items of a discover feed, in order of popularity, numbered after the last id."""
     names = F.create_map(*[F.lit(x) for k, v in s.GENRE_NAMES.items() for x in (k, v)])
     genres = F.array_compact(F.transform("genre_ids", lambda g: names[g]))
     year = F.coalesce(F.nullif(F.substring("release_date", 1, 4), F.lit("")), F.lit(str(start_year)))
@@ -74,8 +77,8 @@ def import_discover(items: DataFrame, feed: DataFrame, start_year: int, end_year
         .join(items.select("tmdb_id").distinct(), "tmdb_id", "left_anti")
     )
     last = items.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    return fresh.crossJoin(F.broadcast(last)).select(  # one row
-        (F.col("last") + F.row_number().over(Window.orderBy(F.desc_nulls_last("popularity"), "tmdb_id"))).alias("id"),
+    return numbered(fresh, [F.desc_nulls_last("popularity"), F.col("tmdb_id")], "place").crossJoin(F.broadcast(last)).select(  # one row
+        (F.col("last") + F.col("place")).alias("id"),
         F.concat(F.coalesce("title", F.lit("Untitled")), F.lit(" ("), year, F.lit(")")).alias("title"),
         F.when(F.size(genres) > 0, F.concat_ws("|", genres)).otherwise("Drama").alias("genres"),
         "tmdb_id",

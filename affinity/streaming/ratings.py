@@ -1,33 +1,46 @@
-"""Ratings that arrive as files, applied to a versioned Parquet snapshot."""
+"""Ratings that arrive as files, applied to a versioned Parquet snapshot.
+
+The snapshot is dealt into buckets of users. A batch writes a new version of the buckets
+that it touches and leaves the others, so its cost follows the batch's users; what is
+current is the newest version of each bucket. Older versions may be deleted."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.interactions import rating_upsert
+from ..operators.kept import read_if_there
+
+BUCKETS = 64
+
+
+def current(versions: DataFrame) -> DataFrame:
+    """Rows of the newest version of each bucket."""
+    newest = versions.groupBy("bucket").agg(F.max("v").alias("v"))  # a row for each bucket
+    return versions.join(F.broadcast(newest), ["bucket", "v"]).drop("bucket", "v")
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version under ``path``, or None where there is none."""
-    try:
-        versions = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    last = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == last).drop("v")
+    """The newest state under ``path``, or None where there is none."""
+    versions = read_if_there(spark, path)
+    return None if versions is None else current(versions)
 
 
 def upsert_stream(spark: SparkSession, changes: str, snapshot: str, checkpoint: str, items: DataFrame, order: list[str], files: int = 1) -> None:
     """Apply all change files that are there, ``files`` a batch. A batch writes version
-    batch + 1 from the version before it, so that running it again changes nothing."""
+    batch + 1 of its buckets from the versions before it, so that running it again changes
+    nothing."""
     schema = spark.read.parquet(changes).schema
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int")
 
     def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        before = session.read.parquet(f"{snapshot}/v={number}") if number else session.createDataFrame([], schema)
-        rating_upsert(before, batch, items, order).write.mode("overwrite").parquet(f"{snapshot}/v={number + 1}")
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS at most
+        versions = read_if_there(session, snapshot) if number else None
+        before = session.createDataFrame([], schema) if versions is None else current(versions.where((F.col("v") <= number) & F.col("bucket").isin(touched)))
+        after = rating_upsert(before, batch, items, order).withColumn("bucket", bucket)
+        after.write.mode("overwrite").partitionBy("bucket").parquet(f"{snapshot}/v={number + 1}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(changes)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

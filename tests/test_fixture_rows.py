@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from affinity import schemas
 from affinity.functions import text as fx
-from affinity.operators import catalog, content, evaluate, factors, interactions, recommend, scores
+from affinity.operators import catalog, content, evaluate, factors, interactions, kept, recommend, scores
+from affinity.plans import jobs
 
 ITEMS = [
     (1, "Toy Story (1995)", "Adventure|Animation|Children|Comedy|Fantasy", 4.5, 4.0, "862", "/a.jpg", "Toys come alive.", "John Lasseter", "Tom Hanks, Tim Allen, Don Rickles", "en", "pixar animation classic fun childhood"),
@@ -137,6 +138,75 @@ def test_predictions(spark, model):
     assert latent == {(1, 2): 0.707107, (2, 1): 0.707107}
 
 
+def test_lists_by_prediction_against_all_pairs(spark, model, monkeypatch):
+    monkeypatch.setattr(factors, "BLOCK", 7)
+    import random
+
+    r = random.Random(3)
+    vector = lambda: [r.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]
+    users = [(u, vector() if u % 5 else None, r.random()) for u in range(20)]
+    items = [(i * 3, vector(), r.choice([0.0, 0.5])) for i in range(40)]
+    seen = [(u, i * 3) for u in range(20) for i in range(40) if r.random() < 0.3] + [(1, 0), (1, 0), (99, 3), (2, 1000)]
+    made = {"mean": model["mean"], "users": spark.createDataFrame(users, model["users"].schema), "items": spark.createDataFrame(items, model["items"].schema)}
+    got = {(x.user_id, x["rank"]): (x.item_id, x.prediction) for x in factors.recommend_collab(made, spark.createDataFrame(seen, "user_id long, item_id long"), 4).collect()}
+    want = {}
+    for u, p, a in users:
+        scored = [(-round(min(5.0, max(0.5, 3.0 + a + b + sum(x * y for x, y in zip(p or [0] * 3, q)))), 6), i) for i, q, b in items if (u, i) not in set(seen)]
+        want |= {(u, k + 1): (i, -v) for k, (v, i) in enumerate(sorted(scored)[:4])}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()})
+
+
+def test_popular_lists_stand_in(spark, model, ratings, items, tmp_path):
+    """For users that a recommender doesn't know, for cold users, and where there is no model."""
+    users = spark.createDataFrame([(1,), (7,)], "user_id long")
+    popular = recommend.popularity_topn(users, scores.popularity(ratings), ratings, 2)
+    collab = factors.recommend_collab(model, ratings, 2)
+    got = {(x.user_id, x["rank"]): (x.item_id, x.prediction) for x in recommend.with_popular(collab, "prediction", users, model["users"], popular).collect()}
+    assert {k for k in got if k[0] == 7} == {(7, 1), (7, 2)} and got[7, 1] == (1, pytest.approx(5 * math.log(2))) and got[1, 1] == (4, 2.7)
+    factors.save_model(model, f"{tmp_path}/plain")
+    w = spark.createDataFrame([(1, "a", 1.0), (4, "a", 0.6), (4, "b", 0.8)], "item_id long, term string, w double")
+    factors.save_model(model, f"{tmp_path}/full", w)
+    assert factors.load_model(spark, f"{tmp_path}/none") is None and "weights" not in factors.load_model(spark, f"{tmp_path}/plain")
+    loaded = factors.load_model(spark, f"{tmp_path}/full")
+    assert loaded["weights"].count() == 3
+    more = ratings.unionByName(ratings.withColumn("item_id", F.col("item_id") + 10))
+    lists = lambda m: {x.user_id: (x.kind, x.message) for x in jobs.routed_lists(m, users, more, 2).collect()}
+    assert lists(loaded) == {1: ("hybrid", None), 7: ("popularity_cold_start", schemas.POPULAR_REASON)}
+    assert {k for k, _ in lists(None).values()} == {"popularity_cold_start"}
+
+
+def test_titles_history_and_metrics(spark, items, tmp_path):
+    lists = spark.createDataFrame([(1, 2, 0.5)], "item_id long, other_id long, similarity double")
+    assert content.titled(lists, items, "other_id").first().title == "Jumanji (1995)"
+    recs = spark.createDataFrame([(1, 5, 1), (1, 4, 2)], "user_id long, item_id long, rank int")
+    for _ in range(2):
+        interactions.append_history(interactions.rec_history(recs, "hybrid", "2020-01-01 00:00:00"), f"{tmp_path}/history")
+    assert [x.item_ids for x in spark.read.parquet(f"{tmp_path}/history").collect()] == [[5, 4], [5, 4]]
+    assert jobs.read_metrics(spark, f"{tmp_path}/metrics") is None
+    jobs.write_metrics(lists.agg(F.count(F.lit(1)).alias("rows")), f"{tmp_path}/metrics", began=1.0, factors=8)
+    got = jobs.read_metrics(spark, f"{tmp_path}/metrics").first()
+    assert got.rows == 1 and got.factors == 8 and got.training_duration_seconds > 1e9 and got.trained_at.startswith("2")
+
+
+def test_places_in_the_whole_order(spark):
+    rows = spark.createDataFrame([(i, (i * 37) % 101) for i in range(300)], "id long, x long").repartition(7)
+    got = {r.id: r.place for r in kept.numbered(rows, [F.desc("x"), F.col("id")], "place").collect()}
+    want = sorted(range(300), key=lambda i: (-(i * 37 % 101), i))
+    assert got == {i: k + 1 for k, i in enumerate(want)}
+    assert kept.numbered(rows.limit(0), [F.col("id")], "place").count() == 0
+
+
+def test_kept_frames_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="checkpoint"):
+        kept.work_path(session("yarn", ""), "x")
+    assert kept.work_path(session("yarn", "hdfs://a"), "x").startswith("hdfs://a/x-")
+    assert kept.work_path(session("local[4]", ""), "x").startswith("/")
+
+
 def test_cold_users(spark, ratings, model):
     more = ratings.unionByName(ratings.withColumn("item_id", F.col("item_id") + 10))
     users = spark.createDataFrame([(1,), (2,), (9,)], "user_id long")
@@ -165,7 +235,7 @@ def test_metrics(spark, items):
     assert evaluate.catalog_coverage(recs, items).first().coverage == 1.0
     assert evaluate.intralist_diversity(recs, items).first().diversity == pytest.approx((((1 - 3 / 5) + (1 - 1 / 6) + 1) / 3 + (1 - 1 / 3)) / 2, abs=1e-6)
     train = spark.createDataFrame([(9, 1, 1.0), (8, 1, 1.0), (9, 2, 1.0)], "user_id long, item_id long, rating double")
-    want = -sum(math.log2((c + 1) / 8) for c in (2, 1, 0, 0, 0)) / 5
+    want = (-sum(math.log2((c + 1) / 8) for c in (2, 1, 0)) / 3 - math.log2(1 / 8)) / 2  # by user, then over users
     assert evaluate.novelty(recs, train, items).first().novelty == pytest.approx(want, abs=1e-6)
 
 

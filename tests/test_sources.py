@@ -30,11 +30,13 @@ def test_enrichment(spark, tmp_path):
     (tmp_path / "d.json").write_text(
         '{"tmdb_id":"7","status":200,"poster_path":"/p","overview":"O","credits":{"crew":[{"name":"A","job":"Writer"},{"name":"B","job":"Director"},{"name":"C","job":"Director"},{"name":"D","job":"Director"}],"cast":[{"name":"1"},{"name":"2"},{"name":"3"},{"name":"4"},{"name":"5"},{"name":"6"}]}}\n'
         '{"tmdb_id":"8","status":404}\n{"tmdb_id":"9","status":200,"credits":{"crew":[],"cast":[]}}\n'
+        '{"tmdb_id":"7","status":404}\n{"tmdb_id":"8","status":404}\n'  # several documents of one id
     )
     items = spark.createDataFrame([(1, "7", None), (2, "8", None), (3, "9", None), (4, "nan", None), (5, None, None), (6, "", None), (7, "11", "/x")], "id long, tmdb_id string, poster_path string")
     assert sorted(r.id for r in files.enrich_pending(items).collect()) == [1, 2, 3]
     assert [r.id for r in files.enrich_pending(items, 2).collect()] == [1, 2]
     details = files.details_of(spark.read.schema(s.DETAILS_JSON).json(str(tmp_path / "d.json")))
+    assert files.enrich_metadata(items, details).count() == items.count()
     got = {r.id: r for r in files.enrich_metadata(items, details).collect()}
     assert (got[1].director, got[1].cast_list, got[1].poster_path) == ("B, C", "1, 2, 3, 4, 5", "/p")
     assert (got[2].poster_path, got[2].overview) == ("", "")
@@ -60,6 +62,10 @@ def test_stream_is_idempotent(spark, tmp_path):
         stream.upsert_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), items, ["ts"])
     got = {(r.user_id, r.item_id): r.rating for r in stream.latest(spark, str(tmp_path / "out")).collect()}
     assert got == {(1, 1): 5.0, (1, 2): 4.0, (2, 1): 1.0}
+    written = [set() for _ in range(3)]
+    for x in spark.read.parquet(str(tmp_path / "out")).select("v", "bucket", "user_id").collect():
+        written[x.v].add((x.bucket, x.user_id))
+    assert {u for _, u in written[1]} == {1} and 2 in {u for _, u in written[2]}
     assert stream.latest(spark, str(tmp_path / "none")) is None
 
 

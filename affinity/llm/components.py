@@ -2,7 +2,8 @@
 small stars (Kiveris et al., "Connected components in MapReduce and beyond").
 Each round is two aggregations and two joins on node ids; a node with very many
 edges is only ever reduced to its smallest neighbour, and its rows in the joins
-may be split by Spark's adaptive skew handling. Rounds are checkpointed.
+may be split by Spark's adaptive skew handling. Rounds are checkpointed; their number
+grows with the logarithm of the longest path, squared at worst.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest node of its component; a root itself is not listed.
 
     ``edges`` has two long columns, in any order and with any repeats; null ends
-    and loops are left out.
+    and loops are left out. Raises if ``rounds`` don't end it: no half-joined
+    components are returned.
     """
     prepare(edges.sparkSession)
     a, b = edges.columns
@@ -46,6 +48,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            break
+            return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"components not settled after {rounds} rounds")

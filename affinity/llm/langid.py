@@ -3,7 +3,7 @@
 A text is the average of the embeddings of its hashed subwords: byte n-grams
 inside its lower-cased letter runs, with word ends. A linear softmax on the
 average gives the language. Embeddings and softmax are trained together by
-stochastic gradient descent in numpy on a bounded sample of labelled rows
+stochastic gradient descent in numpy, in one task, on a bounded sample of labelled rows
 (``PER_CLASS`` texts of each of at most ``CLASSES`` languages). Part of the sample
 is held back to fit the temperature that calibrates the scores, and the score
 below which a prediction is rejected.
@@ -12,8 +12,9 @@ The average and the softmax are linear, so a trained model is one table of
 logits for each subword bucket, which scores whole texts of any length.
 
 Null text, or text without a letter: ``und``, score 0, rejected. With no labelled
-row at all everything is ``und``. Repeated rows get equal results; an empty table
-gives none; extra columns are not read.
+row at all everything is ``und``. Repeated rows get equal results; a row without an id
+is read, not held out, and never learned from; an empty table gives none; extra columns
+are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 
 from . import subwords
 from . import text as tx
-from .common import crc_fold, prepare, table
+from .common import crc_fold, in_task, prepare, table
 
 BITS, DIM = 16, 16
 SIZES = (2, 3, 4)
 #: Bounds of the training sample: texts a language, languages, bytes a text.
 PER_CLASS, CLASSES, BYTES = 600, 64, 20_000
+#: Times as many rows of a label as are needed are compared.
+FEW = 4
 #: Share of wrong predictions that rejection aims at among those it keeps.
 WRONG = 0.01
 
@@ -121,17 +124,20 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.5,
 
 
 def sample(docs: DataFrame, label: str, allowed: Column) -> DataFrame:
-    """At most PER_CLASS rows of each of CLASSES labels, chosen by hashed id."""
-    spread = F.xxhash64("doc_id", F.lit(11))
+    """At most PER_CLASS rows of each of the CLASSES most frequent labels: the first by
+    hashed id. Only hashes that are small for the label's frequency are compared, some
+    FEW times as many as are needed, so a label of many rows is no large group."""
     slim = docs.where(allowed & F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= BYTES) & F.col("text").rlike(r"\p{L}"))
-    chosen = (
-        slim.select("doc_id", label, spread.alias("spread"), F.xxhash64("text").alias("print"))
-        .withColumn("n", F.row_number().over(Window.partitionBy(label).orderBy("spread", "print")))
+    slim = slim.select("doc_id", label, F.xxhash64("doc_id", F.lit(11)).alias("spread"), F.xxhash64("text").alias("print"))
+    most = slim.groupBy(label).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), label).limit(CLASSES)
+    low = F.pmod("spread", F.lit(1 << 30)) * F.col("rows") < FEW * PER_CLASS * (1 << 30)
+    return (
+        slim.join(F.broadcast(most), label)  # CLASSES rows
+        .where(low)
+        .withColumn("spread", F.pmod("spread", F.lit(1 << 30)))
+        .withColumn("n", F.row_number().over(Window.partitionBy(label).orderBy("spread", "doc_id", "print")))
         .where(F.col("n") <= PER_CLASS)
-        .orderBy("n", label)
-        .limit(PER_CLASS * CLASSES)
     )
-    return chosen
 
 
 def train(docs: DataFrame, allowed: Column) -> Model | None:
@@ -143,9 +149,9 @@ def train(docs: DataFrame, allowed: Column) -> Model | None:
         .select("doc_id", "text", "lang")
         .orderBy("doc_id", "text", "lang")
         .limit(PER_CLASS * CLASSES)
-        .collect()
+        .select("text", "lang")
     )
-    return fit([r.text for r in rows], [r.lang for r in rows]) if rows else None
+    return in_task(rows, lambda t: fit(t["text"].to_pylist(), t["lang"].to_pylist()) if len(t) else None)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -182,4 +188,4 @@ def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     fold = crc_fold("doc_id", 3)
     model = train(docs, fold != 1)
-    return identify(docs, model).select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(docs, model).select("doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -7,7 +7,7 @@ and a backward gated recurrent layer; attention pools the states, and a logistic
 unit scores the window. A text's score is that of its highest window, calibrated.
 All windows of all texts are scored.
 
-Training is numpy on a bounded sample of labelled rows (``ROWS`` of each label, of
+Training is numpy in one task, on a bounded sample of labelled rows (``ROWS`` of each label, of
 at most ``BYTES`` bytes): Adam on windows. A toxic text's label says nothing of
 where, so its windows are those whose words speak most for the label in the
 sample (smoothed log odds by document), and after the first round those that the
@@ -17,8 +17,8 @@ scoring ones, and windows that repeat one or two of their words. Every sixth sam
 Null, empty and wordless texts are one window without words; its pooled state is
 zero. Without labelled rows of both kinds every score is the share of toxic
 labels, 0 if there are none. Repeated labels of one document count once each.
-Repeated rows get equal scores; an empty table gives none; extra columns are not
-read.
+Repeated rows get equal scores; a row without an id is scored, not held out, and never
+learned from; an empty table gives none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import subwords
 from . import text as tx
-from .common import crc_fold, prepare, table
+from .common import crc_fold, in_task, prepare, table
 from .exchange import run_starts
 
 U, R = np.uint64, np.float32
@@ -371,10 +371,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
         .join(F.broadcast(chosen), "doc_id")  # the sum of ROWS at most
         .orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id", "text")
         .limit(sum(ROWS.values()))
-        .collect()
+        .select("text", "toxic")
     )
     share = marked.agg(F.avg("toxic")).first()[0]
-    return fit([r.text for r in rows], [r.toxic for r in rows], share)
+    return in_task(rows, lambda t: fit(t["text"].to_pylist(), t["toxic"].to_pylist(), share)) or fit([], [])
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -419,4 +419,4 @@ def scores(m: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), crc_fold("doc_id", 5) != 0)
-    return score_texts(docs, model).select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return score_texts(docs, model).select("doc_id", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -94,3 +94,10 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 300), (300, 200), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)} | {300: 200}
+
+
+def test_components_raise_if_not_settled(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settled"):
+        components(path, rounds=2)
+    assert {r.root for r in components(path).collect()} == {0}

@@ -37,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import prepare, release, scratch, splits, table
+from .common import discard, prepare, release, scratch, splits, table
 from .components import components
 from .exchange import forest, run_starts, scatter, unpack_all
 
 U = np.uint64
 #: Entries a task gathers before it sends them.
 FLUSH = 1_000_000
-#: Sketch bits a piece covers.
-WIDTH = 256
+#: Sketch bits a piece covers. Pieces are never laid out in full, so wide ones cost nothing,
+#: and two of few set bits hardly ever agree by chance, however many documents there are.
+WIDTH = 1 << 20
 #: Holders in a block of a group.
 BLOCK_HOLDERS = 3000
 #: Members and shingles of a block of a candidate cluster.
@@ -241,13 +242,12 @@ def likely_links(sketches: np.ndarray, n: np.ndarray, left: np.ndarray, right: n
     return links
 
 
-def candidate_edges(docs: DataFrame, known: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) between class representatives that may be linked."""
+def candidate_edges(docs: DataFrame, known: DataFrame, classes: DataFrame, size: int, percent: int, path: str) -> DataFrame:
+    """Edges (a, b) between class representatives that may be linked; shared keys are kept under ``path``."""
     buckets = 8 * splits(docs)
     of_doc = known.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "f", "g").distinct()
     rep_of = of_doc.join(classes.select("n_shingles", "f", "g", "rep"), ["n_shingles", "f", "g"]).select("doc_id", "rep")
     blocks = F.ceil(F.col("holders") / BLOCK_HOLDERS).cast("int")
-    path = scratch(docs.sparkSession, "keys")
     shared_keys(docs, size, percent).write.parquet(path)
     release(docs.sparkSession)
     members = (
@@ -319,7 +319,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
         .checkpoint()
     )
-    groups = components(candidate_edges(docs, known, classes, size, percent))
+    path = scratch(spark, "keys")
+    groups = components(candidate_edges(docs, known, classes, size, percent, path))
+    discard(spark, path)
     release(spark)
 
     members = classes.join(groups, classes["rep"] == groups["node"], "left").select(
@@ -365,11 +367,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labels = classes.join(links, classes["rep"] == links["node"], "left").select(
         "n_shingles", "f", "g", F.coalesce("root", "rep").alias("component_id")
     )
+    # Sets without shingles, and rows without an id, need no label.
     own = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return (
-        known.join(labels, ["n_shingles", "f", "g"], "left")
-        .select("doc_id", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    alone = known.where(own).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return known.where(~own).join(labels, ["n_shingles", "f", "g"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):

@@ -114,6 +114,26 @@ def test_content(items, ratings):
     assert {r.item_id for r in recs} <= {4, 5} and [r["rank"] for r in sorted(recs, key=lambda r: r["rank"])] == list(range(1, len(recs) + 1))
 
 
+@pytest.mark.parametrize("dense", [0.0, 0.01, 10.0])
+def test_best_by_terms_against_all_pairs(spark, monkeypatch, dense):
+    """Whether terms are dense or not, over several blocks."""
+    import random
+
+    for name, value in (("ROWS", 5), ("BLOCK", 9), ("DENSE", dense), ("PAIRS", 7)):
+        monkeypatch.setattr(content, name, value)
+    r = random.Random(4)
+    side = lambda n, k: {i: {t: r.choice([0.25, 0.5, 1.5]) for t in r.sample("abcdefghij", r.randint(1, k))} for i in range(n)}
+    left, right = side(12, 4), side(30, 6) | {99: {"z": 1.0}}
+    seen = {(i, j) for i in left for j in right if r.random() < 0.2}
+    flat = lambda x: [(i, t, w) for i, d in x.items() for t, w in d.items()]
+    made = content.best_by_terms(
+        spark.createDataFrame(flat(left), "id long, term string, w double"), spark.createDataFrame(flat(right), "item_id long, term string, w double"),
+        spark.createDataFrame([*seen, (1, 555)], "id long, item_id long"), 50, "x",
+    )
+    want = {(i, j): sum(w * b.get(t, 0) for t, w in a.items()) for i, a in left.items() for j, b in right.items() if (i, j) not in seen}
+    assert {(x.id, x.item_id): x.x for x in made.collect()} == pytest.approx({k: v for k, v in want.items() if v > 0})
+
+
 def test_popularity_lists(spark, items, ratings):
     pop = items.select(F.col("id").alias("item_id"), "popularity_score")
     users = spark.createDataFrame([(1,), (0,)], "user_id long")

@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -45,7 +45,7 @@ FLUSH = 500_000
 #: Undecided regions of one anchor above which they are dealt by whole windows.
 HOT = 20_000
 #: Index tasks for each document bucket.
-FINER = 6
+FINER = 3
 #: Windows are cut into new regions at multiples of this offset.
 LONGEST = 128
 #: anchor, region, document, row mark, first window, windows
@@ -90,8 +90,8 @@ def regions(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     count = np.diff(np.append(first, total))
     begin = window[first]
     whole = tx.span_hash(prefix, begin, begin + count + length - 1)
-    # Least hashes are small, so they are mixed again. 56 and 48 bits: two regions are taken as equal if both agree.
-    return tx.mix(anchor[first]) & ~U(0xFF), whole & U(0xFFFFFFFFFFFF), owner[first], inside[first].astype(np.int32), count.astype(np.int16)
+    # Least hashes are small, so they are mixed again. 48 and 48 bits: two regions are taken as equal if both agree.
+    return tx.mix(anchor[first]) & ~U(0xFFFF), whole & U(0xFFFFFFFFFFFF), owner[first], inside[first].astype(np.int32), count.astype(np.int16)
 
 
 def by_document(cut: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -176,16 +176,18 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
             rows += [(b, None, p) for b, p in by_document([x[undecided] for x in (doc, mark, first, windows, anchor, flags)], buckets)]
         return frame(rows, ["bucket", "cuts", "open"])
 
-    def fetch(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        own = int((texts if len(texts) else part)["bucket"].iloc[0])
-        rows = [(own * FINER, own, c, None, None) for c in part["cuts"] if c is not None]
-        _, doc, mark, first, windows, anchor, flags = unpack_all([x for x in part["open"] if x is not None], OPEN)
-        names = ["task", "bucket", "cuts", "pieces", "bytes"]
+    def fetch(texts: pa.Table, part: pa.Table) -> pa.Table:
+        own = int((texts if len(texts) else part)["bucket"][0].as_py())
+        rows = [(own * FINER, own, c, None, None) for c in part["cuts"].drop_null().to_pylist()]
+        _, doc, mark, first, windows, anchor, flags = unpack_all(part["open"].drop_null().to_pylist(), OPEN)
+        schema = pa.schema([("task", pa.int32()), ("bucket", pa.int32()), ("cuts", pa.binary()), ("pieces", pa.binary()), ("bytes", pa.binary())])
+        made = lambda: pa.table([[r[k] for r in rows] for k in range(5)], schema=schema)
         if not len(doc) or not len(texts):
-            return frame(rows, names)
-        texts = texts[texts["doc_id"].notna()].sort_values("doc_id", kind="stable")
-        data, at = tx.buffers(pa.array(texts["text"], pa.string()))
-        ids = texts["doc_id"].to_numpy(np.int64)
+            return made()
+        known = texts["doc_id"].combine_chunks()
+        order = pa.compute.sort_indices(known)[: len(known) - known.null_count]  # nulls are last
+        ids = known.take(order).to_numpy()
+        data, at = tx.buffers(texts["text"].cast(pa.large_string()).take(order))
         row = np.searchsorted(ids, doc)
         if marked:
             own = row_marks(data, at)
@@ -212,7 +214,7 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
             reach = sizes[pick]
             where = np.repeat(begin[pick] - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
             rows.append((int(bucket[i]), None, None, pack([np.zeros(j - i, U), *(x[pick] for x in (doc, mark, first, windows, flags))]), squeeze(data[where].tobytes())))
-        return frame(rows, names)
+        return made()
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
         rows = [(int(b), c) for b, c in zip(part["bucket"], part["cuts"], strict=True) if c is not None]
@@ -262,14 +264,22 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
 
     sent = docs.where("doc_id is not null").mapInArrow(gather, "bucket int, entries binary, cuts binary")
     decided = sent.groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary, open binary")
-    fetched = dealt.groupBy("bucket").cogroup(decided.groupBy("bucket")).applyInPandas(
+    fetched = dealt.groupBy("bucket").cogroup(decided.groupBy("bucket")).applyInArrow(
         fetch, "task int, bucket int, cuts binary, pieces binary, bytes binary"
     )
     return fetched.groupBy("task").applyInPandas(match, "bucket int, cuts binary")
 
 
-def with_bucket(docs: DataFrame, buckets: int) -> DataFrame:
-    return docs.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
+def with_bucket(docs: DataFrame, buckets: int, name: str = "bucket") -> DataFrame:
+    return docs.withColumn(name, F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
+
+
+def free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` hasn't, whatever the case of letters."""
+    taken, name = {c.lower() for c in docs.columns}, "bucket"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def removed(ids: pa.Array, column: pa.Array, payloads: list[bytes], length: int, marked: bool, whole_characters: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -294,13 +304,15 @@ def removed(ids: pa.Array, column: pa.Array, payloads: list[bytes], length: int,
         yield body, gone
 
 
-def planned(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Documents with their buckets, what to cut by bucket, and whether ids repeat."""
+def planned(docs: DataFrame, length: int) -> tuple[GroupedData, GroupedData, bool]:
+    """Documents and what to cut of them, both grouped by bucket, and whether ids repeat."""
     prepare(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     buckets = 8 * splits(docs) | 1
     marked = bool(slim.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
-    return with_bucket(docs, buckets), repeat_cuts(slim, with_bucket(slim, buckets), length, marked, buckets), marked
+    own = free_name(docs)
+    cuts = repeat_cuts(slim, with_bucket(slim, buckets), length, marked, buckets)
+    return with_bucket(docs, buckets, own).groupBy(own), cuts.groupBy("bucket"), marked
 
 
 def dedup(docs: DataFrame, length: int = 50, whole_characters: bool = False) -> DataFrame:
@@ -323,8 +335,7 @@ def dedup(docs: DataFrame, length: int = 50, whole_characters: bool = False) ->
         )
 
     return (
-        dealt.groupBy("bucket")
-        .cogroup(cuts.groupBy("bucket"))
+        dealt.cogroup(cuts)
         .applyInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     )
 
@@ -347,7 +358,7 @@ def dedup_texts(docs: DataFrame, length: int = 50) -> DataFrame:
             columns["n_chars"] = pa.compute.if_else(swap, pa.array([None if k is None else len(k) for k in kept], texts["n_chars"].type), texts["n_chars"])
         return pa.table(columns)
 
-    return dealt.groupBy("bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(apply, docs.schema)
+    return dealt.cogroup(cuts).applyInArrow(apply, docs.schema)
 
 
 def op9_suffix_array_dedup(spark, sf_dir):

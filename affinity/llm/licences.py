@@ -123,22 +123,21 @@ def bigrams(w: Column) -> Column:
 
 
 def sharing(texts: DataFrame, sets: dict[str, set[str]], part: float) -> DataFrame:
-    """Hashes of texts that share ``part`` of the bigrams of some template."""
+    """Texts that share ``part`` of the bigrams of some template; decided in the row, by
+    hashes, so that no text is sent."""
     spark = texts.sparkSession
-    rows = [(name, len(s), *g.partition(" ")[::2]) for name, s in sets.items() for g in sorted(s)]
-    marks = spark.createDataFrame(rows, "licence string, size int, a string, b string").select("licence", "size", F.xxhash64("a", "b").alias("pair"))
+    pairs = {g for s in sets.values() for g in s}
+    halves = spark.createDataFrame([g.partition(" ")[::2] for g in sorted(pairs)], "a string, b string")
+    code = {f"{r.a} {r.b}": r.h for r in halves.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}  # the templates' bigrams
+    fixed = lambda grams: F.array(*[F.lit(x) for x in sorted(code[g] for g in grams)])
     plain = F.split(F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")), " ")
-    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    return (
-        settled(texts, "words", plain)
-        .select("text_hash", F.explode(pairs(F.col("words"))).alias("pair"))
-        .join(F.broadcast(marks), "pair")
-        .groupBy("text_hash", "licence", "size")
-        .agg(F.size(F.collect_set("pair")).alias("both"))  # at most the template's bigrams
-        .where(F.col("both") >= part * F.col("size") - 1e-9)
-        .select("text_hash")
-        .distinct()
-    )
+    every = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    least = min(part * len(s) for s in sets.values()) - 1e-9
+    holds = F.lit(False)
+    for s in sets.values():
+        holds = holds | (F.size(F.array_intersect("hits", fixed(s))) >= part * len(s) - 1e-9)
+    met = settled(settled(texts, "words", plain), "hits", F.array_intersect(every(F.col("words")), fixed(pairs)))
+    return met.where(F.size("hits") >= least).where(holds).drop("words", "hits")
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -223,9 +222,11 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] = TEMPLA
     rows = [(name, len(s), g) for name, s in sets.items() for g in sorted(s)]
     marks = F.broadcast(spark.createDataFrame(rows, "licence string, size int, gram string"))
 
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     if min(len(t.split()) for t in templates.values()) > 1:
-        texts = texts.join(sharing(texts, sets, low), "text_hash", "left_semi")
+        texts = sharing(texts, sets, low)
+    # From here on few texts are left. Equal rows are one document.
+    texts = texts.withColumn("text_hash", F.md5("text")).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
     if passages:  # read twice
         path = scratch(spark, "licences")
         texts.write.parquet(path)

@@ -7,14 +7,15 @@ document with a smaller doc_id; strings are judged on the input. Steps:
    substrings, so equal windows have equal anchors. Neighbouring windows with one
    anchor form a region (some dozens of bytes). Regions are exchanged by anchor as
    hashes (``exchange``); equal regions are pre-aggregated in each task.
-2. For each anchor: a region that also stands in a smaller document goes as a
-   whole. First holders of a region whose anchor occurs in other surroundings are
-   undecided: only part of their windows may repeat. Their text is fetched.
-3. Undecided regions of an anchor meet in one task, which builds a run-length
-   index over their distinct texts (``rindex``), streams their matching statistics
-   through it, and marks windows that match a text with a smaller doc_id. An anchor
-   with very many undecided regions is dealt by whole windows instead, so that no
-   task gets them all.
+2. Equal regions of an anchor are a class. The text of one holder of each class is
+   fetched, if other documents have the class or the anchor in other surroundings; the
+   other holders go along as members, without text.
+3. The classes of an anchor meet in one task, which builds a run-length index over
+   their distinct texts (``rindex``), streams their matching statistics through it, and
+   marks, for every holder and member, the windows that match a text with a smaller
+   doc_id. An anchor with very many classes is dealt by whole windows instead, so that no
+   task gets them all; members of its classes, and later holders of a region within one
+   task of step 1, go as a whole.
 4. Marked windows are gathered by document bucket and cut from the texts.
 
 Null text is empty. Rows that share a doc_id are separate texts, and none of them
@@ -41,11 +42,15 @@ from .exchange import bucket_of, pack, run_starts, scatter, squeeze, unpack_all,
 from .rindex import RunLengthIndex
 
 U = np.uint64
+#: Bits that name a region among those of its anchor.
+REGION = U(0xFFFFFFFFFFFF)
 FLUSH = 500_000
 #: Undecided regions of one anchor above which they are dealt by whole windows.
 HOT = 20_000
 #: Index tasks for each document bucket.
 FINER = 3
+#: Members whose windows are looked at at a time.
+PART = 1 << 16
 #: Windows are cut into new regions at multiples of this offset.
 LONGEST = 128
 #: anchor, region, document, row mark, first window, windows
@@ -54,6 +59,8 @@ ENTRY = (U, U, np.int64, U, np.int32, np.int16)
 CUT = (U, np.int64, U, np.int32, np.int16)
 #: document, row mark, first window, windows, anchor, flags: 1 dealt by windows, 2 may lose bytes
 OPEN = (U, np.int64, U, np.int32, np.int16, U, np.uint8)
+#: region, document, row mark, first window, windows
+MEMBER = (U, np.int64, U, np.int32, np.int16)
 #: document, row mark, first window, windows, flags
 PIECE = (U, np.int64, U, np.int32, np.int16, np.uint8)
 
@@ -91,7 +98,7 @@ def regions(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     begin = window[first]
     whole = tx.span_hash(prefix, begin, begin + count + length - 1)
     # Least hashes are small, so they are mixed again. 48 and 48 bits: two regions are taken as equal if both agree.
-    return tx.mix(anchor[first]) & ~U(0xFFFF), whole & U(0xFFFFFFFFFFFF), owner[first], inside[first].astype(np.int32), count.astype(np.int16)
+    return tx.mix(anchor[first]) & ~U(0xFFFF), whole & REGION, owner[first], inside[first].astype(np.int32), count.astype(np.int16)
 
 
 def by_document(cut: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -158,8 +165,10 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
         anchor, whole, doc, mark, first, windows = unpack_all([x for x in part["entries"] if x is not None], ENTRY)
         order = np.lexsort((doc, whole, anchor))
         anchor, whole, doc, mark, first, windows = (x[order] for x in (anchor, whole, doc, mark, first, windows))
+        names = ["bucket", "cuts", "open", "task", "members"]
+        rows = [(*r, None, None) for r in rows]
         if not len(anchor):
-            return frame(rows, ["bucket", "cuts", "open"])
+            return frame(rows, names)
         by_anchor, by_region = run_starts(anchor), run_starts(anchor, whole)
         per_anchor, per_region = (np.diff(np.append(x, len(anchor))) for x in (by_anchor, by_region))
         low, high = np.minimum.reduceat(doc, by_anchor), np.maximum.reduceat(doc, by_anchor)
@@ -167,21 +176,31 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
         later = doc > region_low
         shared = np.repeat(low != high, per_anchor)
         classes = np.repeat(np.add.reduceat(np.isin(np.arange(len(anchor)), by_region, assume_unique=True).astype(np.int64), by_anchor), per_anchor)
-        undecided = shared & ~later & (classes > 1)
-        number = np.repeat(np.add.reduceat(undecided.astype(np.int64), by_anchor), per_anchor)
-        if later.any():
-            rows += [(b, p, None) for b, p in by_document([x[later] for x in (doc, mark, first, windows)], buckets)]
+        followed = np.repeat(np.logical_or.reduceat(later, by_region), per_region)
+        undecided = shared & ~later & ((classes > 1) | followed)
+        hot = np.repeat(np.add.reduceat(undecided.astype(np.int64), by_anchor), per_anchor) > HOT
+        direct, member = later & hot, np.flatnonzero(later & ~hot)
+        if direct.any():
+            rows += [(b, p, None, None, None) for b, p in by_document([x[direct] for x in (doc, mark, first, windows)], buckets)]
         if undecided.any():
-            flags = ((number > HOT) + 2 * (doc > np.repeat(low, per_anchor))).astype(np.uint8)
-            rows += [(b, None, p) for b, p in by_document([x[undecided] for x in (doc, mark, first, windows, anchor, flags)], buckets)]
-        return frame(rows, ["bucket", "cuts", "open"])
+            flags = (hot + 2 * (doc > np.repeat(low, per_anchor))).astype(np.uint8)
+            rows += [(b, None, p, None, None) for b, p in by_document([x[undecided] for x in (doc, mark, first, windows, anchor, flags)], buckets)]
+        if len(member):
+            task = bucket_of(anchor[member], FINER * buckets)  # in order, as anchors are
+            at = np.append(run_starts(task), len(member))
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                pick = member[i:j]
+                pick = pick[np.lexsort((doc[pick], whole[pick]))]
+                rows.append((bucket, None, None, int(task[i]), pack([x[pick] for x in (whole, doc, mark, first, windows)])))
+        return frame(rows, names)
 
     def fetch(texts: pa.Table, part: pa.Table) -> pa.Table:
         own = int((texts if len(texts) else part)["bucket"][0].as_py())
-        rows = [(own * FINER, own, c, None, None) for c in part["cuts"].drop_null().to_pylist()]
+        rows = [(own * FINER, own, c, None, None, None) for c in part["cuts"].drop_null().to_pylist()]
+        rows += [(t, None, None, None, None, m) for t, m in zip(part["task"].to_pylist(), part["members"].to_pylist(), strict=True) if m is not None]
         _, doc, mark, first, windows, anchor, flags = unpack_all(part["open"].drop_null().to_pylist(), OPEN)
-        schema = pa.schema([("task", pa.int32()), ("bucket", pa.int32()), ("cuts", pa.binary()), ("pieces", pa.binary()), ("bytes", pa.binary())])
-        made = lambda: pa.table([[r[k] for r in rows] for k in range(5)], schema=schema)
+        schema = pa.schema([("task", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("cuts", "pieces", "bytes", "members"))])
+        made = lambda: pa.table([[r[k] for r in rows] for k in range(6)], schema=schema)
         if not len(doc) or not len(texts):
             return made()
         known = texts["doc_id"].combine_chunks()
@@ -213,7 +232,7 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
             pick = order[i:j]
             reach = sizes[pick]
             where = np.repeat(begin[pick] - (np.cumsum(reach) - reach), reach) + np.arange(reach.sum())
-            rows.append((int(bucket[i]), None, None, pack([np.zeros(j - i, U), *(x[pick] for x in (doc, mark, first, windows, flags))]), squeeze(data[where].tobytes())))
+            rows.append((int(bucket[i]), None, None, pack([np.zeros(j - i, U), *(x[pick] for x in (doc, mark, first, windows, flags))]), squeeze(data[where].tobytes()), None))
         return made()
 
     def match(part: pd.DataFrame) -> pd.DataFrame:
@@ -235,37 +254,46 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
             at = np.concatenate([[0], np.cumsum(size)])
             held = data[np.repeat(begin[one] - at[:-1], size) + np.arange(at[-1])]
             index = RunLengthIndex(held, at, length)
-            # Texts that may lose bytes are streamed through the index.
+            # Texts of which some holder may lose bytes are streamed through the index.
+            region, *members = unpack_all(list(part["members"].dropna()), MEMBER)
+            names = whole[one] & REGION
+            known = np.argsort(names)
+            theirs = known[np.minimum(np.searchsorted(names[known], region), len(known) - 1)]
+            if (names[theirs] != region).any():
+                raise RuntimeError("a member's class is not in its task")
             streams = np.zeros(len(one), bool)
             streams[kind[flags & 2 == 2]] = True
+            streams[theirs] = True
             sent_at = np.concatenate([[0], np.cumsum(size[streams])])
             reach, row = index.matching(held[np.repeat(streams, size)], sent_at)
             lowest = index.lowest(doc[one])[index.group[row]]
             at = np.zeros(len(one), np.int64)
             at[streams] = sent_at[:-1]
             asks = streams[kind]
-            doc, mark, first, windows, kind = (x[asks] for x in (doc, mark, first, windows, kind))
-            # Each piece's windows against the smallest document that has them.
-            count = windows.astype(np.int64)
-            each = np.repeat(np.arange(len(doc)), count)
-            step = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            place = at[kind[each]] + step
-            gone = (reach[place] >= length) & (lowest[place] < doc[each])
-            each, step = each[gone], step[gone]
-            if len(each):
+            doc, mark, first, windows, kind = (np.concatenate([x[asks], y]) for x, y in zip((doc, mark, first, windows, kind), (*members, theirs), strict=True))
+            # Each holder's windows against the smallest document that has them.
+            cuts = []
+            for i in range(0, len(doc), PART):
+                count = windows[i : i + PART].astype(np.int64)
+                each = i + np.repeat(np.arange(len(count)), count)
+                step = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                place = at[kind[each]] + step
+                gone = (reach[place] >= length) & (lowest[place] < doc[each])
+                each, step = each[gone], step[gone]
                 new = np.ones(len(each), bool)
                 new[1:] = (each[1:] != each[:-1]) | (step[1:] != step[:-1] + 1)
                 starts = np.flatnonzero(new)
                 run = np.diff(np.append(starts, len(each))).astype(np.int16)
                 who = each[starts]
-                at_window = (first[who] + step[starts]).astype(np.int32)
-                rows += list(by_document([doc[who], mark[who], at_window, run], buckets))
+                cuts.append((doc[who], mark[who], (first[who] + step[starts]).astype(np.int32), run))
+            if sum(len(c[0]) for c in cuts):
+                rows += list(by_document([np.concatenate(x) for x in zip(*cuts, strict=True)], buckets))
         return frame(rows, ["bucket", "cuts"])
 
     sent = docs.where("doc_id is not null").mapInArrow(gather, "bucket int, entries binary, cuts binary")
-    decided = sent.groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary, open binary")
+    decided = sent.groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary, open binary, task int, members binary")
     fetched = dealt.groupBy("bucket").cogroup(decided.groupBy("bucket")).applyInArrow(
-        fetch, "task int, bucket int, cuts binary, pieces binary, bytes binary"
+        fetch, "task int, bucket int, cuts binary, pieces binary, bytes binary, members binary"
     )
     return fetched.groupBy("task").applyInPandas(match, "bucket int, cuts binary")
 

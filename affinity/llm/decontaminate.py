@@ -9,9 +9,11 @@ whole texts, and around them aligns item and text by Smith-Waterman over words
 item's perfect score; copies with words changed, left out or put in keep most of
 it. Matches of at least ``threshold`` are returned.
 
-Items are sent to the tasks in blocks of at most ``BLOCK`` bytes, one pass each, so
-nothing of unknown size is broadcast. Items of fewer than ``SHORTEST`` words and
-null items are not searched. Null and empty texts match nothing. Repeated ids, of
+An item of fewer than ``SHORTEST`` words is found only as it is: its seed is its whole
+sequence of words, and the score is 1. (A one-word item is thus found wherever its word
+is.) Items are sent to the tasks in blocks of at most ``BLOCK`` bytes, one pass each, so
+nothing of unknown size is broadcast. Null and wordless items have nothing to search.
+Null and empty texts match nothing. Repeated ids, of
 items or documents, give the best score of their rows. Empty tables give no rows;
 extra columns are not read.
 """
@@ -70,23 +72,35 @@ class Items:
         hashes, doc, _, _ = hashed_words(data, at)
         cuts = np.searchsorted(doc, np.arange(len(rows) + 1))
         words = [hashes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        keep = [k for k, w in enumerate(words) if len(w) >= SHORTEST]
+        keep = [k for k, w in enumerate(words) if len(w)]
         return Items(np.array([rows[k].item_id for k in keep], np.int64), [words[k] for k in keep])
 
-    def seeds(self, counts: dict[int, int], total: int) -> tuple[Member, np.ndarray, np.ndarray]:
-        """Rare grams, and for each (by offset) the items that have it."""
-        gram, owner = [], []
+    def seeds(self, counts: dict[int, int], total: int) -> dict[int, tuple[Member, np.ndarray, np.ndarray]]:
+        """Under GRAM the rare grams of long items, and under each other number of words
+        (negative) the short items of that length; for each gram (by offset) the items that have it."""
+        out = {}
+        for size in {len(w) for w in self.words if len(w) < SHORTEST}:
+            owner = np.array([k for k, w in enumerate(self.words) if len(w) == size])
+            out[-size] = indexed(np.array([tx.shingles(self.words[k], np.zeros(size, np.int64), 1, size)[0][0] for k in owner], U), owner)
+        gram, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for k, w in enumerate(self.words):
+            if len(w) < SHORTEST:
+                continue
             p = np.array([max(1, counts.get(int(x), 0)) for x in w]) / max(1, total)
             g, _ = tx.shingles(w, np.zeros(len(w), np.int64), 1, GRAM)
             expected = total * np.prod([p[i : len(p) - GRAM + 1 + i] for i in range(GRAM)], axis=0)
             rare = (expected <= EXPECTED) | (expected <= np.median(expected))
             gram.append(np.unique(g[rare]))
             owner.append(np.full(len(gram[-1]), k))
-        gram, owner = np.concatenate(gram), np.concatenate(owner)
-        order = np.lexsort((owner, gram))
-        starts = run_starts(gram[order])
-        return Member(gram[order][starts]), np.append(starts, len(gram)), owner[order]
+        out[GRAM] = indexed(np.concatenate(gram), np.concatenate(owner))
+        return out
+
+
+def indexed(gram: np.ndarray, owner: np.ndarray) -> tuple[Member, np.ndarray, np.ndarray]:
+    """Distinct grams, and offsets of each one's owners."""
+    order = np.lexsort((owner, gram))
+    starts = run_starts(gram[order])
+    return Member(gram[order][starts]), np.append(starts, len(gram)), owner[order]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -103,23 +117,34 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def matches(items: Items, seeds: tuple, data: np.ndarray, at: np.ndarray, threshold: float) -> list[tuple]:
-    """(text, item, score, first byte, past last byte) of each copy's best alignment."""
+def met(words: np.ndarray, doc: np.ndarray, n: int, size: int, seeds: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, word of the text) of every seed that a text holds, in order."""
     member, offset, owner = seeds
-    words, doc, start, end = hashed_words(data, at)
-    n = len(at) - 1
-    grams, bounds = tx.shingles(words, doc, n, GRAM)
+    grams, bounds = tx.shingles(words, doc, n, size)
     place, which = member.find(grams)
-    if not len(place):
-        return []
     holder = np.searchsorted(bounds, place, "right") - 1
-    first = np.searchsorted(doc, np.arange(n + 1))
     count = (offset[1:] - offset[:-1])[which]
     each = np.repeat(np.arange(len(place)), count)
     item = owner[np.repeat(offset[which] - (np.cumsum(count) - count), count) + np.arange(len(each))]
     text, word = holder[each], (place - bounds[holder])[each]
     order = np.lexsort((word, item, text))
-    text, item, word = text[order], item[order], word[order]
+    return text[order], item[order], word[order]
+
+
+def matches(items: Items, seeds: dict[int, tuple], data: np.ndarray, at: np.ndarray, threshold: float) -> list[tuple]:
+    """(text, item, score, first byte, past last byte) of each copy's best alignment."""
+    words, doc, start, end = hashed_words(data, at)
+    n = len(at) - 1
+    first = np.searchsorted(doc, np.arange(n + 1))
+    found = []
+    for size in (-k for k in seeds if k < 0):
+        text, item, word = met(words, doc, n, size, seeds[-size])
+        for x in run_starts(text, item):  # the first of each
+            a = first[text[x]] + word[x]
+            found.append((int(text[x]), int(items.ids[item[x]]), 1.0, int(start[a] - at[text[x]]), int(end[a + size - 1] - at[text[x]])))
+    text, item, word = met(words, doc, n, GRAM, seeds[GRAM])
+    if not len(text):
+        return found
     size = np.array([len(w) for w in items.words])[item]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > 2 * size[1:])
@@ -135,10 +160,10 @@ def matches(items: Items, seeds: tuple, data: np.ndarray, at: np.ndarray, thresh
         if score >= threshold and score > best.get((t, k), (0,))[0]:
             _, back = align(items.words[k][::-1], words[a : a + stop][::-1])
             best[t, k] = (score, int(start[a + stop - back] - at[t]), int(end[a + stop - 1] - at[t]))
-    return [(t, int(items.ids[k]), *x) for (t, k), x in best.items()]
+    return found + [(t, int(items.ids[k]), *x) for (t, k), x in best.items()]
 
 
-def item_blocks(docs: DataFrame, items: DataFrame) -> Iterator[tuple[Items, tuple]]:
+def item_blocks(docs: DataFrame, items: DataFrame) -> Iterator[tuple[Items, dict[int, tuple]]]:
     """Items and their seeds, in blocks of at most about BLOCK bytes."""
     items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
     load = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -48,7 +48,7 @@ def test_matches_full_alignment(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK", block)
     items, docs = data(2)
     d = spark.createDataFrame([(i, " ".join(w).title() + ".", 1) for i, w in docs] + [(500, None, 1), (501, "", 1), (3, " ".join(docs[3][1]), 1), (None, " ".join(items[0][1]), 1)], "doc_id long, text string, score int").repartition(3)
-    i = spark.createDataFrame([(k, " ".join(w), "x") for k, w in items] + [(100, None, "x"), (101, "too short", "x")], "item_id long, text string, doc_id string")
+    i = spark.createDataFrame([(k, " ".join(w), "x") for k, w in items] + [(100, None, "x"), (101, "not there", "x")], "item_id long, text string, doc_id string")
     rows = contaminated(d, i).collect()
     got = {(x.doc_id, x.item_id): x.score for x in rows}
     assert len(got) == len(rows)
@@ -76,3 +76,10 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(d, none).count() == 0
     assert contaminated(d.limit(0), spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")).count() == 0
+
+
+def test_short_items_are_found_as_they_are(spark):
+    items = [(1, "Kalo"), (2, "kalo, mi"), (3, "une sha ro ti ex"), (4, "?!"), (5, "Une sha ro ti ex"), (6, " ".join(WORDS[:12]))]
+    docs = [(1, "x kalo mi kalo"), (2, "kalo. MI"), (3, "kalomi une sha ro ti"), (4, "a une sha ro  ti-ex b"), (5, "mi"), (6, "")]
+    got = {(x.doc_id, x.item_id, x.score, x.first_byte, x.last_byte) for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 1.0, 2, 6), (1, 2, 1.0, 2, 9), (2, 1, 1.0, 0, 4), (2, 2, 1.0, 0, 8), (4, 3, 1.0, 2, 19), (4, 5, 1.0, 2, 19)}

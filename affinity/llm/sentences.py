@@ -9,12 +9,13 @@ not without its last sentence; then any repeated passage of ``run`` sentences an
 such run (one sentence, or too few words) is then hashed as a whole, and meets only
 texts that are equal as a whole. Over all documents the first of equal runs, by
 (doc_id, place), stays; sentences that any other run covers go. Runs are judged on the
-input, and may overlap. Runs are packed and exchanged by hash (``exchange``), so a run
-that very many documents share costs a few bytes for each.
+input, and may overlap. A task keeps the first of its equal runs and marks the others at
+once, so of a run that very many documents share each task sends one; these are packed
+and exchanged by hash (``exchange``).
 
 Null and empty texts have no sentences and stay as they are. Rows that share a
 doc_id are told apart by their texts; rows equal in both are one document and get
-equal results. Rows with null doc_ids come after all others. An empty table gives no
+equal results. Rows with null doc_ids come behind all others, beside the largest id there can be. An empty table gives no
 rows; extra columns are not read.
 """
 
@@ -93,19 +94,20 @@ def runs(owner: np.ndarray, hashes: np.ndarray, size: np.ndarray, run: int, leas
 def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool = False) -> DataFrame:
     """doc_id, n_sentences, n_removed and text (what is kept) of every row."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    own = F.col("doc_id").cast("long")
+    docs = docs.select(F.coalesce(own, F.lit(LAST)).alias("doc_id"), "text", own.isNull().alias("none"))
     buckets = 8 * splits(docs) | 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-            for i, _, data, at in tx.slices(batch.column(1)):
+            ids, none = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            for i, j, data, at in tx.slices(batch.column(1)):
                 _, owner, hashes, size = split(data, at)
                 key, first, length = runs(owner, hashes, size, run, least, grow)
                 text = owner[first]
                 place = (first - np.searchsorted(owner, text)).astype(np.int32)
-                held.append((key, ids[i:][text], row_marks(data, at)[text], place, length.astype(np.int32)))
+                held.append((key, ids[i:][text], marks(data, at, none[i:j])[text], place, length.astype(np.int32)))
                 count += len(key)
                 if count >= FLUSH:
                     yield send(held)
@@ -113,26 +115,34 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool =
         if count:
             yield send(held)
 
-    def send(held: list[tuple]) -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        order = np.argsort(columns[0], kind="stable")
-        parts = list(scatter([c[order] for c in columns], buckets))
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([p[0] for p in parts], pa.int32()), "entries": pa.array([p[1] for p in parts], pa.binary())})
+    def marks(data: np.ndarray, at: np.ndarray, none: np.ndarray) -> np.ndarray:
+        return row_marks(data, at) ^ np.where(none, ~U(0), U(0))
 
-    def decide(part: pd.DataFrame) -> pd.DataFrame:
-        key, doc, mark, place, length = unpack_all(list(part["entries"]), ENTRY)
+    def send(held: list[tuple]) -> pa.RecordBatch:
+        first, cuts = apart([np.concatenate(x) for x in zip(*held, strict=True)])
+        rows = [(b, p, None) for b, p in scatter(first, buckets)] + [(b, None, p) for b, p in cuts]
+        kinds = (("bucket", pa.int32()), ("entries", pa.binary()), ("cuts", pa.binary()))
+        return pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
+
+    def apart(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple[int, bytes]]]:
+        """Of entries the first of each run, and the others as cuts by document bucket."""
+        key, doc, mark, place, length = columns
         order = np.lexsort((place, mark, doc, key))
         order = order[run_starts(*(c[order] for c in (key, doc, mark, place)))]
         again = np.ones(len(order), bool)
         again[run_starts(key[order])] = False
-        gone = order[again]
-        rows = list(by_document([doc[gone], mark[gone], place[gone], length[gone]], buckets)) if len(gone) else []
-        return frame(rows, ["bucket", "cuts"])
+        gone, stay = order[again], order[~again]
+        cuts = list(by_document([doc[gone], mark[gone], place[gone], length[gone]], buckets)) if len(gone) else []
+        return [c[stay] for c in columns], cuts
+
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
+        _, cuts = apart(unpack_all([x for x in part["entries"] if x is not None], ENTRY))
+        return frame(cuts + [(part["bucket"].iloc[0], x) for x in part["cuts"] if x is not None], ["bucket", "cuts"])
 
     def apply(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        ids = texts["doc_id"].astype("Int64").fillna(LAST).to_numpy(np.int64)
+        ids, none = texts["doc_id"].to_numpy(np.int64), texts["none"].to_numpy(bool)
         data, at = tx.buffers(pa.array(texts["text"], pa.string()))
-        mark, cuts = row_marks(data, at), {}
+        mark, cuts = marks(data, at, none), {}
         _, doc, own, place, length = unpack_all(list(part["cuts"]), CUT)
         for d, m, p, k in zip(doc.tolist(), own.tolist(), place.tolist(), length.tolist(), strict=True):
             cuts.setdefault((d, m), []).append((p, k))
@@ -145,15 +155,16 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool =
                 gone[p : p + k] = True
             bounds = np.append(begin, at[i + 1])
             kept = text if not gone.any() else b"".join(data[a:b].tobytes() for a, b, g in zip(bounds[:-1], bounds[1:], gone, strict=True) if not g).decode()
-            out.append((None if d == LAST else d, n, int(gone.sum()), kept))
-        return frame(out, ["doc_id", "n_sentences", "n_removed", "text"])
+            out.append((d, bool(none[i]), n, int(gone.sum()), kept))
+        return frame(out, ["doc_id", "none", "n_sentences", "n_removed", "text"])
 
-    cuts = docs.mapInArrow(gather, "bucket int, entries binary").groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary")
+    cuts = docs.mapInArrow(gather, "bucket int, entries binary, cuts binary").groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary")
     return (
-        docs.withColumn("bucket", F.pmod(F.coalesce("doc_id", F.lit(LAST)), F.lit(buckets)).cast("int"))
+        docs.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
         .groupBy("bucket")
         .cogroup(cuts.groupBy("bucket"))
-        .applyInPandas(apply, "doc_id long, n_sentences long, n_removed long, text string")
+        .applyInPandas(apply, "doc_id long, none boolean, n_sentences long, n_removed long, text string")
+        .select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_sentences", "n_removed", "text")
     )
 
 

@@ -106,3 +106,15 @@ def test_query_cuts_short_sentences_and_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_removed, r.text) for r in sentences.op4_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {0: (0, shout), 1: (30, ""), 2: (30, "Start. End."), 3: (0, tail), 4: (4, ""), 5: (0, line), 6: (1, ""), 7: (0, "Too short."), 8: (1, ""), 9: (0, "Other one.")}
+
+
+def test_the_largest_id_and_no_id(spark):
+    """Large ids beside null ones stay exact; rows without an id come after others."""
+    rows = corpus(4)[:40]
+    text = max((t for _, t in rows if t), key=len)
+    top = 2**63 - 1
+    docs = spark.createDataFrame([(top - 1, text), (top, text), (None, text + " Other words."), (None, None)], "doc_id long, text string")
+    got = dedup_sentences(docs, grow=True).collect()
+    assert {x.doc_id for x in got} == {top - 1, top, None}
+    by_id = {x.doc_id: x for x in got if x.text is not None}
+    assert by_id[top - 1].n_removed == 0 and by_id[top].n_removed == by_id[top].n_sentences > 0 and by_id[None].n_removed > 0

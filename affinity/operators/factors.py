@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as s
 from ..functions.text import clipped, dot, user_bucket
 from .content import rank_by
-from .kept import read_if_there
+from .kept import read_if_there, workers_find_package
 
 DAMPING = 5.0
 #: Rows of a block of items that is scored against users.
@@ -101,6 +101,7 @@ def best_in_blocks(left: DataFrame, items: DataFrame, seen: DataFrame, n: int, s
     ``seen``. A task takes BLOCK rows of both sides, scores them as matrices and keeps the
     best, so that pairs are never shuffled. Equal scores (at six places) go by item_id;
     scores that aren't numbers are left out."""
+    workers_find_package(left.sparkSession)
     blocks, chunks = (max(1, -(-df.count() // BLOCK)) for df in (items, left))
     block, chunk = (F.pmod(F.xxhash64(c), F.lit(k)).cast("int") for c, k in (("item_id", blocks), ("id", chunks)))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))

@@ -272,3 +272,12 @@ def test_entry_needs_no_session():
     hide = "import pathlib, glob, zipfile; pathlib.Path.glob = glob.glob = lambda *a, **k: iter(()); zipfile.ZipFile = None; "  # Spark's jars may lie anywhere
     code = hide + "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 80
+
+
+def test_workers_find_the_package(spark):
+    import os
+
+    kept.workers_find_package(spark)
+    kept.workers_find_package(spark)
+    paths = spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep)
+    assert sum(os.path.exists(f"{p}/affinity/operators/kept.py") for p in paths) >= 1 and len(paths) == len(set(paths))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, embedding_dedup, jaccard, langid, licences, sentences, shard, suffix_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, jaccard, langid, licences, runs, sentences, shard, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_license_scans": licences.op8_license_scans,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_periodic_runs": runs.op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,6 +27,7 @@ SQL = {
     "op7_embedding_near_dedup": embedding_dedup.SQL,
     "op8_license_scans": licences.SQL,
     "op9_suffix_array_dedup": suffix_dedup.SQL,
+    "op12_periodic_runs": runs.SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:

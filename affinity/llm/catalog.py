@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, embedding_dedup, jaccard, langid, licences, runs, sentences, shard, suffix_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, jaccard, langid, licences, phrases, runs, sentences, shard, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,6 +29,7 @@ SQL = {
     "op8_license_scans": licences.SQL,
     "op9_suffix_array_dedup": suffix_dedup.SQL,
     "op12_periodic_runs": runs.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:

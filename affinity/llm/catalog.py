@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, embedding_dedup, jaccard, langid, licences, phrases, runs, sentences, shard, suffix_dedup, toxicity
+from . import bpe, decontaminate, embedding_dedup, jaccard, langid, licences, phrases, quality, runs, sentences, shard, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_license_scans": licences.op8_license_scans,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_quality_classifier": quality.op11_quality_classifier,
     "op12_periodic_runs": runs.op12_periodic_runs,
     "op13_phrase_collocations": phrases.op13_phrase_collocations,
     "pipeline": corpus_pipeline.run,

@@ -7,7 +7,8 @@ occurrences of a phrase meet in one bucket and a bucket gets at most one entry o
 from each flush of a task. There pointers to the suffixes are sorted by multikey three-way
 quicksort: each round splits all open segments at a pivot of the word at their depth; an
 equal part is a phrase one word longer, its summed weight is the phrase's count, and a part
-that weighs less than the least count is abandoned. A bucket that gets more than ``HELD``
+that weighs less than the least count is abandoned. So are, before the sort, suffixes that
+weigh less with all that share a hash of their leading words. A bucket that gets more than ``HELD``
 entries merges equal ones, so that it holds distinct suffixes, however often they come.
 
 Words travel as places in a dictionary of their bytes, one for each flush and bucket, so
@@ -27,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ from .exchange import bucket_of, run_starts, squeeze, unsqueeze
 U = np.uint64
 LONGEST = 4
 #: Words of a flush; entries of a bucket before equal ones are merged.
-FLUSH, HELD = 1 << 21, 1 << 23
+FLUSH, HELD = 1 << 20, 1 << 21
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BREAKS = ENDS.copy()
@@ -58,7 +60,9 @@ class Flush:
         joined = np.zeros(len(start), bool)
         joined[:-1] = (doc[1:] == doc[:-1]) & (ends[start[1:]] == ends[end[:-1]])
         own = np.array([self.langs.setdefault("und" if x is None else x, len(self.langs)) for x in langs], np.int64)
-        some, first = np.unique(hashes, return_index=True)
+        code, some = pd.factorize(hashes)
+        first = np.zeros(len(some), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
         for h, s, e in zip(some.tolist(), start[first].tolist(), end[first].tolist(), strict=True):
             if h not in self.words:
                 self.words[h] = data[s:e].tobytes()
@@ -71,7 +75,7 @@ class Flush:
         """Lead, words (0 where a piece has ended) and count of the distinct suffixes,
         hash to route by, words and languages. The lead is 3 * language + kind: 0 for
         words, 1 for two words, 2 for three and more."""
-        known, word = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        word, known = pd.factorize(np.concatenate(self.hashes))
         joined, lang = np.concatenate(self.joined), np.concatenate(self.lang)
         n, word, base = len(word), word + 1, len(known) + 1
         after = np.where(joined, np.append(word[1:], 0), 0)
@@ -109,11 +113,15 @@ class Flush:
         order = np.argsort(bucket, kind="stable")
         entries, bucket = entries[order], bucket[order]
         cuts = np.append(run_starts(bucket), len(bucket))
+        place = np.zeros(len(texts), np.uint32)
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            used, place = np.unique(entries[i:j, 1:5], return_inverse=True)
-            own = np.column_stack([entries[i:j, 0], place.reshape(-1, 4) + (used[0] > 0), entries[i:j, 5]]).astype(np.uint32)
-            planes = np.ascontiguousarray(own).view(np.uint8).reshape(-1, 24).T
-            words = b" ".join([texts[w] for w in used[used > 0].tolist()])
+            own = entries[i:j].astype(np.uint32)
+            used = pd.unique(own[:, 1:5].ravel())
+            used = np.sort(used[used > 0])
+            place[used] = np.arange(1, len(used) + 1)
+            own[:, 1:5] = place[own[:, 1:5]]
+            planes = own.view(np.uint8).reshape(-1, 24).T
+            words = b" ".join([texts[w] for w in used.tolist()])
             yield int(bucket[i]), squeeze(planes.tobytes()), squeeze(words), json.dumps(names)
 
 
@@ -149,6 +157,14 @@ def merged(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(weight[order], first)
 
 
+def able(keys: np.ndarray, weight: np.ndarray, least: int) -> np.ndarray:
+    """Rows that can hold a phrase of ``least`` occurrences: those that weigh as much with
+    all rows that share the hash of what they were routed by, the first three words at most."""
+    low = tx.mix(tx.mix(keys[:, 0].astype(U)) * tx.BASE + keys[:, 1].astype(U))
+    low = tx.mix(low * tx.BASE + keys[:, 2].astype(U)) >> U(64 - max(8, len(keys).bit_length()))
+    return np.flatnonzero(np.bincount(low.astype(np.int64), weight)[low.astype(np.int64)] >= least)
+
+
 def quicksort(keys: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(pointer, depth, weight) of all prefixes of ``keys`` rows that weigh ``least`` or
     more, by multikey three-way quicksort of pointers to the rows. All open segments are
@@ -157,19 +173,18 @@ def quicksort(keys: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tupl
     size, depth = np.array([len(keys)]), np.array([0])
     while len(pointer):
         start = np.cumsum(size) - size
-        own = np.repeat(np.arange(len(size)), size)
-        key = keys[pointer, depth[own]]
+        key = keys[pointer, np.repeat(depth, size)]
         a, b, c = key[start], key[start + size // 2], key[start + size - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))  # the middle one
-        less, more = key < pivot[own], key > pivot[own]
+        middle = np.repeat(pivot, size)
+        less, more = key < middle, key > middle
         n_less, n_more = np.add.reduceat(less, start, dtype=np.int64), np.add.reduceat(more, start, dtype=np.int64)
         n_equal = size - n_less - n_more
-        place = np.empty(len(key), np.int64)
-        for part, begin in ((less, start), (more, start + n_less + n_equal), (~(less | more), start + n_less)):
-            rank = np.cumsum(part) - part
-            place[part] = (begin[own] + rank - rank[start][own])[part]
         moved = np.empty_like(pointer)
-        moved[place] = pointer
+        for part, n_part, begin in ((less, n_less, start), (~(less | more), n_equal, start + n_less), (more, n_more, start + n_less + n_equal)):
+            # Pointers of the part, in order of their segments, go behind where each segment's part begins.
+            before = np.cumsum(n_part) - n_part
+            moved[np.arange(n_part.sum()) + np.repeat(begin - before, n_part)] = pointer[part]
         size = np.stack([n_less, n_equal, n_more], axis=1).ravel()
         depth = np.stack([depth, depth + 1, depth], axis=1).ravel()
         upto = np.concatenate([[0], np.cumsum(weight[moved])])
@@ -217,6 +232,8 @@ def count(sent: DataFrame, buckets: int, least: int) -> DataFrame:
         single = lead % 3 == 0
         total = np.bincount(lead[single] // 3, weight[single], minlength=len(names)).astype(np.int64) if single.any() else np.zeros(len(names), np.int64)
         yield batch_of(names, [None] * len(names), [0] * len(names), total.tolist())
+        some = able(rows, weight, least)
+        rows, weight, lead = rows[some], weight[some], lead[some]
         for at, depth, heavy in quicksort(rows, weight, least):
             kind = lead[at] % 3
             good = (depth == kind + 1) | (kind == 2) & (depth == 4)

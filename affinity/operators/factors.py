@@ -1,4 +1,4 @@
-"""Biased matrix factorisation: splits, baselines, ALS on the residuals, predictions."""
+"""Biased matrix factorisation: splits, baselines, fits, predictions, early stopping."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas as s
 from ..functions.text import clipped, dot, user_bucket
+from . import sgd
 from .content import rank_by
-from .kept import read_if_there, workers_find_package
+from .kept import discard, read_if_there, workers_find_package
 
 DAMPING = 5.0
 #: Rows of a block of items that is scored against users.
@@ -43,8 +44,13 @@ def bias_baseline(ratings: DataFrame, damping: float = DAMPING) -> tuple[DataFra
     return mean, items, users
 
 
-def fit_factors(ratings: DataFrame, rank: int = 16, rounds: int = 8, reg: float = 0.1, seed: int = 42) -> dict[str, DataFrame]:
-    """Mean, and (user_id | item_id, features, bias), with ALS on what the biases leave."""
+def fit_factors(ratings: DataFrame, rank: int = 100, n_epochs: int = 20, **options) -> dict[str, DataFrame]:
+    """Mean, and (user_id | item_id, features, bias), by gradient descent (``sgd.Options``)."""
+    return sgd.model(sgd.epochs(sgd.start(ratings, sgd.Options(rank=rank, **options)), n_epochs))
+
+
+def fit_als(ratings: DataFrame, rank: int = 16, rounds: int = 8, reg: float = 0.1, seed: int = 42) -> dict[str, DataFrame]:
+    """The same by ALS on what the damped biases leave; ids must fit 32 bits."""
     mean, items, users = bias_baseline(ratings)
     left = F.col("rating") - F.col("mean") - F.col("item_bias") - F.col("user_bias")
     rest = ratings.crossJoin(F.broadcast(mean)).join(items, "item_id").join(users, "user_id").select("user_id", "item_id", left.cast("float").alias("rating"))  # one row
@@ -57,17 +63,25 @@ def fit_factors(ratings: DataFrame, rank: int = 16, rounds: int = 8, reg: float
     return {"mean": mean, "users": side(model.userFactors, users, "user_id", "user_bias"), "items": side(model.itemFactors, items, "item_id", "item_bias")}
 
 
-def fit_early_stop(train: DataFrame, valid: DataFrame, ladder: tuple[int, ...] = (1, 2, 4, 8, 12), patience: int = 3, **options) -> tuple[dict[str, DataFrame], list[float]]:
-    """The fit of the ladder with the least validation error; stops after ``patience`` worse."""
-    best, errors, worse = None, [], 0
-    for rounds in ladder:
-        model = fit_factors(train, rounds=rounds, **options)
-        errors.append(rmse_mae(predict(valid, model)).first()["rmse"])
-        if best is None or errors[-1] < min(errors[:-1]):
-            best, worse = model, 0
-        elif (worse := worse + 1) >= patience:
-            break
-    return best, errors
+def fit_early_stop(train: DataFrame, valid: DataFrame, n_epochs: int = 20, patience: int = 3, **options) -> tuple[dict[str, DataFrame], list[float]]:
+    """The model and the validation error after each epoch. Training goes on from the kept
+    factors of the epoch before; after ``patience`` epochs without a new least error it stops, and
+    the epoch with the least error counts, else the last one."""
+    training = sgd.start(train, sgd.Options(**options))
+    best, errors = training, []
+    for _ in range(n_epochs):
+        before, training = training, sgd.epochs(training)
+        errors.append(rmse_mae(predict(valid, sgd.model(training))).first()["rmse"])
+        least = errors.index(min(errors)) + 1
+        if least == len(errors):
+            if best is not before:
+                discard(best.state)
+            best = training
+        if before is not best:
+            discard(before.state)
+        if len(errors) - least >= patience:
+            return sgd.model(best), errors
+    return sgd.model(training), errors
 
 
 def rating_of(mean: str, user_bias: str, item_bias: str, p: str, q: str) -> Column:

@@ -47,6 +47,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame of ``keep`` that isn't read any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """With each row's place in the whole order, from 1: sorted by ranges, numbered inside
     them, and shifted by the sizes of the ranges before. ``order`` must leave no ties."""

@@ -19,9 +19,17 @@ def tagged_items(items: DataFrame, ratings: DataFrame, tags: DataFrame) -> DataF
     return scores.scored_items(items, ratings).join(best, F.col("id") == best["item_id"], "left").drop("item_id")
 
 
-def item_weights(items: DataFrame) -> DataFrame:
-    """TF-IDF weights of the items' feature texts."""
-    return content.tfidf(items.select(F.col("id").alias("item_id"), feature_text("user_tags").alias("text")))
+def item_weights(items: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """TF-IDF weights of the items' feature texts; ``plain`` are the same items without
+    their tags, which are counted faster."""
+    texts = items.select(F.col("id").alias("item_id"), feature_text("user_tags").alias("text"))
+    return content.tfidf(texts, (items if plain is None else plain).agg(F.count(F.lit(1)).alias("n")))
+
+
+def item_vectors(items: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """The same weights as one row for each item."""
+    texts = items.select(F.col("id").alias("item_id"), feature_text("user_tags").alias("text"))
+    return content.tfidf_vectors(texts, (items if plain is None else plain).agg(F.count(F.lit(1)).alias("n")))
 
 
 def seed(df: DataFrame, path: str) -> None:
@@ -55,8 +63,8 @@ def metrics_of(recs: DataFrame, train: DataFrame, test: DataFrame, items: DataFr
 
 def routed_lists(model: dict[str, DataFrame] | None, users: DataFrame, ratings: DataFrame, n: int) -> DataFrame:
     """(user_id, item_id, score, rank, kind, message): popular lists for cold users, and for
-    all where there is no model; for the others hybrid lists, or lists by prediction where
-    the model has no TF-IDF weights."""
+    all where there is no model; for the others hybrid lists, or lists by prediction (kind
+    ``prediction``) where the model has no TF-IDF weights."""
     pop = scores.popularity(ratings).withColumn("popularity_score", F.round("popularity_score", 6))
     popular = recommend.popularity_topn(users, pop, ratings, n)
     if model is None:
@@ -64,17 +72,17 @@ def routed_lists(model: dict[str, DataFrame] | None, users: DataFrame, ratings:
         return recommend.route(cold, popular.withColumn("score", F.col("popularity_score")).limit(0), popular)
     weights = model.get("weights")
     lists = factors.recommend_collab(model, ratings, n).withColumnRenamed("prediction", "score") if weights is None else recommend.recommend_hybrid(model, ratings, weights, n)
-    return recommend.route(recommend.cold_users(users, ratings, model["users"]), lists, popular)
+    return recommend.route(recommend.cold_users(users, ratings, model["users"]), lists, popular, "prediction" if weights is None else "hybrid")
 
 
-def train_and_evaluate(items: DataFrame, ratings: DataFrame, rank: int = 8, rounds: int = 4, weights: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+def train_and_evaluate(items: DataFrame, ratings: DataFrame, rank: int = 100, n_epochs: int = 20, weights: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Split, fit, measure on the held-out part, then fit on all ratings. Cold users get
     popular items, from which everything they rated is left out, held-out items too. With
     ``weights`` of the items' texts the others get hybrid lists with profiles of the
     training part, else lists by prediction."""
     split = factors.split_ratings(ratings)
     train, test = split.where("is_train").drop("is_train"), split.where("not is_train").drop("is_train")
-    model = factors.fit_factors(train, rank, rounds)
+    model = factors.fit_factors(train, rank, n_epochs)
     error = factors.rmse_mae(factors.predict(test, model))
     users = test.select("user_id").distinct()
     cold = recommend.cold_users(users, ratings, model["users"])
@@ -83,6 +91,6 @@ def train_and_evaluate(items: DataFrame, ratings: DataFrame, rank: int = 8, roun
         warm = factors.recommend_collab(model, evaluate.exclude_set(ratings, test), 10).withColumnRenamed("prediction", "score")
     else:  # what the training part has rated is the exclude set
         warm = recommend.recommend_hybrid(model, train, weights, 10)
-    recs = recommend.route(cold, warm, popular)
+    recs = recommend.route(cold, warm, popular, "prediction" if weights is None else "hybrid")
     metrics = metrics_of(recs, train, test, items).crossJoin(F.broadcast(error))  # one row
-    return factors.fit_factors(ratings, rank, rounds), metrics
+    return factors.fit_factors(ratings, rank, n_epochs), metrics

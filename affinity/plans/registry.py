@@ -49,7 +49,11 @@ def tagged(t: Tables) -> DataFrame:
 
 
 def weights(t: Tables) -> DataFrame:
-    return jobs.item_weights(tagged(t))
+    return jobs.item_weights(tagged(t), t.items())
+
+
+def vectors(t: Tables) -> DataFrame:
+    return jobs.item_vectors(tagged(t), t.items())
 
 
 def model(t: Tables) -> dict[str, DataFrame]:
@@ -508,17 +512,18 @@ def tfidf_weights(t):
 
 @query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.SIMILAR)
 def similar_items_content(t):
-    return content.titled(content.similar_items(weights(t), 10), t.items(), "other_id")
+    return content.titled(content.similar_items(vectors(t), 10), t.items(), "other_id")
 
 
 @query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.PROFILES + "SELECT user_id, count(*) AS terms, round(sum(p), 6) AS total FROM profiles GROUP BY user_id")
 def user_profile(t):
-    return content.user_profiles(t.ratings(), weights(t)).groupBy("user_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("p"), 6).alias("total"))
+    made = content.user_profiles(t.ratings(), vectors(t))
+    return made.select("user_id", F.size("terms").cast("bigint").alias("terms"), F.round(F.aggregate("ps", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.PROFILES + statements.CONTENT + "SELECT user_id, item_id, similarity, rank FROM content WHERE rank <= 10")
 def recommend_content(t):
-    return content.recommend_content(t.ratings(), weights(t), t.ratings(), 10)
+    return content.recommend_content(t.ratings(), vectors(t), t.ratings(), 10)
 
 
 @query(statements.LATENT)
@@ -544,15 +549,15 @@ def bias_baseline(t):
 
 @query()
 def fit_factors(t):
-    fitted = factors.fit_factors(t.ratings(), rank=8, rounds=4)
+    fitted = factors.fit_factors(t.ratings())
     return fitted["items"].select("item_id", F.size("features").alias("rank"), F.round("bias", 4).alias("bias"))
 
 
 @query()
 def fit_early_stop(t):
     train, test = split(t)
-    _, errors = factors.fit_early_stop(train, test, (1, 2, 3), 2, rank=4)
-    return test.agg(F.count(F.lit(1)).alias("rows")).select("rows", *[F.lit(e).alias(f"rmse_{i}") for i, e in enumerate(errors[:2])])
+    _, errors = factors.fit_early_stop(train, test)
+    return t.spark.createDataFrame([(k + 1, round(e, 4)) for k, e in enumerate(errors)], "epoch int, rmse double")
 
 
 @query(statements.PREDICT + "SELECT user_id, item_id, prediction FROM predicted")
@@ -567,17 +572,16 @@ def recommend_collab(t):
 
 @query(statements.HYBRID + "SELECT user_id, item_id, rating_prediction, content_similarity, score, rank FROM hybrid WHERE rank <= 10")
 def recommend_hybrid(t):
-    return recommend.recommend_hybrid(model(t), t.ratings(), keep(weights(t), "weights"), 10)
+    return recommend.recommend_hybrid(model(t), t.ratings(), vectors(t), 10)
 
 
 @query(
-    statements.POPULAR + statements.PREDICT_ALL + """, cold AS (SELECT user_id, count(*) < 5 AS is_cold FROM ratings GROUP BY user_id),
-predicted AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM open_items)
-SELECT user_id, item_id, prediction AS score, rank, 'hybrid' AS kind, NULL AS message FROM predicted JOIN cold USING (user_id) WHERE rank <= 10 AND NOT is_cold
+    statements.HYBRID + statements.POPULAR.replace("pop AS", "popular AS").replace("CROSS JOIN pop ", "CROSS JOIN popular ") + """, cold AS (SELECT user_id, count(*) < 5 AS is_cold FROM ratings GROUP BY user_id)
+SELECT user_id, item_id, score, rank, 'hybrid' AS kind, NULL AS message FROM hybrid JOIN cold USING (user_id) WHERE rank <= 10 AND NOT is_cold
 UNION ALL SELECT user_id, item_id, popularity_score, rank, 'popularity_cold_start', '""" + s.POPULAR_REASON.replace("'", "''") + """' FROM lists JOIN cold USING (user_id) WHERE rank <= 10 AND is_cold"""
 )
 def routed_lists(t):
-    return jobs.routed_lists(model(t), t.ratings().select("user_id").distinct(), t.ratings(), 10)
+    return jobs.routed_lists(model(t) | {"weights": vectors(t)}, t.ratings().select("user_id").distinct(), t.ratings(), 10)
 
 
 @query("SELECT user_id, count(*) < 5 AS is_cold FROM ratings GROUP BY user_id")
@@ -586,16 +590,16 @@ def cold_start_route(t):
     return recommend.cold_users(users, t.ratings(), t.user_factors())
 
 
-@query()
+@query(statements.HYBRID + statements.EXPLAIN)
 def explain(t):
-    w = keep(weights(t), "weights")
+    w = vectors(t)
     recs = recommend.recommend_hybrid(model(t), t.ratings(), w, 10)
     return recommend.explain(recs, t.ratings(), w, tagged(t))
 
 
 @query()
 def refit_full(t):
-    fitted = factors.fit_factors(t.ratings(), rank=8, rounds=3)
+    fitted = factors.fit_factors(t.ratings())
     return factors.rmse_mae(factors.predict(t.ratings(), fitted)).select(F.round("rmse", 2).alias("rmse"))
 
 
@@ -635,7 +639,7 @@ def eval_user_sample(t):
 
 @query()
 def evaluate_all(t):
-    _, metrics = jobs.train_and_evaluate(t.items(), keep(t.ratings(), "ratings"), weights=keep(weights(t), "weights"))
+    _, metrics = jobs.train_and_evaluate(t.items(), keep(t.ratings(), "ratings"), weights=vectors(t))
     return metrics
 
 

@@ -199,3 +199,36 @@ SELECT (SELECT max(id) FROM items) + row_number() OVER (ORDER BY popularity DESC
   round(popularity * coalesce(vote, 7.0) / 5, 2) AS trending_score, release_date, coalesce(vote, 7.0) AS vote_average, 'en' AS original_language
 FROM feed WHERE tmdb_id NOT IN (SELECT tmdb_id FROM items)
 """
+
+
+def _set(side: str, column: str, pattern: str) -> str:
+    return f"list_distinct(list_filter(list_transform(regexp_split_to_array(coalesce({side}.{column}, ''), '{pattern}'), lambda x: lower(trim(x))), lambda x: x <> ''))"
+
+
+def _overlap(column: str, pattern: str, name: str) -> str:
+    a, b = (_set(x, column, pattern) for x in "ab")
+    return f"CASE WHEN c.liked_id IS NULL THEN NULL WHEN len(list_distinct(list_concat({a}, {b}))) = 0 THEN 0 ELSE round(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))), 3) END AS {name}"
+
+
+_RATING_PART = f"{s.RATING_WEIGHT} * (rating_prediction - 0.5) / 4.5"
+_CONTENT_PART = f"{s.CONTENT_WEIGHT} * content_similarity"
+EXPLAIN = f"""
+, rated AS (SELECT *, max(rating) OVER (PARTITION BY user_id) AS top FROM ratings),
+likes AS (SELECT user_id, item_id AS liked_id FROM rated WHERE rating >= CASE WHEN top >= {s.LIKED} THEN {s.LIKED} ELSE {s.LIKED_FALLBACK} END),
+recs AS (SELECT * FROM hybrid WHERE rank <= 10),
+pairs AS (SELECT r.user_id, r.item_id, l.liked_id FROM recs r JOIN likes l ON l.user_id = r.user_id WHERE r.item_id <> l.liked_id),
+cosines AS (
+  SELECT p.item_id, p.liked_id, round(sum(x.w * y.w), 6) AS cosine FROM (SELECT DISTINCT item_id, liked_id FROM pairs) p
+  JOIN weights x ON x.item_id = p.item_id JOIN weights y ON y.item_id = p.liked_id AND y.term = x.term GROUP BY 1, 2
+), closest AS (
+  SELECT * FROM (SELECT p.*, cosine, row_number() OVER (PARTITION BY p.user_id, p.item_id ORDER BY cosine DESC, p.liked_id) AS n
+    FROM pairs p JOIN cosines k ON k.item_id = p.item_id AND k.liked_id = p.liked_id WHERE cosine > {s.EXPLAIN_FLOOR}) WHERE n = 1
+)
+SELECT r.user_id, r.item_id, c.liked_id AS because_id, b.title AS because_title, round(cosine, 3) AS similarity,
+  {_overlap("genres", "[|]", "genre_overlap")}, {_overlap("cast_list", ",", "cast_overlap")}, {_overlap("user_tags", "[ ]+", "tag_overlap")},
+  CASE WHEN c.liked_id IS NOT NULL THEN coalesce(lower(trim(a.director)) = lower(trim(b.director)), false) END AS same_director,
+  CASE WHEN {_RATING_PART} + {_CONTENT_PART} > 0 THEN round({_RATING_PART} / ({_RATING_PART} + {_CONTENT_PART}), 3) ELSE 0 END AS rating_weight,
+  CASE WHEN {_RATING_PART} + {_CONTENT_PART} > 0 THEN round({_CONTENT_PART} / ({_RATING_PART} + {_CONTENT_PART}), 3) ELSE 0 END AS content_weight
+FROM recs r LEFT JOIN closest c ON c.user_id = r.user_id AND c.item_id = r.item_id
+LEFT JOIN tagged a ON a.id = r.item_id LEFT JOIN tagged b ON b.id = c.liked_id
+"""

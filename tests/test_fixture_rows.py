@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from affinity import schemas
 from affinity.functions import text as fx
-from affinity.operators import catalog, content, evaluate, factors, interactions, kept, recommend, scores
+from affinity.operators import catalog, content, evaluate, factors, interactions, kept, recommend, scores, tiles
 from affinity.plans import jobs
 
 ITEMS = [
@@ -115,23 +115,72 @@ def test_content(items, ratings):
 
 
 @pytest.mark.parametrize("dense", [0.0, 0.01, 10.0])
-def test_best_by_terms_against_all_pairs(spark, monkeypatch, dense):
-    """Whether terms are dense or not, over several blocks."""
+def test_tiles_against_all_pairs(spark, monkeypatch, dense):
+    """Profiles, lists, hybrid lists and closest items, whether terms are dense or not, over
+    several chunks, blocks and stripes."""
     import random
 
-    for name, value in (("ROWS", 5), ("BLOCK", 9), ("DENSE", dense), ("PAIRS", 7)):
-        monkeypatch.setattr(content, name, value)
+    for name, value in (("USERS", 5), ("BLOCK", 9), ("ENTRIES", 60), ("STRIPE", 4), ("DENSE", dense), ("PAIRS", 7)):
+        monkeypatch.setattr(tiles, name, value)
     r = random.Random(4)
-    side = lambda n, k: {i: {t: r.choice([0.25, 0.5, 1.5]) for t in r.sample("abcdefghij", r.randint(1, k))} for i in range(n)}
-    left, right = side(12, 4), side(30, 6) | {99: {"z": 1.0}}
-    seen = {(i, j) for i in left for j in right if r.random() < 0.2}
-    flat = lambda x: [(i, t, w) for i, d in x.items() for t, w in d.items()]
-    made = content.best_by_terms(
-        spark.createDataFrame(flat(left), "id long, term string, w double"), spark.createDataFrame(flat(right), "item_id long, term string, w double"),
-        spark.createDataFrame([*seen, (1, 555)], "id long, item_id long"), 50, "x",
-    )
-    want = {(i, j): sum(w * b.get(t, 0) for t, w in a.items()) for i, a in left.items() for j, b in right.items() if (i, j) not in seen}
-    assert {(x.id, x.item_id): x.x for x in made.collect()} == pytest.approx({k: v for k, v in want.items() if v > 0})
+    items = {i: {t: r.choice([0.25, 0.5, 1.5]) for t in r.sample("abcdefghij", r.randint(1, 6))} for i in range(30)} | {99: {"z": 1.0}}
+    liked = {(u, i): r.choice([0.5, 2.0, 4.0]) for u in range(12) for i in r.sample(range(32), r.randint(1, 5))}
+    seen = {(u, i) for u in range(12) for i in items if r.random() < 0.2}
+    w = spark.createDataFrame([(i, t, x) for i, d in items.items() for t, x in d.items()], "item_id long, term string, w double")
+    ratings = spark.createDataFrame([(u, i, x) for (u, i), x in liked.items()], "user_id long, item_id long, rating double")
+    v = tiles.vectors(w)
+    profile = {}
+    for (u, i), x in liked.items():
+        for t, y in items.get(i, {}).items():
+            profile.setdefault(u, {}).setdefault(t, 0.0)
+            profile[u][t] += x * y
+    got = {x.user_id: sorted(x.ps) for x in tiles.profiles(ratings, v).collect()}
+    assert got.keys() == profile.keys() and all(got[u] == pytest.approx(sorted(p.values())) for u, p in profile.items())
+    unit = {u: {t: y / math.sqrt(sum(z * z for z in p.values())) for t, y in p.items()} for u, p in profile.items()}
+    want = {(u, i): round(sum(y * d.get(t, 0) for t, y in p.items()), 6) for u, p in unit.items() for i, d in items.items() if (u, i) not in seen}
+    dark = spark.createDataFrame([*seen, (1, 555), (777, 1)], "user_id long, item_id long")
+    assert {(x.user_id, x.item_id): x.similarity for x in tiles.scores(ratings, v, dark, 50).collect()} == pytest.approx({k: x for k, x in want.items() if x > 0})
+    near = {(x.item_id, x.other_id): x.similarity for x in tiles.similar(v, 50).collect()}
+    dots = {(i, j): round(sum(y * b.get(t, 0) for t, y in a.items()), 6) for i, a in items.items() for j, b in items.items() if i != j}
+    assert near == pytest.approx({k: x for k, x in dots.items() if x > 0})
+    shown = [(u, i) for u in range(14) for i in r.sample(sorted(items), 3)]
+    got = {(x.user_id, x.item_id): (x.liked_id, x.cosine) for x in tiles.closest(spark.createDataFrame(shown, "user_id long, item_id long"), ratings, v, 0.3).collect()}
+    best = {}
+    for u, i in shown:
+        k = [(-dots[i, j], j) for (x, j) in liked if x == u and j != i and j in items and dots[i, j] > 0.3]
+        if k:
+            best[u, i] = (min(k)[1], -min(k)[0])
+    assert got == best
+    # Hybrid lists: users and items that only the model or only the profiles know.
+    vector = lambda: [r.choice([-1.0, 0.0, 0.5]) for _ in range(3)]
+    users, known = {u: (vector(), 0.1) for u in range(2, 15)}, {i: (vector(), r.choice([0.0, 0.25])) for i in [*range(25), 99, 200]}
+    model = {
+        "mean": spark.createDataFrame([(2.5,)], "mean double"),
+        "users": spark.createDataFrame([(u, p, a) for u, (p, a) in users.items()], "user_id long, features array<double>, bias double"),
+        "items": spark.createDataFrame([(i, q, b) for i, (q, b) in known.items()], "item_id long, features array<double>, bias double"),
+    }
+    monkeypatch.setattr(recommend.s, "CONTENT_POOL", 6)
+    lists = {}
+    rated = {(u, i) for u, i in liked}
+    base = content.profile_ratings(ratings).collect()
+    own = {}
+    for x in base:
+        for t, y in items.get(x.item_id, {}).items():
+            own.setdefault(x.user_id, {}).setdefault(t, 0.0)
+            own[x.user_id][t] += x.rating * y
+    for u, (p, a) in users.items():
+        size = math.sqrt(sum(z * z for z in own.get(u, {}).values())) or 1
+        near = {i: round(sum(y / size * items[i].get(t, 0) for t, y in own.get(u, {}).items()), 6) for i in items if (u, i) not in rated}
+        pool = {i for _, i in sorted((-x, i) for i, x in near.items() if x > 0)[:6]}
+        scored = []
+        for i, (q, b) in known.items():
+            if (u, i) in rated:
+                continue
+            guess = round(min(5.0, max(0.5, 2.5 + a + b + sum(x * y for x, y in zip(p, q)))), 6)
+            scored.append((-round(0.7 * (guess - 0.5) / 4.5 + 0.3 * (near[i] if i in pool else 0), 8), i))
+        lists |= {(u, k + 1): i for k, (_, i) in enumerate(sorted(scored)[:4])}
+    got = {(x.user_id, x["rank"]): x.item_id for x in recommend.recommend_hybrid(model, ratings, w, 4).collect()}
+    assert got == lists
 
 
 def test_popularity_lists(spark, items, ratings):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinity import schemas as s
-from affinity.operators import content, factors
+from affinity.operators import content, factors, sgd
 from affinity.plans import jobs
 from affinity.sources import files
 from affinity.sources.tables import Tables
@@ -77,16 +77,45 @@ def test_model_beats_the_mean_and_is_kept(spark, tmp_path):
     split = factors.split_ratings(spark.createDataFrame(rows, "user_id long, item_id long, rating double"))
     train, test = split.where("is_train").drop("is_train"), split.where("not is_train").drop("is_train")
     assert 0.7 < train.count() / len(rows) < 0.9
-    model = factors.fit_factors(train, rank=3, rounds=8, reg=0.05)
+    model = factors.fit_factors(train, rank=8, n_epochs=60, rate=0.05, decay=0.98, reg=0.02)
     error = factors.rmse_mae(factors.predict(test, model)).first().rmse
     spread = test.agg(F.stddev("rating")).first()[0]
-    assert error < 0.6 * spread
+    assert error < 0.5 * spread
+    als = factors.fit_als(train, rank=3, rounds=8, reg=0.05)
+    assert error < 1.05 * factors.rmse_mae(factors.predict(test, als)).first().rmse
     assert factors.load_model(spark, str(tmp_path / "m")) is None
     factors.save_model(model, str(tmp_path / "m"))
     again = factors.load_model(spark, str(tmp_path / "m"))
     assert factors.rmse_mae(factors.predict(test, again)).first().rmse == pytest.approx(error)
-    best, errors = factors.fit_early_stop(train, test, (1, 4), rank=3)
-    assert best is not None and len(errors) == 2
+
+
+def test_blocks_large_ids_and_epochs_counted_once(spark, monkeypatch):
+    """Over several blocks, with ids above 2^31, gradient descent beats the mean; an epoch is never
+    computed twice, and a stop restores the best one."""
+    r = random.Random(5)
+    u, v = ([[r.gauss(0, 1) for _ in range(2)] for _ in range(n)] for n in (50, 40))
+    big = 3_000_000_000
+    rows = [(big + i * big, j * big, 3 + 0.6 * sum(a * b for a, b in zip(u[i], v[j]))) for i in range(50) for j in range(40) if r.random() < 0.6] + [(None, 1, 3.0), (1, 1, None)]
+    split = factors.split_ratings(spark.createDataFrame(rows, "user_id long, item_id long, rating double"))
+    train, test = split.where("is_train").drop("is_train").cache(), split.where("not is_train").drop("is_train").where("user_id is not null").cache()
+    options = dict(rank=4, rate=0.06, decay=1.0, reg=0.02)
+    monkeypatch.setattr(sgd, "SIDE", 20)
+    training = sgd.start(train, sgd.Options(**options))
+    assert training.blocks == 3
+    model = sgd.model(sgd.epochs(sgd.epochs(training, 2), 1))
+    twice = sgd.model(sgd.epochs(training, 3))
+    rows_of = lambda m: sorted((x.item_id, x.bias, tuple(x.features)) for x in m["items"].collect())
+    assert rows_of(model) == rows_of(twice) and len(rows_of(model)) == 40
+    monkeypatch.setattr(sgd, "SIDE", 500)
+    seen, real, errors = [], sgd.epochs, iter([0.9, 0.5, 0.7, 0.8, 0.6, 0.1])
+    monkeypatch.setattr(sgd, "epochs", lambda t, n=1: seen.extend(range(t.epoch, t.epoch + n)) or real(t, n))
+    measured = factors.rmse_mae
+    monkeypatch.setattr(factors, "rmse_mae", lambda _: spark.createDataFrame([(next(errors),)], "rmse double"))
+    best, found = factors.fit_early_stop(train, test, n_epochs=6, patience=3, **options)
+    assert found == [0.9, 0.5, 0.7, 0.8, 0.6] and seen == [0, 1, 2, 3, 4]
+    assert rows_of(best) == rows_of(sgd.model(real(sgd.start(train, sgd.Options(**options)), 2)))
+    long = factors.fit_factors(train, n_epochs=120, **options)
+    assert measured(factors.predict(test, long)).first().rmse < 0.6 * test.agg(F.stddev("rating")).first()[0]
 
 
 def test_seed_once(spark, tmp_path):

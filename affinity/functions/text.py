@@ -94,6 +94,18 @@ def dominant_signal(rating_weight: C, content_weight: C) -> Column:
     return F.when(col(rating_weight) > col(content_weight), "collaborative").otherwise("content")
 
 
+def exact_sum(a: C) -> Column:
+    """Sum of an array, with what each addition has lost added back."""
+
+    def add(acc: Column, x: Column) -> Column:
+        y = x - acc["lost"]
+        total = acc["total"] + y
+        return F.struct(total.alias("total"), ((total - acc["total"]) - y).alias("lost"))
+
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("lost"))
+    return F.aggregate(col(a), zero, add)["total"]
+
+
 def dot(a: C, b: C) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as s
 from .catalog import user_rows
+from .kept import keep, read_if_there
 
 KEY = ["user_id", "item_id"]
 
@@ -76,6 +79,47 @@ def read_recs(kept: DataFrame, limit: int, now: str, ttl: int = s.TTL_SECONDS) -
     return kept.where((F.col("rank") <= limit) & (age < ttl))
 
 
+def store_recs(recs: DataFrame, path: str, limit: int, generated_at: str, buckets: int) -> None:
+    """Keep lists in buckets of users. Buckets that ``recs`` has are replaced, others stay,
+    so ``recs`` must hold all lists of its buckets."""
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+    rows = kept_recs(recs, limit, generated_at).withColumns({"buckets": F.lit(buckets), "bucket": bucket})
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path)
+
+
+def stored_recs(spark: SparkSession, path: str, users: list[int] | None = None) -> DataFrame | None:
+    """The kept lists, or None where there are none; for given users only their buckets."""
+    kept = read_if_there(spark, path)
+    if kept is None or users is None:
+        return kept
+    bucket = F.pmod(F.xxhash64("user_id"), F.col("buckets")).cast("int")
+    count = kept.select("buckets").first().buckets
+    asked = spark.createDataFrame([(u,) for u in users], "user_id long").withColumn("buckets", F.lit(count)).select(bucket.alias("b")).distinct()
+    return kept.where(F.col("bucket").isin([r.b for r in asked.collect()]) & F.col("user_id").isin(users))
+
+
+def expired_users(users: DataFrame, path: str, now: str, buckets: int, ttl: int = s.TTL_SECONDS) -> DataFrame:
+    """Those of ``users`` whose bucket has expired at ``now`` or isn't there."""
+    spark = users.sparkSession
+    kept = read_if_there(spark, path)
+    dealt = users.select("user_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+    if kept is None:
+        return dealt.select("user_id")
+    age = F.lit(now).cast("timestamp").cast("double") - F.min("generated_at").cast("double")
+    fresh = kept.where(F.col("buckets") == buckets).groupBy("bucket").agg((age < ttl).alias("fresh")).where("fresh")
+    return dealt.join(fresh, "bucket", "left_anti").select("user_id")
+
+
+def refresh_recs(users: DataFrame, lists_of: Callable[[DataFrame], DataFrame], path: str, limit: int, now: str, buckets: int, ttl: int = s.TTL_SECONDS) -> DataFrame:
+    """Make lists (``lists_of`` users) anew for the buckets of ``users`` that have expired,
+    keep them, and give back whose they are. ``users`` are all users. Buckets
+    whose users get no list are tried again each time."""
+    stale = keep(expired_users(users, path, now, buckets, ttl), "stale")
+    if not stale.isEmpty():
+        store_recs(lists_of(stale), path, limit, now, buckets)
+    return stale
+
+
 def rating_insights(ratings: DataFrame) -> DataFrame:
     recent = user_rows(ratings, "ts", size=s.HISTORY_ROWS)
     return recent.groupBy("user_id").agg(

@@ -61,10 +61,10 @@ def model(t: Tables) -> dict[str, DataFrame]:
     return {"mean": t.ratings().agg(F.avg("rating").alias("mean")), "users": t.user_factors(), "items": t.item_factors()}
 
 
-def popular_lists(t: Tables, n: int) -> DataFrame:
+def popular_lists(t: Tables, n: int, users: DataFrame | None = None) -> DataFrame:
     ratings = t.ratings()
     pop = scores.popularity(ratings).withColumn("popularity_score", F.round("popularity_score", 6))
-    return recommend.popularity_topn(ratings.select("user_id").distinct(), pop, ratings, n)
+    return recommend.popularity_topn(ratings.select("user_id").distinct() if users is None else users, pop, ratings, n)
 
 
 def watchlist(t: Tables, floor: float) -> DataFrame:
@@ -203,9 +203,14 @@ def append_rec_history(t):
 
 @query(statements.POPULAR + "SELECT user_id, item_id, popularity_score, rank FROM lists WHERE rank <= 5")
 def materialize_recs(t):
-    path = work_path(t.spark, "recs")
-    interactions.kept_recs(popular_lists(t, 10), 5, "2001-11-05 00:00:00").write.parquet(path)
-    return interactions.read_recs(t.spark.read.parquet(path), 5, "2001-11-05 00:30:00").select("user_id", "item_id", "popularity_score", "rank")
+    # Lists of an hour ago in all buckets, of now in every other one; the rest is made anew.
+    path, users, buckets = work_path(t.spark, "recs"), t.ratings().select("user_id").distinct(), 8
+    lists = keep(popular_lists(t, 10), "lists")
+    interactions.store_recs(lists, path, 5, "2001-11-04 23:00:00", buckets)
+    interactions.store_recs(lists.where(F.pmod(F.xxhash64("user_id"), F.lit(buckets)) % 2 == 0), path, 5, "2001-11-05 00:00:00", buckets)
+    interactions.refresh_recs(users, lambda stale: popular_lists(t, 10, stale), path, 5, "2001-11-05 00:30:00", buckets)
+    kept = interactions.stored_recs(t.spark, path)
+    return interactions.read_recs(kept, 5, "2001-11-05 00:30:00").select("user_id", "item_id", "popularity_score", "rank")
 
 
 @query("SELECT item_id, round(bias, 6) AS bias, len(features) AS rank FROM item_factors")
@@ -518,7 +523,7 @@ def similar_items_content(t):
 @query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.PROFILES + "SELECT user_id, count(*) AS terms, round(sum(p), 6) AS total FROM profiles GROUP BY user_id")
 def user_profile(t):
     made = content.user_profiles(t.ratings(), vectors(t))
-    return made.select("user_id", F.size("terms").cast("bigint").alias("terms"), F.round(F.aggregate("ps", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return made.select("user_id", F.size("terms").cast("bigint").alias("terms"), F.round(fx.exact_sum("ps"), 6).alias("total"))
 
 
 @query(statements.TAGGED + statements.TERMS + statements.WEIGHTS + statements.PROFILES + statements.CONTENT + "SELECT user_id, item_id, similarity, rank FROM content WHERE rank <= 10")

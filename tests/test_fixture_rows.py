@@ -1,6 +1,7 @@
 """The five-item fixture and hand-computed values."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,31 @@ def test_kept_lists(spark):
     assert interactions.rec_history(recs, "x", "2020-01-01 00:00:00").first().item_ids == list(range(1, 31))
 
 
+def test_expired_lists_are_made_anew(spark, tmp_path):
+    """Only buckets that have expired or are missing are computed and replaced; reads prune."""
+    path, users = str(tmp_path / "recs"), spark.range(40).withColumnRenamed("id", "user_id")
+    lists = lambda u, item: u.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("rank")).withColumn("item_id", F.col("rank") + item)
+    refresh = lambda item, now: {r.user_id for r in interactions.refresh_recs(users, lambda u: lists(u, item), path, 2, now, 5).collect()}
+    assert interactions.stored_recs(spark, path) is None
+    assert refresh(0, "2020-01-01 00:00:00") == set(range(40))
+    assert refresh(10, "2020-01-01 00:59:59") == set()
+    bucket = {r.user_id: r.bucket for r in interactions.stored_recs(spark, path).collect()}
+    some = {u for u, b in bucket.items() if b < 2}
+    interactions.store_recs(lists(users.where(F.col("user_id").isin(sorted(some))), 20), path, 2, "2020-01-01 00:30:00", 5)
+    assert refresh(30, "2020-01-01 01:00:00") == set(range(40)) - some
+    kept = interactions.read_recs(interactions.stored_recs(spark, path), 2, "2020-01-01 01:00:00")
+    assert {(r.user_id, r.item_id) for r in kept.collect()} == {(u, (20 if u in some else 30) + k) for u in range(40) for k in (1, 2)}
+    one = interactions.stored_recs(spark, path, [7])
+    assert {r.user_id for r in one.collect()} == {7}
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", one._jdf.queryExecution().toString())
+
+
+def test_exact_sum(spark):
+    values = [1e16, 1.0, -1e16] + [0.1] * 10
+    assert spark.createDataFrame([(values,)], "x array<double>").select(fx.exact_sum("x").alias("s")).first().s == pytest.approx(2.0, abs=1.01)
+    assert spark.createDataFrame([([0.1] * 1000,)], "x array<double>").select(fx.exact_sum("x").alias("s")).first().s == math.fsum([0.1] * 1000)
+
+
 def test_content(items, ratings):
     docs = items.select(F.col("id").alias("item_id"), fx.feature_text("user_tags").alias("text"))
     assert docs.where("item_id = 3").first().text == "Comedy Romance Comedy Romance Comedy Romance grumpier old men decade_1990s"

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,13 +63,36 @@ def test_stream_is_idempotent(spark, tmp_path):
         stream.upsert_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), items, ["ts"])
     got = {(r.user_id, r.item_id): r.rating for r in stream.latest(spark, str(tmp_path / "out")).collect()}
     assert got == {(1, 1): 5.0, (1, 2): 4.0, (2, 1): 1.0}
-    written = [set() for _ in range(3)]
-    for x in spark.read.parquet(str(tmp_path / "out")).select("v", "bucket", "user_id").collect():
-        written[x.v].add((x.bucket, x.user_id))
-    assert {u for _, u in written[1]} == {1} and 2 in {u for _, u in written[2]}
+    written = [{r.user_id for r in spark.read.parquet(str(tmp_path / "out" / f"delta-{k}")).collect()} for k in range(2)]
+    assert sorted(map(sorted, written)) == [[1], [1, 2]]  # a batch writes its own changes only
     assert stream.latest(spark, str(tmp_path / "none")) is None
 
 
+def test_snapshot_is_merged_and_cleared(spark, tmp_path, monkeypatch):
+    """Deltas are merged into a base with more buckets as rows grow, files that are replaced
+    go, a batch that is run again changes nothing, and a read for users prunes buckets."""
+    monkeypatch.setattr(stream, "DELTAS", 2)
+    monkeypatch.setattr(stream, "ROWS", 10)
+    out, want = str(tmp_path / "out"), {}
+    items = spark.range(5).withColumnRenamed("id", "id")
+    for number in range(7):
+        rows = [(u, i, float((u * 7 + i * number) % 5), number * 10 + i) for u in range(number * 2, number * 2 + 9) for i in (0, 3, 9)]
+        want |= {(u, i): r for u, i, r, _ in rows if i < 5}
+        batch = spark.createDataFrame(rows, "user_id long, item_id long, rating double, ts long")
+        for _ in range(2):
+            stream.apply_batch(batch, number, out, items, ["ts"])
+        assert {(r.user_id, r.item_id): r.rating for r in stream.latest(spark, out).collect()} == want
+    held = stream.manifest(spark, out)
+    assert (held["batch"], held["base"], held["buckets"], held["deltas"]) == (6, "base-5", -(-2 * 19 // 10), ["delta-6"])
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if not x.name.startswith(".")) == ["base-5", "delta-6", "manifests"]
+    few = stream.latest(spark, out, [3, 14])
+    assert {(r.user_id, r.item_id) for r in few.collect()} == {k for k in want if k[0] in (3, 14)}
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", few._jdf.queryExecution().toString())
+    # A delta whose manifest was never written isn't read.
+    spark.createDataFrame([(1, 1, 9.0, 999)], "user_id long, item_id long, rating double, ts long").write.parquet(f"{out}/delta-7")
+    assert stream.latest(spark, out).where("rating = 9").count() == 0
+
+
 def test_model_beats_the_mean_and_is_kept(spark, tmp_path):
     r = random.Random(3)
     u = [[r.gauss(0, 1) for _ in range(3)] for _ in range(60)]

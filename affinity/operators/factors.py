@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.recommendation import ALS
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as s
 from ..functions.text import clipped, dot, user_bucket
-from . import sgd
+from . import balls, sgd, tiles
 from .content import rank_by
 from .kept import discard, read_if_there, workers_find_package
 
@@ -109,12 +107,13 @@ def candidates(users: DataFrame, items: DataFrame) -> DataFrame:
     return users.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "block").drop("block")
 
 
-def best_in_blocks(left: DataFrame, items: DataFrame, seen: DataFrame, n: int, score: Callable[..., np.ndarray], name: str) -> DataFrame:
+def best_in_blocks(left: DataFrame, items: DataFrame, seen: DataFrame, n: int, mean: float, clip: tuple[float, float], name: str, unit: bool = False) -> DataFrame:
     """(id, item_id, score): for each row of ``left`` (id, features, bias) the n best of
-    each block of ``items`` (item_id, features, bias), without the pairs (id, item_id) in
-    ``seen``. A task takes BLOCK rows of both sides, scores them as matrices and keeps the
-    best, so that pairs are never shuffled. Equal scores (at six places) go by item_id;
-    scores that aren't numbers are left out."""
+    each block of ``items`` (item_id, features, bias) by mean + biases + inner product (of
+    unit vectors if ``unit``), clipped, without the pairs (id, item_id) in ``seen``. A task
+    takes BLOCK rows of both sides, in which ``balls`` skips what can't be among the best, so
+    that pairs are never shuffled. Equal scores (at six places) go by item_id; scores
+    that aren't numbers are left out."""
     workers_find_package(left.sparkSession)
     blocks, chunks = (max(1, -(-df.count() // BLOCK)) for df in (items, left))
     block, chunk = (F.pmod(F.xxhash64(c), F.lit(k)).cast("int") for c, k in (("item_id", blocks), ("id", chunks)))
@@ -127,23 +126,22 @@ def best_in_blocks(left: DataFrame, items: DataFrame, seen: DataFrame, n: int, s
         if not len(own) or not len(other):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "item_id": pd.Series(dtype="int64"), name: pd.Series(dtype="float64")})
         other = other.sort_values("item_id")
-        ids, out = other["item_id"].to_numpy(np.int64), []
+        ids, who, out = other["item_id"].to_numpy(np.int64), own["id"].to_numpy(np.int64), []
         width = max((len(x) for part in (own["p"], other["q"]) for x in part if x is not None), default=0)
         stack = lambda part: np.stack([np.zeros(width) if x is None else np.asarray(x, np.float64) for x in part])
-        q, b = stack(other["q"]), other["b"].to_numpy(np.float64)
-        for i in range(0, len(own), 256):
-            part = own.iloc[i : i + 256]
-            value = score(stack(part["p"]), part["a"].to_numpy(np.float64), q, b)
-            value = np.where(np.isnan(value), -np.inf, np.round(value, 6))
-            for row, seen_here in enumerate(part["seen"]):
-                if seen_here is not None:
-                    at = np.searchsorted(ids, seen_here)
-                    at = at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == seen_here)]
-                    value[row, at] = -np.inf
-            order = np.argsort(-value, axis=1, kind="stable")[:, :n]  # equal ones by item_id
-            top = np.take_along_axis(value, order, 1)
-            row, col = np.nonzero(top > -np.inf)
-            out.append(pd.DataFrame({"id": part["id"].to_numpy(np.int64)[row], "item_id": ids[order[row, col]], name: top[row, col]}))
+        p, q, base, bias = stack(own["p"]), stack(other["q"]), mean + own["a"].to_numpy(np.float64), other["b"].to_numpy(np.float64)
+        if unit:
+            p, q = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9) for x in (p, q))
+        shown = balls.Balls(q, bias)
+        for i in range(0, len(own), 1024):
+            gone = [(k, x) for k, x in enumerate(own["seen"].iloc[i : i + 1024]) if x is not None]
+            row = np.repeat([k for k, _ in gone], [len(x) for _, x in gone]).astype(np.int64)
+            item = np.concatenate([x for _, x in gone]) if gone else np.zeros(0, np.int64)
+            at = np.minimum(np.searchsorted(ids, item), len(ids) - 1)
+            there = ids[at] == item
+            value = shown.scores(p[i : i + 1024], base[i : i + 1024], clip, (row[there], at[there]), n)
+            r, c = tiles.best(value, ids, n, -np.inf)
+            out.append(pd.DataFrame({"id": who[i + r], "item_id": ids[c], name: value[r, c]}))
         return pd.concat(out)
 
     keys = ["block", "chunk"]
@@ -153,13 +151,9 @@ def best_in_blocks(left: DataFrame, items: DataFrame, seen: DataFrame, n: int, s
 def recommend_collab(model: dict[str, DataFrame], watched: DataFrame, n: int) -> DataFrame:
     """(user_id, item_id, prediction, rank): the n best unrated items of the factor table."""
     mean = model["mean"].first()[0]
-
-    def score(p: np.ndarray, user_bias: np.ndarray, q: np.ndarray, item_bias: np.ndarray) -> np.ndarray:
-        return np.clip(mean + user_bias[:, None] + item_bias + p @ q.T, s.RATING_LOW, s.RATING_HIGH)
-
     users = model["users"].select(F.col("user_id").alias("id"), "features", "bias")
     seen = watched.select(F.col("user_id").alias("id"), "item_id")
-    best = best_in_blocks(users, model["items"], seen, n, score, "prediction").withColumnRenamed("id", "user_id")
+    best = best_in_blocks(users, model["items"], seen, n, mean, (s.RATING_LOW, s.RATING_HIGH), "prediction").withColumnRenamed("id", "user_id")
     return top_n(best, "prediction", n)
 
 
@@ -170,13 +164,9 @@ def top_n(scores: DataFrame, score: str, n: int, key: str = "user_id") -> DataFr
 def similar_items_latent(factors: DataFrame, n: int) -> DataFrame:
     """(item_id, other_id, similarity, rank) by cosine of the factors, above 0."""
 
-    def cosine(p: np.ndarray, _: np.ndarray, q: np.ndarray, __: np.ndarray) -> np.ndarray:
-        size = lambda x: np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)
-        return p @ q.T / (size(p)[:, None] * size(q))
-
     items = factors.select("item_id", "features", F.lit(0.0).alias("bias"))
     itself = factors.select(F.col("item_id").alias("id"), "item_id")
-    best = best_in_blocks(items.withColumnRenamed("item_id", "id"), items, itself, n, cosine, "similarity").where("similarity > 0")
+    best = best_in_blocks(items.withColumnRenamed("item_id", "id"), items, itself, n, 0.0, (-2.0, 2.0), "similarity", unit=True).where("similarity > 0")
     return top_n(best, "similarity", n, "id").select(F.col("id").alias("item_id"), F.col("item_id").alias("other_id"), "similarity", "rank")
 
 

@@ -27,6 +27,38 @@ def trending(ratings: DataFrame) -> DataFrame:
     )
 
 
+def decayed_sums(ratings: DataFrame, sign: int = 1) -> DataFrame:
+    """(item_id, n, total, w, rw, at): what both scores need of a batch of ratings, with
+    weights that halve every year before ``at``, the item's newest rating (in seconds).
+    ``sign`` -1 takes ratings that were replaced out again."""
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
+    one = F.lit(float(sign))
+    return _summed(ratings.select("item_id", F.lit(sign).cast("long").alias("n"), (one * F.col("rating")).alias("total"), one.alias("w"), (one * F.col("rating")).alias("rw"), seconds.alias("at")))
+
+
+def merged_sums(sums: DataFrame, batch: DataFrame) -> DataFrame:
+    """Sums of both; work follows items, not their history."""
+    return _summed(sums.unionByName(batch))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    newest = F.max("at").over(Window.partitionBy("item_id"))
+    aged = F.pow(F.lit(2.0), -(F.col("newest") - F.col("at")) / s.HALF_LIFE_SECONDS)
+    sums = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.col("w") * aged).alias("w"), F.sum(F.col("rw") * aged).alias("rw"), F.max("at").alias("at")]
+    return parts.withColumn("newest", newest).groupBy("item_id").agg(*sums)
+
+
+def scores_of(sums: DataFrame) -> DataFrame:
+    """(item_id, popularity_score, trending_score) as ``popularity`` and ``trending`` of all
+    ratings in the sums, of items that have any left."""
+    rated = sums.where("n > 0")
+    newest = rated.agg(F.max("at").alias("newest"))
+    weight = F.col("w") * F.pow(F.lit(2.0), -(F.col("newest") - F.col("at")) / s.HALF_LIFE_SECONDS)
+    return rated.crossJoin(F.broadcast(newest)).select(  # one row
+        "item_id", (F.col("total") / F.col("n") * F.log1p("n")).alias("popularity_score"), (F.col("rw") / F.col("w") * F.log1p(weight)).alias("trending_score")
+    )
+
+
 def scored_items(items: DataFrame, ratings: DataFrame) -> DataFrame:
     """Items with both scores, 0 where unrated."""
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)

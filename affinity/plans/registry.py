@@ -98,6 +98,27 @@ def scan_csv(t):
     return read.select(F.col("userId").alias("user_id"), F.col("movieId").alias("item_id"), "rating", F.col("timestamp").alias("ts"))
 
 
+@query("""SELECT line, reason, count(*) AS lines FROM (
+  SELECT CASE k WHEN 0 THEN concat(user_id, ',', item_id) WHEN 1 THEN concat(user_id, ',', item_id, ',', 'four', ',', s) WHEN 2 THEN concat(user_id, ',"', item_id, ',', rating, ',', s)
+      WHEN 3 THEN concat(user_id, ',,', rating, ',', s) ELSE concat(user_id, ',', item_id, ',', rating + 5, ',', s) END AS line,
+    CASE WHEN k < 3 THEN 'malformed' WHEN k = 3 THEN 'missing' ELSE 'unsound' END AS reason
+  FROM (SELECT *, (user_id * 31 + item_id) % 40 AS k, CAST(epoch(ts) AS BIGINT) AS s FROM ratings) WHERE k < 4 OR k = 4)
+GROUP BY line, reason UNION ALL SELECT 'good', NULL, count(*) FROM ratings WHERE (user_id * 31 + item_id) % 40 > 4""")
+def quarantine_csv(t):
+    """Lines of which some are cut or hold what no rating may, and the count of good ones."""
+    path, k = work_path(t.spark, "lines"), (F.col("user_id") * 31 + F.col("item_id")) % 40
+    user, item, rating, at = F.col("user_id").cast("string"), F.col("item_id").cast("string"), F.col("rating"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
+    line = lambda *parts: F.concat_ws(",", *parts)
+    broken = (
+        F.when(k == 0, line(user, item)).when(k == 1, line(user, item, F.lit("four"), at)).when(k == 2, line(user, F.concat(F.lit('"'), item), rating.cast("string"), at))
+        .when(k == 3, line(user, F.lit(""), rating.cast("string"), at)).when(k == 4, line(user, item, (rating + 5).cast("string"), at)).otherwise(line(user, item, rating.cast("string"), at))
+    )
+    t.ratings().select(broken.alias("line")).write.text(path)
+    good, rejected = files.scan_csv_checked(t.spark, path, s.RATINGS_CSV, ["userId", "movieId", "rating"], F.col("rating").between(s.RATING_LOW, s.RATING_HIGH), header=False)
+    counted = good.agg(F.lit("good").alias("line"), F.lit(None).cast("string").alias("reason"), F.count(F.lit(1)).alias("lines"))
+    return rejected.groupBy("line", "reason").agg(F.count(F.lit(1)).alias("lines")).unionByName(counted)
+
+
 @query("SELECT user_id, item_id, rating, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ratings")
 def scan_table(t):
     return t.ratings().select("user_id", "item_id", "rating", text_time())
@@ -423,6 +444,17 @@ def trending_score(t):
     return scores.trending(t.ratings()).select("item_id", F.round("trending_score", 6).alias("trending_score"))
 
 
+@query(statements.SCORED + "SELECT id AS item_id, popularity_score, trending_score FROM scored WHERE id IN (SELECT item_id FROM ratings)")
+def scores_from_batches(t):
+    """Both scores from sums of one batch for each year, merged one after another."""
+    years = keep(t.ratings().select("item_id", "rating", "ts", F.year("ts").alias("year")), "years")
+    sums = None
+    for (year,) in sorted(years.select("year").distinct().collect()):  # a row for each year
+        batch = scores.decayed_sums(years.where(F.col("year") == year))
+        sums = batch if sums is None else scores.merged_sums(sums, batch)
+    return scores.scores_of(sums).select("item_id", F.round("popularity_score", 6).alias("popularity_score"), F.round("trending_score", 6).alias("trending_score"))
+
+
 @query(statements.TAGGED + "SELECT id AS item_id, user_tags FROM tagged WHERE user_tags IS NOT NULL")
 def top_tags(t):
     return scores.top_tags(t.tags())

@@ -13,6 +13,22 @@ def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def scan_csv_checked(spark: SparkSession, path: str, schema: str, required: list[str], sound: Column | None = None, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and (line, reason) of all others: ``malformed`` (too few or too many fields, a
+    number that isn't one, a stray quote), ``missing`` (a required column is empty) and ``unsound``
+    (the condition ``sound`` doesn't hold). Every line of the files but headers is in one of both."""
+    options = {"header": header, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line", "columnPruning": False, "enforceSchema": True}
+    rows = spark.read.schema(schema + ", _line string").options(**options).csv(path)
+    names = [c for c in rows.columns if c != "_line"]
+    empty = F.greatest(*[F.col(c).isNull().cast("int") for c in [required[0], *required]]) == 1
+    reason = F.when(F.col("_line").isNotNull(), "malformed").when(empty, "missing")
+    if sound is not None:
+        reason = reason.when(~F.coalesce(sound, F.lit(False)), "unsound")
+    marked = rows.withColumn("reason", reason)
+    line = F.coalesce("_line", F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]))
+    return marked.where("reason is null").select(names), marked.where("reason is not null").select(line.alias("line"), "reason")
+
+
 def scan_optional_csv(spark: SparkSession, path: str | None, schema: str) -> DataFrame:
     """An empty frame of the schema where there is no file, so that left joins give nulls."""
     return scan_csv(spark, path, schema) if path else spark.createDataFrame([], schema)

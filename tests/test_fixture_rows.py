@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from affinity import schemas
 from affinity.functions import text as fx
-from affinity.operators import catalog, content, evaluate, factors, interactions, kept, recommend, scores, tiles
+from affinity.operators import balls, catalog, content, evaluate, factors, interactions, kept, recommend, scores, tiles
 from affinity.plans import jobs
 
 ITEMS = [
@@ -123,6 +123,27 @@ def test_expired_lists_are_made_anew(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", one._jdf.queryExecution().toString())
 
 
+def test_scores_from_batches(spark):
+    """Whatever the split, and after a rating is replaced, sums give the scores of the whole history."""
+    import random
+
+    r = random.Random(9)
+    rows = [(u, r.randint(1, 8), r.choice([0.5, 3.0, 5.0]), f"{r.randint(1995, 2001)}-0{r.randint(1, 9)}-11 00:00:00") for u in range(150)]
+    frame = lambda x: spark.createDataFrame(x, "user_id long, item_id long, rating double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    old = [(999, 3, 1.0, "1999-05-05 00:00:00")]
+    for parts in ([rows], [rows[:1], rows[1:90], rows[90:]], [rows[k::5] for k in range(5)]):
+        sums = scores.decayed_sums(frame(old))
+        for part in parts:
+            sums = scores.merged_sums(sums, scores.decayed_sums(frame(part)))
+        sums = scores.merged_sums(sums, scores.decayed_sums(frame(old), -1))
+        got = {x.item_id: (x.popularity_score, x.trending_score) for x in scores.scores_of(sums).collect()}
+        want = {x.item_id: [x.popularity_score] for x in scores.popularity(frame(rows)).collect()}
+        for x in scores.trending(frame(rows)).collect():
+            want[x.item_id].append(x.trending_score)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(tuple(v), abs=1e-9) for k, v in want.items())
+    assert scores.scores_of(scores.merged_sums(scores.decayed_sums(frame(old)), scores.decayed_sums(frame(old), -1))).count() == 0
+
+
 def test_exact_sum(spark):
     values = [1e16, 1.0, -1e16] + [0.1] * 10
     assert spark.createDataFrame([(values,)], "x array<double>").select(fx.exact_sum("x").alias("s")).first().s == pytest.approx(2.0, abs=1.01)
@@ -252,6 +273,30 @@ def test_lists_by_prediction_against_all_pairs(spark, model, monkeypatch):
     assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()})
 
 
+def test_blocks_are_skipped_exactly(monkeypatch):
+    """Clustered vectors: the n best equal those of all pairs, ties too, and most pairs are never computed."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(40, 16)) * 2
+    q = np.repeat(centres, 60, axis=0) + rng.choice([0.0, 0.05], (2400, 16))
+    p = centres[rng.integers(0, 40, 300)] + rng.normal(size=(300, 16)) * 0.1
+    b, base = rng.choice([0.0, 0.25, np.nan], 2400), rng.normal(size=300)
+    hidden = (rng.integers(0, 300, 900), rng.integers(0, 2400, 900))
+    for clip in ((-1000.0, 1000.0), (-5.0, 40.0)):  # the second makes many equal scores
+        shown = balls.Balls(q, b)
+        got = shown.scores(p, base, clip, hidden, 10)
+        want = np.clip(base[:, None] + p @ q.T + b, *clip)
+        want = np.where(np.isnan(want), -np.inf, np.round(want, 6))
+        want[hidden] = -np.inf
+        ids = np.arange(2400)
+        a, z = tiles.best(got, ids, 10, -np.inf), tiles.best(want, ids, 10, -np.inf)
+        assert (a[0] == z[0]).all() and np.abs(got[a] - want[z]).max() < 2e-6
+        assert (a[1] == z[1]).mean() > 0.999
+        if clip[1] == 1000:
+            assert shown.computed < 0.5 * shown.whole
+
+
 def test_popular_lists_stand_in(spark, model, ratings, items, tmp_path):
     """For users that a recommender doesn't know, for cold users, and where there is no model."""
     users = spark.createDataFrame([(1,), (7,)], "user_id long")

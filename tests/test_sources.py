@@ -54,6 +54,18 @@ def test_discover(spark):
     assert [(r.id, r.title, r.genres, r.popularity_score, r.trending_score) for r in got] == [(41, "New (2020)", "Action|Comedy", 3.46, 5.53), (42, "Untitled (2020)", "Drama", 10.0, 14.0)]
 
 
+def test_rejected_lines_are_kept_with_reasons(spark, tmp_path):
+    lines = ["1,2,3.5,100", "1,3", "1,4,four,100", '1,"5,3.0,100', "1,6,3.0,100,extra", ",7,3.0,100", "1,8,,100", "1,9,5.5,100", "1,10,0.5,", '"1","11","4.0","7"']
+    for k in range(2):
+        (tmp_path / f"r{k}.csv").write_text("\n".join(["userId,movieId,rating,timestamp", *lines[k::2]]) + "\n")
+    good, bad = files.scan_csv_checked(spark, str(tmp_path), s.RATINGS_CSV, ["userId", "movieId", "rating"], F.col("rating").between(0.5, 5))
+    assert {r.movieId for r in good.collect()} == {2, 10, 11}
+    got = {r.line: r.reason for r in bad.collect()}
+    assert {x: got.pop(x) for x in lines[1:5]} == dict.fromkeys(lines[1:5], "malformed")
+    assert sorted(got.values()) == ["missing", "missing", "unsound"]
+    assert good.count() + bad.count() == len(lines)
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     schema = "user_id long, item_id long, rating double, ts long"
     for k, rows in enumerate([[(1, 1, 3.0, 1), (1, 2, 4.0, 1)], [(1, 1, 5.0, 2), (2, 1, 1.0, 2), (2, 77, 1.0, 2)]]):

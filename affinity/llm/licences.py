@@ -13,7 +13,9 @@ no such unit and is dropped first. Bigrams that no template has only count for t
 With ``passages``, runs of two or more neighbouring sentences are units too, across
 lines, whose breaks read as spaces: a licence wrapped above other text is one. Only runs
 that begin and end with a bigram of the template found nowhere else in the run are
-tried; any other run has a shorter one inside it that scores as much or more.
+tried; any other run has a shorter one inside it that scores as much or more. Runs with
+more distinct bigrams than a template's bound are not looked at, so work grows with the
+length of a text also where it holds a licence very often.
 
 Normalised text: lower case, every run of other characters than letters and digits is
 one space. A unit of one word has that word as its bigram. Null, empty and wordless
@@ -99,6 +101,9 @@ TEMPLATES = {
 
 
 LINE, SENTENCE = "\x01", "\x02"
+LAST = 2**31 - 1
+#: Lengths of runs, in pairs of words, for which distinct pairs are bounded.
+REACHES = (1 << 10, 1 << 14, 1 << 18, LAST)
 SPACES = r"[ \t\r\f\x0B]"
 
 
@@ -147,61 +152,87 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def passages_of(texts: DataFrame, sets: dict[str, set[str]], least: float) -> DataFrame:
-    """(text_hash, licence, passages): runs of sentences that reach ``least``, as structs
-    (last, first, last_line, first_line, dice) in order of their ends."""
+    """(text_hash, licence, first, last, first_line, last_line, dice): for each first
+    sentence the shortest run that reaches ``least``, with the best coefficient of its runs."""
     spark = texts.sparkSession
     low, high = least / (2 - least), (2 - least) / least
     rows = [(name, len(s), *g.partition(" ")[::2]) for name, s in sets.items() for g in sorted(s)]
     marks = spark.createDataFrame(rows, "licence string, size int, a string, b string").select("licence", "size", F.xxhash64("a", "b").alias("pair"))
     sentences = F.flatten(F.transform(F.split("norm", LINE), lambda x, i: F.transform(F.split(x, SENTENCE), lambda y: F.struct(i.alias("line"), F.trim(y).alias("words")))))
-    numbered = F.transform(sentences, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["words"].alias("words")))
-    words = F.flatten(F.transform("pieces", lambda x: F.transform(F.split(x["words"], " "), lambda w: F.struct(x["at"].alias("at"), x["line"].alias("line"), w.alias("w")))))
-    pair = lambda x, y: F.struct(F.xxhash64(x["w"], y["w"]).alias("pair"), x["at"].alias("a"), y["at"].alias("b"), x["line"].alias("la"), y["line"].alias("lb"))
-    once = settled(texts.groupBy("text_hash").agg(F.first("text").alias("text")), "norm", normalised(F.col("text")))
-    once = settled(once, "pieces", F.filter(numbered, lambda x: x["words"] != ""))
-    once = settled(once.select("text_hash", words.alias("w")).where(F.size("w") > 1), "pairs", F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), pair)).select("text_hash", "pairs")
-    # Pairs of words that a text has for the first time, up to each place: a run has at
-    # least as many distinct ones as are new in it.
+    placed = F.filter(F.transform(sentences, lambda x, i: F.struct(i.alias("at"), x["line"].alias("line"), x["words"].alias("words"))), lambda x: x["words"] != "")
+    words = F.flatten(F.transform("pieces", lambda x, k: F.transform(F.split(x["words"], " "), lambda w, i: F.struct(k.alias("k"), i.alias("i"), w.alias("w")))))
+    pair = lambda x, y: F.struct(F.xxhash64(x["w"], y["w"]).alias("pair"), x["k"].alias("a"), y["k"].alias("b"))
+    once = settled(settled(texts, "norm", normalised(F.col("text"))), "pieces", placed)
+    once = settled(once.select("text_hash", F.transform("pieces", lambda x: F.struct(x["at"], x["line"])).alias("places"), words.alias("w")).where(F.size("w") > 1), "pairs", F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), pair))
+    opens = F.filter(F.transform("w", lambda x, i: F.when(x["i"] == 0, i)), lambda i: i.isNotNull())  # word that each sentence begins with
     every = once.select("text_hash", F.posexplode("pairs").alias("pos", "p")).select("text_hash", "pos", "p.*")
-    new = (F.row_number().over(Window.partitionBy("text_hash", "pair").orderBy("pos")) == 1).cast("int")
-    every = every.withColumn("new", new).withColumn("c", F.sum("new").over(Window.partitionBy("text_hash").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    same, text = Window.partitionBy("text_hash", "pair").orderBy("pos"), Window.partitionBy("text_hash").orderBy("pos")
+    every = every.select("*", F.lag("pos").over(same).alias("back"), F.lag("a").over(same).alias("before"), F.lead("b").over(same).alias("again"))
+    # A run of at most ``reach`` pairs has no fewer distinct ones than it has pairs whose
+    # last one lies further back than ``reach``. Where more than ``most`` of these follow
+    # sentence ``left`` within ``reach``, no run can begin there or before.
+    most = int(high * max(len(s) for s in sets.values()) + 1e-9) + 1
+    for k, reach in enumerate(REACHES):
+        far = F.when(F.col("back").isNull() | (F.col("pos") - F.col("back") > reach), F.struct("pos", "a"))
+        every = every.withColumn(f"far{k}", far).withColumn(f"far{k}", F.expr(f"lag(far{k}, {most}) ignore nulls over (partition by text_hash order by pos)"))
+    left = F.greatest(F.lit(-1), *(F.when(F.col("pos") - F.col(f"far{k}.pos") < reach, F.col(f"far{k}.a")) for k, reach in enumerate(REACHES)))
     key = ["text_hash", "licence", "size"]
-    hits = every.join(F.broadcast(marks), "pair").withColumn("before", F.coalesce(F.lag("a").over(Window.partitionBy(*key, "pair").orderBy("pos")), F.lit(-1)))
-    starts = hits.groupBy(*key, F.col("a").alias("first")).agg(F.min("la").alias("first_line"), F.min("c").alias("c0"))
+    hits = every.select("text_hash", "pair", "a", "b", "again", F.greatest(F.coalesce("before", F.lit(-1)), left).alias("before")).join(F.broadcast(marks), "pair")
+    # A run is no better than the one without its first sentence from where all of the
+    # sentence's bigrams have come again.
+    starts = hits.groupBy(*key, F.col("a").alias("first")).agg(F.max(F.coalesce("again", F.lit(LAST))).alias("until"))
     # For each first sentence, where each of the template's bigrams ends that follows first.
     ends = (
-        hits.join(starts, key)
-        .where((F.col("before") < F.col("first")) & (F.col("first") <= F.col("a")) & (F.col("c") - F.col("c0") <= high * F.col("size") + 1e-9))
-        .select(*key, "first", "first_line", F.col("b").alias("last"), F.col("lb").alias("last_line"))
-        .groupBy(*key, "first", "first_line", "last", "last_line").agg(F.count(F.lit(1)).alias("here"))
+        hits.where(F.col("before") < F.col("a"))
+        .select(*key, F.explode(F.sequence(F.col("before") + 1, F.col("a"))).alias("first"), F.col("b").alias("last"))
+        .groupBy(*key, "first", "last").agg(F.count(F.lit(1)).alias("here"))
+        .join(starts, [*key, "first"]).where(F.col("last") < F.col("until"))
     )
     upto = Window.partitionBy(*key, "first").orderBy("last").rowsBetween(Window.unboundedPreceding, 0)
     tried = (
         ends.withColumn("both", F.sum("here").over(upto))
         .where((F.col("both") >= low * F.col("size") - 1e-9) & (F.col("last") > F.col("first")))
-        .groupBy("text_hash").agg(F.collect_list(F.struct("licence", "size", "first", "first_line", "last", "last_line", "both")).alias("runs"))
+        .groupBy("text_hash").agg(F.collect_list(F.struct("licence", "size", "first", "last", "both")).alias("runs"))
+    )
+    held = once.select("text_hash", "places", opens.alias("opens"), F.transform("pairs", lambda x: x["pair"]).alias("codes"))
+    past = lambda x: F.coalesce(F.get("opens", x["last"] + 1), F.size("codes") + 1)
+    own = lambda x: F.slice("codes", F.get("opens", x["first"]) + 1, past(x) - 1 - F.get("opens", x["first"]))
+    place = lambda x: F.struct(
+        x["licence"].alias("licence"), F.get("places", x["first"]).alias("begin"), F.get("places", x["last"]).alias("end"),
+        (2 * x["both"] / (F.size(F.array_distinct(own(x))) + x["size"])).alias("dice"),
     )
-    inside = lambda x: F.size(F.array_distinct(F.transform(F.filter("pairs", lambda q: (q["a"] >= x["first"]) & (q["b"] <= x["last"])), lambda q: q["pair"])))
-    scored = settled(tried.join(once, "text_hash").select("text_hash", "pairs", F.explode("runs").alias("x")), "n", inside(F.col("x")))
     return (
-        scored.select("text_hash", "x.*", (2 * F.col("x.both") / (F.col("n") + F.col("x.size"))).alias("dice"))
+        tried.join(held, "text_hash")
+        .select("text_hash", F.explode(F.transform("runs", place)).alias("x")).select("text_hash", "x.*")
         .where(F.col("dice") >= least)
-        .groupBy("text_hash", "licence")
-        .agg(F.array_sort(F.collect_list(F.struct("last", "first", "last_line", "first_line", "dice"))).alias("passages"))
-    )
+        .groupBy("text_hash", "licence", F.col("begin.at").alias("first"), F.col("begin.line").alias("first_line"))
+        .agg(F.min("end").alias("end"), F.max("dice").alias("dice"))
+        .select("text_hash", "licence", "first", "first_line", F.col("end.at").alias("last"), F.col("end.line").alias("last_line"), "dice")
+    )
 
 
-def apart(passages: Column, found: Column) -> Column:
-    """Most passages that share no sentence with each other or with the units found."""
-    within = lambda b, x: (
-        (b["unit"] == "text")
-        | ((b["unit"] == "sentence") & b["at"].between(x["first"], x["last"]))
-        | ((b["unit"] == "line") & b["at"].between(x["first_line"], x["last_line"]))
-    )
-    free = F.filter(passages, lambda x: ~F.exists(found, lambda b: within(b, x)))
+def free(found: DataFrame) -> Column:
+    """Of units and passages of a text and licence: whether a row is a passage that shares
+    no sentence with a unit."""
+    key, passage = ["text_hash", "licence"], F.col("unit") == "passage"
+
+    def clear(kind: str, first: str, last: str) -> Column:
+        order = F.when(F.col("unit") == kind, F.col("at")).when(passage, F.col(first)).otherwise(-1)
+        on = Window.partitionBy(*key).orderBy(order.desc(), passage.desc()).rowsBetween(Window.unboundedPreceding, 0)
+        # Passages come before units of their place in this order, so equal places are looked at apart.
+        here = F.max((F.col("unit") == kind).cast("int")).over(Window.partitionBy(*key, order))
+        following = F.min(F.when(F.col("unit") == kind, F.col("at"))).over(on)
+        return (here == 0) & (following.isNull() | (following > F.col(last)))
+
+    whole = F.max((F.col("unit") == "text").cast("int")).over(Window.partitionBy(*key))
+    return passage & (whole == 0) & clear("sentence", "first", "last") & clear("line", "first_line", "last_line")
+
+
+def apart(passages: Column) -> Column:
+    """Most passages that share no sentence with each other, of structs (last, first)."""
     none = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("n"))
     add = lambda s, x: F.when(x["first"] > s["last"], F.struct(x["last"].alias("last"), (s["n"] + 1).alias("n"))).otherwise(s)
-    return F.coalesce(F.aggregate(free, none, add, lambda s: s["n"]), F.lit(0))
+    return F.aggregate(F.array_sort(passages), none, add, lambda s: s["n"])
 
 
 def python_bigrams(text: str) -> set[str]:
@@ -225,52 +256,40 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] = TEMPLA
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     if min(len(t.split()) for t in templates.values()) > 1:
         texts = sharing(texts, sets, low)
-    # From here on few texts are left. Equal rows are one document.
-    texts = texts.withColumn("text_hash", F.md5("text")).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
-    if passages:  # read twice
-        path = scratch(spark, "licences")
-        texts.write.parquet(path)
-        texts = spark.read.parquet(path)
+    # From here on few texts are left. Equal texts are judged once, and equal rows are one document.
+    path = scratch(spark, "licences")
+    texts.withColumn("text_hash", F.md5("text")).write.parquet(path)
+    texts = spark.read.parquet(path)
+    once = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
     pieces = (
-        settled(texts, "norm", normalised(F.col("text")))
-        .select("doc_id", "text_hash", F.posexplode(units(F.col("norm"))).alias("place", "u"))
+        settled(once, "norm", normalised(F.col("text")))
+        .select("text_hash", F.posexplode(units(F.col("norm"))).alias("place", "u"))
         .where(F.col("u.piece") != "")
-        .select("doc_id", "text_hash", "place", "u.unit", "u.at", F.split("u.piece", " ").alias("words"))
+        .select("text_hash", "place", "u.unit", "u.at", F.split("u.piece", " ").alias("words"))
     )
     fitting = (
         # A set is no larger than its list, so the lower bound can go by the list.
         settled(pieces.where(F.size("words") >= low * sizes[0]), "grams", bigrams(F.col("words")))
-        .select("doc_id", "text_hash", "unit", "at", "place", "grams", F.size("grams").alias("n"))
+        .select("text_hash", "unit", "at", "place", "grams", F.size("grams").alias("n"))
         .where(fits)
     )
-    shared = (
+    found = (
         fitting.select("*", F.explode("grams").alias("gram"))
         .join(marks, "gram")
         .where((F.col("n") >= low * F.col("size") - 1e-9) & (F.col("n") <= high * F.col("size") + 1e-9))
-        .groupBy("doc_id", "text_hash", "unit", "at", "place", "n", "licence", "size")
+        .groupBy("text_hash", "unit", "at", "place", "n", "licence", "size")
         .agg(F.count(F.lit(1)).alias("both"))
-        .withColumn("dice", 2 * F.col("both") / (F.col("n") + F.col("size")))
+        .select("text_hash", "licence", (2 * F.col("both") / (F.col("n") + F.col("size"))).alias("dice"), "unit", "at")
         .where(F.col("dice") >= least)
     )
-    best = F.max_by("unit", F.struct("dice", "unit"))
-    if not passages:
-        return shared.groupBy("doc_id", "text_hash", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), best.alias("unit"), F.count(F.lit(1)).alias("n_units"))
-    runs = (
-        texts.select("doc_id", "text_hash").distinct().join(passages_of(texts, sets, least), "text_hash")
-        .withColumn("dice", F.array_max(F.transform("passages", lambda x: x["dice"])))
-    )
-    other = F.col("unit") != "passage"
-    best = F.max_by("unit", F.struct("dice", other, "unit"))
-    return (
-        shared.select("doc_id", "text_hash", "licence", "dice", "unit", "at")
-        .unionByName(runs.withColumn("unit", F.lit("passage")), allowMissingColumns=True)
-        .groupBy("doc_id", "text_hash", "licence")
-        .agg(
-            F.round(F.max("dice"), 6).alias("dice"), best.alias("unit"), F.count_if(other).alias("n_units"),
-            F.collect_list(F.when(other, F.struct("unit", "at"))).alias("found"), F.first("passages", ignorenulls=True).alias("passages"),
-        )
-        .select("doc_id", "text_hash", "licence", "dice", "unit", (F.col("n_units") + apart(F.col("passages"), F.col("found"))).alias("n_units"))
-    )
+    count = F.count(F.lit(1))
+    if passages:
+        found = found.unionByName(passages_of(once, sets, least).withColumn("unit", F.lit("passage")), allowMissingColumns=True)
+        found = found.withColumn("free", free(found))
+        count = F.count_if(F.col("unit") != "passage") + apart(F.collect_list(F.when(F.col("free"), F.struct("last", "first"))))
+    best = F.max_by("unit", F.struct("dice", F.col("unit") != "passage", "unit"))
+    judged = found.groupBy("text_hash", "licence").agg(F.round(F.max("dice"), 6).alias("dice"), best.alias("unit"), count.alias("n_units"))
+    return texts.select("doc_id", "text_hash").distinct().join(judged, "text_hash").select("doc_id", "text_hash", "licence", "dice", "unit", "n_units")
 
 
 def op8_license_scans(spark, sf_dir):

@@ -84,3 +84,15 @@ def test_query_finds_a_wrapped_licence(spark, tmp_path):
     text = textwrap.fill(TEMPLATES["apache-2.0 header"], 78) + "\n" + "x = call(y)\n" * 80
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert ("apache-2.0 header", 1.0, "passage", 1) in [(r.licence, r.dice, r.unit, r.n_units) for r in op8_license_scans(spark, str(tmp_path)).collect()]
+
+
+def test_many_copies_in_one_text(spark):
+    wrap = textwrap.fill(TEMPLATES["mit text"], 90)
+    rows = [(1, "\n".join([wrap] * 40)), (2, "\n".join([wrap, "x = call(y)"] * 2)), (3, f"{TEMPLATES['isc text']}\n{wrap}\n" * 2), (4, "Released under the.\n" + "no.\n" * 12 + "the MIT License.\n" + wrap)]
+    got = sorted((r.doc_id, r.licence, r.dice, r.unit, r.n_units) for r in scan(spark.createDataFrame(rows[1:], "doc_id long, text string"), passages=True).collect())
+    assert got == brute_passages(rows[1:])
+    other = "\n".join(f"name{i} = value{i}" for i in range(200))  # so that the whole text is no licence
+    many = [(n, "\n".join([other] + [wrap] * n)) for n in (40, 400)]
+    rows = scan(spark.createDataFrame(many, "doc_id long, text string"), passages=True).where("licence = 'mit text'").collect()
+    assert {(r.doc_id, r.dice, r.unit) for r in rows} == {(40, 1.0, "passage"), (400, 1.0, "passage")}
+    assert all(r.doc_id <= r.n_units <= 1.5 * r.doc_id for r in rows)  # a part of a copy can be enough

@@ -9,9 +9,11 @@ whole texts, and around them aligns item and text by Smith-Waterman over words
 item's perfect score; copies with words changed, left out or put in keep most of
 it. Matches of at least ``threshold`` are returned.
 
-An item of fewer than ``SHORTEST`` words is found only as it is: its seed is its whole
-sequence of words, and the score is 1. (A one-word item is thus found wherever its word
-is.) Items are sent to the tasks in blocks of at most ``BLOCK`` bytes, one pass each, so
+An alignment also has to reach ``FLOOR``, or the item's perfect score where that is less:
+three words in a row do for any item, and items of one to three words are found only as
+they are. (A one-word item is thus found wherever its word is.) Items of fewer than
+``SHORT`` words have all their word pairs as seeds, rare or not, as one changed word can
+leave them no trigram. Items are sent to the tasks in blocks of at most ``BLOCK`` bytes, one pass each, so
 nothing of unknown size is broadcast. Null and wordless items have nothing to search.
 Null and empty texts match nothing. Repeated ids, of
 items or documents, give the best score of their rows. Empty tables give no rows;
@@ -33,7 +35,7 @@ from .common import prepare, table
 from .exchange import run_starts
 
 U = np.uint64
-GRAM, SHORTEST, EXPECTED, BLOCK = 3, 6, 1.0, 8 << 20
+GRAM, SHORT, FLOOR, EXPECTED, BLOCK = 3, 8, 6, 1.0, 8 << 20
 #: Bytes outside words: ASCII but letters and digits.
 BREAKS = np.ones(256, bool)
 BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -76,24 +78,24 @@ class Items:
         return Items(np.array([rows[k].item_id for k in keep], np.int64), [words[k] for k in keep])
 
     def seeds(self, counts: dict[int, int], total: int) -> dict[int, tuple[Member, np.ndarray, np.ndarray]]:
-        """Under GRAM the rare grams of long items, and under each other number of words
-        (negative) the short items of that length; for each gram (by offset) the items that have it."""
-        out = {}
-        for size in {len(w) for w in self.words if len(w) < SHORTEST}:
-            owner = np.array([k for k, w in enumerate(self.words) if len(w) == size])
-            out[-size] = indexed(np.array([tx.shingles(self.words[k], np.zeros(size, np.int64), 1, size)[0][0] for k in owner], U), owner)
-        gram, owner = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        """By number of words the grams of items (all of short ones, the rare ones of others);
+        for each gram (by offset) the items that have it."""
+        grams: dict[int, tuple[list, list]] = {}
         for k, w in enumerate(self.words):
-            if len(w) < SHORTEST:
-                continue
-            p = np.array([max(1, counts.get(int(x), 0)) for x in w]) / max(1, total)
-            g, _ = tx.shingles(w, np.zeros(len(w), np.int64), 1, GRAM)
-            expected = total * np.prod([p[i : len(p) - GRAM + 1 + i] for i in range(GRAM)], axis=0)
-            rare = (expected <= EXPECTED) | (expected <= np.median(expected))
-            gram.append(np.unique(g[rare]))
+            size = GRAM if len(w) >= SHORT else min(2, len(w))
+            g, _ = tx.shingles(w, np.zeros(len(w), np.int64), 1, size)
+            if size == GRAM:
+                g = g[self.rare(w, counts, total)]
+            gram, owner = grams.setdefault(size, ([], []))
+            gram.append(np.unique(g))
             owner.append(np.full(len(gram[-1]), k))
-        out[GRAM] = indexed(np.concatenate(gram), np.concatenate(owner))
-        return out
+        return {size: indexed(np.concatenate(gram), np.concatenate(owner)) for size, (gram, owner) in grams.items()}
+
+    @staticmethod
+    def rare(w: np.ndarray, counts: dict[int, int], total: int) -> np.ndarray:
+        p = np.array([max(1, counts.get(int(x), 0)) for x in w]) / max(1, total)
+        expected = total * np.prod([p[i : len(p) - GRAM + 1 + i] for i in range(GRAM)], axis=0)
+        return (expected <= EXPECTED) | (expected <= np.median(expected))
 
 
 def indexed(gram: np.ndarray, owner: np.ndarray) -> tuple[Member, np.ndarray, np.ndarray]:
@@ -136,31 +138,27 @@ def matches(items: Items, seeds: dict[int, tuple], data: np.ndarray, at: np.ndar
     words, doc, start, end = hashed_words(data, at)
     n = len(at) - 1
     first = np.searchsorted(doc, np.arange(n + 1))
-    found = []
-    for size in (-k for k in seeds if k < 0):
-        text, item, word = met(words, doc, n, size, seeds[-size])
-        for x in run_starts(text, item):  # the first of each
-            a = first[text[x]] + word[x]
-            found.append((int(text[x]), int(items.ids[item[x]]), 1.0, int(start[a] - at[text[x]]), int(end[a + size - 1] - at[text[x]])))
-    text, item, word = met(words, doc, n, GRAM, seeds[GRAM])
-    if not len(text):
-        return found
-    size = np.array([len(w) for w in items.words])[item]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > 2 * size[1:])
-    cuts = np.append(np.flatnonzero(new), len(text))
     best: dict[tuple[int, int], tuple] = {}
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        t, k, m = int(text[i]), int(item[i]), int(size[i])
-        base = first[t]
-        a = max(base, base + word[i] - 2 * m)
-        b = min(first[t + 1], base + word[j - 1] + 2 * m + GRAM)
-        score, stop = align(items.words[k], words[a:b])
-        score = score / (2 * m)
-        if score >= threshold and score > best.get((t, k), (0,))[0]:
-            _, back = align(items.words[k][::-1], words[a : a + stop][::-1])
-            best[t, k] = (score, int(start[a + stop - back] - at[t]), int(end[a + stop - 1] - at[t]))
-    return found + [(t, int(items.ids[k]), *x) for (t, k), x in best.items()]
+    for gram, index in seeds.items():
+        text, item, word = met(words, doc, n, gram, index)
+        if not len(text):
+            continue
+        size = np.array([len(w) for w in items.words])[item]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (word[1:] - word[:-1] > 2 * size[1:])
+        cuts = np.append(np.flatnonzero(new), len(text))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            t, k, m = int(text[i]), int(item[i]), int(size[i])
+            base = first[t]
+            a = max(base, base + word[i] - 2 * m)
+            b = min(first[t + 1], base + word[j - 1] + 2 * m + gram)
+            score, stop = align(items.words[k], words[a:b])
+            enough = score >= min(FLOOR, 2 * m)
+            score = score / (2 * m)
+            if enough and score >= threshold and score > best.get((t, k), (0,))[0]:
+                _, back = align(items.words[k][::-1], words[a : a + stop][::-1])
+                best[t, k] = (score, int(start[a + stop - back] - at[t]), int(end[a + stop - 1] - at[t]))
+    return [(t, int(items.ids[k]), *x) for (t, k), x in best.items()]
 
 
 def item_blocks(docs: DataFrame, items: DataFrame) -> Iterator[tuple[Items, dict[int, tuple]]]:

@@ -78,8 +78,33 @@ def test_empty(spark):
     assert contaminated(d.limit(0), spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")).count() == 0
 
 
-def test_short_items_are_found_as_they_are(spark):
-    items = [(1, "Kalo"), (2, "kalo, mi"), (3, "une sha ro ti ex"), (4, "?!"), (5, "Une sha ro ti ex"), (6, " ".join(WORDS[:12]))]
-    docs = [(1, "x kalo mi kalo"), (2, "kalo. MI"), (3, "kalomi une sha ro ti"), (4, "a une sha ro  ti-ex b"), (5, "mi"), (6, "")]
+def test_short_items(spark):
+    items = [(1, "Kalo"), (2, "kalo, mi"), (3, "une sha ro ti ex"), (4, "?!"), (5, "Une sha ro ti ex"), (6, " ".join(WORDS[:12])), (7, "the quick brown fox jumps")]
+    docs = [(1, "x kalo mi kalo"), (2, "kalo. MI"), (3, "kalomi une sha ro ti"), (4, "a une sha ro  ti-ex b"), (5, "mi"), (6, ""), (7, "the quick brown fox leaps"), (8, "une sha x ti ex"), (9, "une sha x ro")]
     got = {(x.doc_id, x.item_id, x.score, x.first_byte, x.last_byte) for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(1, 1, 1.0, 2, 6), (1, 2, 1.0, 2, 9), (2, 1, 1.0, 0, 4), (2, 2, 1.0, 0, 8), (4, 3, 1.0, 2, 19), (4, 5, 1.0, 2, 19)}
+    exact = {(1, 1, 1.0, 2, 6), (1, 2, 1.0, 2, 9), (2, 1, 1.0, 0, 4), (2, 2, 1.0, 0, 8), (4, 3, 1.0, 2, 19), (4, 5, 1.0, 2, 19)}
+    assert got == exact | {(3, 3, 0.8, 7, 20), (3, 5, 0.8, 7, 20), (7, 7, 0.8, 0, 19), (8, 3, 0.7, 0, 15), (8, 5, 0.7, 0, 15)}
+
+
+def edited(r, prose, item):
+    w = list(item)
+    for _ in range(r.choice([0, 1, 1, max(1, len(w) // 6)])):
+        k = r.randrange(len(w))
+        w[k : k + r.randint(0, 1)] = prose(r.randint(0, 1))
+    return w
+
+
+@pytest.mark.parametrize(("shortest", "longest", "least"), [(1, 7, 1.0), (8, 40, 0.98)])
+def test_recall_of_seeds(spark, shortest, longest, least):
+    """Full alignment of every document with every item, next to what seeds find."""
+    r = random.Random(shortest)
+    prose = lambda n: [r.choice(WORDS) + str(r.randint(0, 40)) for _ in range(n)]
+    items = [(i, prose(r.randint(shortest, longest))) for i in range(40)]
+    docs = [(d, prose(r.randint(0, 30)) + edited(r, prose, r.choice(items)[1]) + prose(r.randint(0, 30))) for d in range(250)]
+    rows = contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id): x.score for x in rows}
+    best = {(d, i): score(v, w) for d, w in docs for i, v in items}
+    size = {i: 2 * len(v) for i, v in items}
+    want = {(d, i): s / size[i] for (d, i), s in best.items() if s >= min(6, size[i]) and s >= 0.5 * size[i]}
+    assert set(got) <= set(want) and len(got) >= least * len(want)
+    assert len(want) > 150 and all(got[k] == pytest.approx(want[k]) for k in got)

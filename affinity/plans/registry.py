@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as s
 from ..functions import text as fx
-from ..operators import catalog, content, evaluate, factors, interactions, recommend, scores
+from ..operators import catalog, content, evaluate, factors, finder, interactions, recommend, scores
 from ..operators.kept import keep, work_path
 from ..sources import files
 from ..sources.tables import Tables, with_tables
@@ -373,6 +373,42 @@ def trending_page(t):
     return catalog.browse(scored(t), sort="trending_score").select("id", "title", "trending_score")
 
 
+def search_tables(t: Tables, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The items as a catalog table, and their posting lists."""
+    table = finder.write_catalog(items, work_path(t.spark, "catalog"))
+    return table, finder.write_postings(table, work_path(t.spark, "postings"))
+
+
+@query(statements.SCORED + "SELECT id, title, popularity_score FROM scored WHERE title ILIKE '%bolt%' AND contains(genres, 'SMALL') ORDER BY popularity_score DESC NULLS LAST, id LIMIT 50")
+def search_title_postings(t):
+    tables = search_tables(t, scored(t).select("id", "title", "genres", "popularity_score"))
+    return finder.search_title(*tables, "bolt", "SMALL", size=50).select("id", "title", "popularity_score")
+
+
+@query("SELECT id, genres FROM items WHERE contains(genres, 'widget') AND contains(genres, 'SMALL')")
+def filter_genres_postings(t):
+    return finder.filter_genres_all(*search_tables(t, t.items().select("id", "title", "genres")), "widget, ,SMALL").select("id", "genres")
+
+
+@query("SELECT id, title FROM items WHERE contains(title, '(1995)')")
+def filter_year_postings(t):
+    return finder.filter_year(*search_tables(t, t.items().select("id", "title", "genres")), "1995").select("id", "title")
+
+
+@query("SELECT id, title FROM items WHERE id = 42")
+def get_item_sorted(t):
+    return finder.get_item(finder.write_catalog(t.items(), work_path(t.spark, "catalog")), 42).select("id", "title")
+
+
+@query(statements.SCORED + "SELECT id, vote_average FROM scored WHERE contains(genres, 'SMALL') ORDER BY vote_average ASC NULLS FIRST, id LIMIT 30 OFFSET 30")
+def browse_after(t):
+    rows = catalog.filter_genre(scored(t), "SMALL").select("id", "vote_average")
+    first = finder.page_after(rows, "vote_average", descending=False, size=30).collect()  # a page
+    if len(first) < 30:
+        return rows.limit(0)
+    return finder.page_after(rows, "vote_average", (first[-1].vote_average, first[-1].id), False, 30)
+
+
 @query("SELECT user_id, item_id, rating, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) AS n FROM ratings) WHERE n <= 20")
 def rating_history(t):
     return catalog.user_rows(t.ratings(), "ts").select("user_id", "item_id", "rating", "n")

@@ -299,7 +299,8 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
 
 
 def with_bucket(docs: DataFrame, buckets: int, name: str = "bucket") -> DataFrame:
-    return docs.withColumn(name, F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(0)).cast("int"))
+    """By id; rows without one, which nothing is cut from, by their text."""
+    return docs.withColumn(name, F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.pmod(F.xxhash64("text"), F.lit(buckets))).cast("int"))
 
 
 def free_name(docs: DataFrame) -> str:

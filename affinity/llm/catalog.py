@@ -25,6 +25,7 @@ QUERIES = {
 
 SQL = {
     "op2_ngram_jaccard_join": jaccard.SQL,
+    "op4_substring_dedup": sentences.SQL,
     "op6_sharding": shard.SQL,
     "op7_embedding_near_dedup": embedding_dedup.SQL,
     "op8_license_scans": licences.SQL,

@@ -15,8 +15,10 @@ and exchanged by hash (``exchange``).
 
 Null and empty texts have no sentences and stay as they are. Rows that share a
 doc_id are told apart by their texts; rows equal in both are one document and get
-equal results. Rows with null doc_ids come behind all others, beside the largest id there can be. An empty table gives no
-rows; extra columns are not read.
+equal results. Rows with null doc_ids come behind all others, beside the largest id
+there can be. Rows are dealt over tasks by a hash of id and text, so neither rows without
+an id nor rows of one id meet in one task, but for those that are equal in both. An empty
+table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .common import prepare, splits, table
 from .exchange import run_starts, scatter, unpack_all
-from .suffix_dedup import by_document, frame, row_marks
+from .suffix_dedup import by_document, frame
 
 U = np.uint64
 FLUSH = 500_000
@@ -40,9 +42,9 @@ LAST = np.iinfo(np.int64).max
 STOP = np.zeros(256, bool)
 STOP[[0x21, 0x2E, 0x3F]] = True
 #: run, document, row mark, place, sentences
-ENTRY = (U, np.int64, U, np.int32, np.int32)
-#: document, row mark, place, sentences
-CUT = (U, np.int64, U, np.int32, np.int32)
+ENTRY = (U, np.int64, np.int64, np.int32, np.int32)
+#: row mark, document, place, sentences
+CUT = (U, np.int64, np.int64, np.int32, np.int32)
 
 
 def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -95,19 +97,19 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool =
     """doc_id, n_sentences, n_removed and text (what is kept) of every row."""
     prepare(docs.sparkSession)
     own = F.col("doc_id").cast("long")
-    docs = docs.select(F.coalesce(own, F.lit(LAST)).alias("doc_id"), "text", own.isNull().alias("none"))
+    docs = docs.select(F.coalesce(own, F.lit(LAST)).alias("doc_id"), "text", own.isNull().alias("none"), F.xxhash64(own, "text").alias("mark"))
     buckets = 8 * splits(docs) | 1
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in batches:
-            ids, none = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            for i, j, data, at in tx.slices(batch.column(1)):
+            ids, mark = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            for i, _, data, at in tx.slices(batch.column(1)):
                 _, owner, hashes, size = split(data, at)
                 key, first, length = runs(owner, hashes, size, run, least, grow)
                 text = owner[first]
                 place = (first - np.searchsorted(owner, text)).astype(np.int32)
-                held.append((key, ids[i:][text], marks(data, at, none[i:j])[text], place, length.astype(np.int32)))
+                held.append((key, ids[i:][text], mark[i:][text], place, length.astype(np.int32)))
                 count += len(key)
                 if count >= FLUSH:
                     yield send(held)
@@ -115,9 +117,6 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool =
         if count:
             yield send(held)
 
-    def marks(data: np.ndarray, at: np.ndarray, none: np.ndarray) -> np.ndarray:
-        return row_marks(data, at) ^ np.where(none, ~U(0), U(0))
-
     def send(held: list[tuple]) -> pa.RecordBatch:
         first, cuts = apart([np.concatenate(x) for x in zip(*held, strict=True)])
         rows = [(b, p, None) for b, p in scatter(first, buckets)] + [(b, None, p) for b, p in cuts]
@@ -125,14 +124,14 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool =
         return pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
 
     def apart(columns: list[np.ndarray]) -> tuple[list[np.ndarray], list[tuple[int, bytes]]]:
-        """Of entries the first of each run, and the others as cuts by document bucket."""
+        """Of entries the first of each run, and the others as cuts by their rows' buckets."""
         key, doc, mark, place, length = columns
         order = np.lexsort((place, mark, doc, key))
         order = order[run_starts(*(c[order] for c in (key, doc, mark, place)))]
         again = np.ones(len(order), bool)
         again[run_starts(key[order])] = False
         gone, stay = order[again], order[~again]
-        cuts = list(by_document([doc[gone], mark[gone], place[gone], length[gone]], buckets)) if len(gone) else []
+        cuts = list(by_document([mark[gone], doc[gone], place[gone], length[gone]], buckets)) if len(gone) else []
         return [c[stay] for c in columns], cuts
 
     def decide(part: pd.DataFrame) -> pd.DataFrame:
@@ -140,10 +139,9 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool =
         return frame(cuts + [(part["bucket"].iloc[0], x) for x in part["cuts"] if x is not None], ["bucket", "cuts"])
 
     def apply(texts: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        ids, none = texts["doc_id"].to_numpy(np.int64), texts["none"].to_numpy(bool)
+        ids, none, mark, cuts = texts["doc_id"].to_numpy(np.int64), texts["none"].to_numpy(bool), texts["mark"].to_numpy(np.int64), {}
         data, at = tx.buffers(pa.array(texts["text"], pa.string()))
-        mark, cuts = marks(data, at, none), {}
-        _, doc, own, place, length = unpack_all(list(part["cuts"]), CUT)
+        _, own, doc, place, length = unpack_all(list(part["cuts"]), CUT)
         for d, m, p, k in zip(doc.tolist(), own.tolist(), place.tolist(), length.tolist(), strict=True):
             cuts.setdefault((d, m), []).append((p, k))
         head, owner, _, _ = split(data, at)
@@ -160,7 +158,7 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool =
 
     cuts = docs.mapInArrow(gather, "bucket int, entries binary, cuts binary").groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary")
     return (
-        docs.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
+        docs.withColumn("bucket", F.pmod("mark", F.lit(buckets)).cast("int"))
         .groupBy("bucket")
         .cogroup(cuts.groupBy("bucket"))
         .applyInPandas(apply, "doc_id long, none boolean, n_sentences long, n_removed long, text string")
@@ -170,3 +168,43 @@ def dedup_sentences(docs: DataFrame, run: int = 2, least: int = 10, grow: bool =
 
 def op4_substring_dedup(spark, sf_dir):
     return dedup_sentences(table(spark, sf_dir, "documents"), grow=True)
+
+
+#: Sentences as tiles of the text, and every run as the string of its words.
+SQL = r"""
+WITH tiles AS (
+  SELECT doc_id, text, regexp_extract_all(text, '(?:\A[\x20\x09-\x0D]+)?'
+    || '(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+)*'
+    || '(?:[^\x20\x09-\x0D]*[.!?](?:[\x20\x09-\x0D]+|\z)'
+    || '|[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?](?:[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*|[\x20\x09-\x0D]*\z))') AS tiles
+  FROM documents
+), texts AS (
+  SELECT doc_id, text, tiles, list_transform(tiles, lambda x: trim(regexp_replace(
+    translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS keys
+  FROM tiles
+), sentences AS (
+  SELECT doc_id, p, tiles[p] AS tile, length(keys[p]) - length(replace(keys[p], ' ', '')) + 1 AS size
+  FROM (SELECT doc_id, tiles, keys, unnest(range(1, len(tiles) + 1)) AS p FROM texts)
+), counted AS (
+  SELECT doc_id, p, sum(size) OVER (PARTITION BY doc_id ORDER BY p) - size AS before, sum(size) OVER (PARTITION BY doc_id ORDER BY p) AS upto, size
+  FROM sentences
+), enough AS (
+  SELECT a.doc_id, a.p AS a, b.p AS b,
+    b.p - a.p > 1 AND b.before - a.before >= 10 AS without_last, b.p - a.p > 1 AND b.upto - a.upto >= 10 AS without_first
+  FROM counted a JOIN counted b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p + 1 AND a.p + 10
+  WHERE b.upto - a.before >= 10
+), found AS (SELECT doc_id, a, b FROM enough WHERE NOT (without_last AND without_first)),
+runs AS (
+  SELECT doc_id, a, b FROM found
+  UNION ALL SELECT doc_id, 1, len(tiles) FROM texts WHERE len(tiles) > 0 AND doc_id NOT IN (SELECT doc_id FROM found)
+), named AS (SELECT doc_id, a, b, array_to_string(keys[a:b], chr(10)) AS words FROM runs JOIN texts USING (doc_id)),
+later AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY words ORDER BY doc_id, a) AS k FROM named),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS p FROM later WHERE k > 1),
+kept AS (
+  SELECT s.doc_id, count(*) AS n_sentences, count(g.p) AS n_removed, coalesce(string_agg(s.tile, '' ORDER BY s.p) FILTER (WHERE g.p IS NULL), '') AS text
+  FROM sentences s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.p = g.p GROUP BY s.doc_id
+)
+SELECT t.doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CASE WHEN coalesce(n_removed, 0) = 0 THEN t.text ELSE k.text END AS text
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""

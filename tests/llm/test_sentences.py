@@ -1,6 +1,9 @@
 import random
 import re
 
+import duckdb
+import pandas as pd
+
 from affinity.llm import sentences
 from affinity.llm.sentences import dedup_sentences
 
@@ -118,3 +121,25 @@ def test_the_largest_id_and_no_id(spark):
     assert {x.doc_id for x in got} == {top - 1, top, None}
     by_id = {x.doc_id: x for x in got if x.text is not None}
     assert by_id[top - 1].n_removed == 0 and by_id[top].n_removed == by_id[top].n_sentences > 0 and by_id[None].n_removed > 0
+
+
+def test_sql_states_the_query(spark, tmp_path):
+    """Grown runs, texts hashed as a whole, white space of all kinds and stops inside words."""
+    rows = [(i, t) for i, (_, t) in enumerate(corpus(5)) if i != 123]
+    odd = ["  a.b c! d\x0b\n\n e?? \r\n f .", "\t\n", "A.B C! d e?? f .", "x" * 40, "\u00c9t\u00e9 \u00e9t\u00e9. \u00c9T\u00c9 \u00e9t\u00e9\u2003b. " * 9, "\n\nYes.\nNo", "yes. no", "One.\x0cTwo \x85 three"]
+    rows += [(1000 + i, t) for i, t in enumerate(odd + odd)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = sorted((d, n, r, t or "") for d, n, r, t in con.sql(sentences.SQL).fetchall())
+    got = sorted((x.doc_id, x.n_sentences, x.n_removed, x.text or "") for x in sentences.op4_substring_dedup(spark, str(tmp_path)).collect())
+    assert got == want and sum(r for _, _, r, _ in got) > 100
+
+
+def test_many_rows_without_an_id(spark):
+    """Each of many rows without an id, and of many with one id, is told from the others."""
+    say = lambda k: f"Number {k} is the first sentence here. And then there is a second one, number {k}."
+    docs = [(d, say(k)) for k in range(60) for d in (None, 7)] + [(3, say(0)), (None, say(99)), (None, say(99))]
+    got = dedup_sentences(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), grow=True).collect()
+    cut = lambda d: sorted(x.n_removed for x in got if x.doc_id == d)
+    assert cut(3) == [0] and cut(7) == [0] * 59 + [2] and cut(None) == [0, 0] + [2] * 60 and len(got) == len(docs)

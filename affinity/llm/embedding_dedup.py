@@ -15,8 +15,9 @@ leader puts the whole ball in reach or out of reach needs no more; for the rest
 are compared. So a dense cluster never becomes a list of its pairs. A task returns the
 number of links of each query, and of the links themselves only a spanning forest.
 
-Shards hold at most ``SHARD`` points, so tasks stay bounded; the number of shards that
-every point queries grows with the data.
+Shards hold about ``SHARD`` points or ``SHARD_BYTES`` of components, whichever is less, so
+tasks stay bounded for vectors of any length; the number of shards that every point
+queries grows with the data.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing, and so do rows without an id; vectors link only with ones of their length.
@@ -37,7 +38,8 @@ from .components import components
 from .exchange import forest
 from .hnsw import Graph, unit
 
-SHARD, LEAST_SHARDS = 100_000, 6
+#: An Arrow cell holds a shard's vectors, and must stay under 2 GB.
+SHARD, SHARD_BYTES, LEAST_SHARDS = 100_000, 256 << 20, 6
 AUDIT, RECALL = 256, 0.99
 #: Beam at first and at most, how far below the threshold links are followed, queries at a time.
 BEAM, WIDEST, SLACK, CHUNK = 32, 512, 0.05, 2048
@@ -159,6 +161,11 @@ class Shard:
         return links, a, b
 
 
+def shards_for(points: int, components: int, itemsize: int) -> int:
+    """Shards for so many points that have so many components together."""
+    return max(LEAST_SHARDS, -(-points // SHARD), -(-components * itemsize // SHARD_BYTES))
+
+
 def near_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = prepare(vectors.sparkSession)
@@ -175,7 +182,8 @@ def near_pairs(vectors: DataFrame, least: float) -> DataFrame:
         .checkpoint()
     )
     kind = np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else np.float64
-    shards = max(LEAST_SHARDS, -(-points.count() // SHARD))
+    size = points.agg(F.count(F.lit(1)).alias("points"), F.coalesce(F.sum("dim"), F.lit(0)).alias("components")).first()
+    shards = shards_for(size.points, size.components, np.dtype(kind).itemsize)
     dealt = points.select("rep", "weight", "embedding", "dim", F.pmod("point", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("block"))
 
     def stacked(vectors: pd.Series) -> np.ndarray:

@@ -116,3 +116,16 @@ def test_audit_leaves_self_matches_out(monkeypatch):
     x = np.concatenate([x, moved(x, 0.95)])
     monkeypatch.setattr(Graph, "within", lambda self, q, *_: tuple(np.nonzero(q @ self.x.T > 0.99999)))
     assert shard_of(x).beam(x, np.arange(400) * 3, 0.9) is None
+
+
+def test_wide_vectors_make_more_shards(spark, monkeypatch):
+    assert embedding_dedup.shards_for(1000, 64_000, 4) == embedding_dedup.LEAST_SHARDS
+    assert embedding_dedup.shards_for(1_000_000, 64_000_000, 4) == 10
+    for dim in (64, 4096, 100_000):
+        shards = embedding_dedup.shards_for(1_000_000, 1_000_000 * dim, 8)
+        assert 1_000_000 / shards * dim * 8 <= embedding_dedup.SHARD_BYTES and 1_000_000 / shards <= embedding_dedup.SHARD
+    monkeypatch.setattr(embedding_dedup, "SHARD_BYTES", 12 * 4 * 40)
+    data = rows(10)
+    monkeypatch.setattr(embedding_dedup, "LEAST_SHARDS", 1)
+    assert embedding_dedup.shards_for(500, 500 * 12, 4) == 13
+    assert result(spark, data) == brute(data, 0.9)

@@ -122,9 +122,10 @@ def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({c: pd.Series(dtype=object) for c in names})
 
 
-def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, buckets: int) -> DataFrame:
-    """(bucket, cuts): packed windows to remove, by bucket of their documents;
-    ``dealt`` is ``docs`` with the bucket."""
+def repeat_cuts(docs: DataFrame, dealt: DataFrame, name: str, length: int, marked: bool, buckets: int) -> DataFrame:
+    """(bucket, cuts): packed windows to remove, by bucket of their documents; ``dealt``
+    has the documents with their bucket as column ``name``. It is the very frame that the
+    cuts are then applied to, so that Spark shuffles the texts once for both."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -195,7 +196,7 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
         return frame(rows, names)
 
     def fetch(texts: pa.Table, part: pa.Table) -> pa.Table:
-        own = int((texts if len(texts) else part)["bucket"][0].as_py())
+        own = int((texts[name] if len(texts) else part["bucket"])[0].as_py())
         rows = [(own * FINER, own, c, None, None, None) for c in part["cuts"].drop_null().to_pylist()]
         rows += [(t, None, None, None, None, m) for t, m in zip(part["task"].to_pylist(), part["members"].to_pylist(), strict=True) if m is not None]
         _, doc, mark, first, windows, anchor, flags = unpack_all(part["open"].drop_null().to_pylist(), OPEN)
@@ -203,7 +204,7 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
         made = lambda: pa.table([[r[k] for r in rows] for k in range(6)], schema=schema)
         if not len(doc) or not len(texts):
             return made()
-        known = texts["doc_id"].combine_chunks()
+        known = texts["doc_id"].cast(pa.int64()).combine_chunks()
         order = pa.compute.sort_indices(known)[: len(known) - known.null_count]  # nulls are last
         ids = known.take(order).to_numpy()
         data, at = tx.buffers(texts["text"].cast(pa.large_string()).take(order))
@@ -292,7 +293,7 @@ def repeat_cuts(docs: DataFrame, dealt: DataFrame, length: int, marked: bool, bu
 
     sent = docs.where("doc_id is not null").mapInArrow(gather, "bucket int, entries binary, cuts binary")
     decided = sent.groupBy("bucket").applyInPandas(decide, "bucket int, cuts binary, open binary, task int, members binary")
-    fetched = dealt.groupBy("bucket").cogroup(decided.groupBy("bucket")).applyInArrow(
+    fetched = dealt.groupBy(name).cogroup(decided.groupBy("bucket")).applyInArrow(
         fetch, "task int, bucket int, cuts binary, pieces binary, bytes binary, members binary"
     )
     return fetched.groupBy("task").applyInPandas(match, "bucket int, cuts binary")
@@ -340,8 +341,9 @@ def planned(docs: DataFrame, length: int) -> tuple[GroupedData, GroupedData, boo
     buckets = 8 * splits(docs) | 1
     marked = bool(slim.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
     own = free_name(docs)
-    cuts = repeat_cuts(slim, with_bucket(slim, buckets), length, marked, buckets)
-    return with_bucket(docs, buckets, own).groupBy(own), cuts.groupBy("bucket"), marked
+    dealt = with_bucket(docs, buckets, own)
+    cuts = repeat_cuts(slim, dealt, own, length, marked, buckets)
+    return dealt.groupBy(own), cuts.groupBy("bucket"), marked
 
 
 def dedup(docs: DataFrame, length: int = 50, whole_characters: bool = False) -> DataFrame:

@@ -189,3 +189,20 @@ def test_evaluation_ranks_hybrid_lists(spark, monkeypatch):
     held = {r.item_id for r in seen["test"].collect()}
     got = [r.item_id for r in seen["recs"].orderBy("rank").collect()]
     assert held and got == sorted(held | set(range(31, 41)))[:10]
+
+
+def test_kept_frames_use_the_folder_given_to_the_context(spark, tmp_path):
+    """Where the setting is empty; the setting of a running session can't be changed, so it is stood in for."""
+    from types import SimpleNamespace
+
+    from affinity.operators import kept
+
+    session = lambda named: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=spark.sparkContext)
+    before = spark.sparkContext._jsc.sc().getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        assert str(tmp_path) in kept.work_path(session(""), "x")
+        assert kept.work_path(session("/named"), "x").startswith("/named/x-")
+    finally:
+        if before.isDefined():
+            spark.sparkContext.setCheckpointDir(before.get())

@@ -401,3 +401,15 @@ def test_workers_find_the_package(spark):
     kept.workers_find_package(spark)
     paths = spark.sparkContext.environment["PYTHONPATH"].split(os.pathsep)
     assert sum(os.path.exists(f"{p}/affinity/operators/kept.py") for p in paths) >= 1 and len(paths) == len(set(paths))
+
+
+def test_sums_over_candidates_are_those_of_the_pairs(spark):
+    users = spark.createDataFrame([(1,), (2,), (2,), (None,)], "user_id long")
+    items = spark.createDataFrame([(5,), (7,), (7,), (None,)], "item_id long")
+    plain = users.crossJoin(items).groupBy("user_id").agg(F.count(F.lit(1)).alias("items"), F.sum("item_id").alias("ids"))
+    by_id = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert by_id(factors.candidate_sums(users, items)) == by_id(plain)
+    assert factors.candidate_sums(users, items.limit(0)).count() == 0
+    # No step of the plan pairs users with items: work follows the two tables, not their product.
+    many = factors.candidate_sums(spark.range(200_000).withColumnRenamed("id", "user_id"), spark.range(200_000).withColumnRenamed("id", "item_id"))
+    assert many.agg(F.sum("items")).first()[0] == 200_000**2

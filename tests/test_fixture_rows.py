@@ -413,3 +413,12 @@ def test_sums_over_candidates_are_those_of_the_pairs(spark):
     # No step of the plan pairs users with items: work follows the two tables, not their product.
     many = factors.candidate_sums(spark.range(200_000).withColumnRenamed("id", "user_id"), spark.range(200_000).withColumnRenamed("id", "item_id"))
     assert many.agg(F.sum("items")).first()[0] == 200_000**2
+
+
+def test_ratings_are_found_once_for_a_query(spark):
+    from affinity.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.ratings() is t.ratings()
+    plan = t.ratings()._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "Window" not in plan

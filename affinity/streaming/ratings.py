@@ -27,6 +27,11 @@ def bucket_of(buckets: int):
     return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
 
 
+def files_of(rows: int) -> int:
+    """An even number of files of at most ``ROWS`` rows or so, for two equal batches."""
+    return 2 * max(1, -(-rows // (2 * ROWS)))
+
+
 def last_changes(rows: DataFrame, order: list[str]) -> DataFrame:
     """The last row of each user and item by ``order``."""
     last = F.row_number().over(Window.partitionBy(*KEY).orderBy(*[F.desc(c) for c in order]))

@@ -422,3 +422,11 @@ def test_ratings_are_found_once_for_a_query(spark):
     assert t.ratings() is t.ratings()
     plan = t.ratings()._jdf.queryExecution().toString()
     assert "lineitem" not in plan and "Window" not in plan
+
+
+def test_change_files_have_bounded_rows():
+    from affinity.streaming import ratings as stream
+
+    for rows in (0, 1, 600_000, 3_600_000, 216_000_000):
+        files = stream.files_of(rows)
+        assert files % 2 == 0 and files >= 2 and rows <= files * stream.ROWS < rows + 2 * stream.ROWS + 1

@@ -430,3 +430,12 @@ def test_change_files_have_bounded_rows():
     for rows in (0, 1, 600_000, 3_600_000, 216_000_000):
         files = stream.files_of(rows)
         assert files % 2 == 0 and files >= 2 and rows <= files * stream.ROWS < rows + 2 * stream.ROWS + 1
+
+
+def test_vectors_keep_single_precision_and_products_are_of_doubles(spark):
+    from affinity.sources.tables import Tables
+
+    assert dict(Tables(spark, "/root/testdata/sf0.001").item_factors().dtypes)["features"] == "array<float>"
+    one = spark.sql("SELECT array(CAST(0.1 AS FLOAT), CAST(3e38 AS FLOAT)) AS a").select(fx.dot("a", "a").alias("d")).first().d
+    x, y = (float(v) for v in spark.sql("SELECT CAST(CAST(0.1 AS FLOAT) AS DOUBLE), CAST(CAST(3e38 AS FLOAT) AS DOUBLE)").first())
+    assert one == x * x + y * y

@@ -439,3 +439,20 @@ def test_vectors_keep_single_precision_and_products_are_of_doubles(spark):
     one = spark.sql("SELECT array(CAST(0.1 AS FLOAT), CAST(3e38 AS FLOAT)) AS a").select(fx.dot("a", "a").alias("d")).first().d
     x, y = (float(v) for v in spark.sql("SELECT CAST(CAST(0.1 AS FLOAT) AS DOUBLE), CAST(CAST(3e38 AS FLOAT) AS DOUBLE)").first())
     assert one == x * x + y * y
+
+
+def test_sides_of_tiles_grow_with_the_tables(spark, monkeypatch):
+    assert factors.tile_side(100, 100) == factors.BLOCK and factors.tile_side(900_000, 1_200_000) == factors.SIDE
+    sent = lambda n: n * -(-n // factors.tile_side(n, n))  # noqa: E731  (rows sent to tiles)
+    assert sent(1_200_000) < 20 * 1_200_000
+    for name, value in (("BLOCK", 3), ("SIDE", 7), ("TILES", 2), ("ROWS", 2)):
+        monkeypatch.setattr(factors, name, value)
+    frame = lambda key, k: spark.createDataFrame([(i, [float(i * k % 7), float(i % 3)], i / 100) for i in range(1, 24)], f"{key} long, features array<double>, bias double")
+    users, items = frame("id", 3), frame("item_id", 5)
+    seen = spark.createDataFrame([(1, 4), (2, 9), (23, 1)], "id long, item_id long")
+    got = factors.top_n(factors.best_in_blocks(users, items, seen, 4, 0.0, (-99.0, 99.0), "s"), "s", 4, "id").collect()
+    rows = lambda df, key: {r[key]: (list(r.features), r.bias) for r in df.collect()}
+    left, right, gone = rows(users, "id"), rows(items, "item_id"), {tuple(r) for r in seen.collect()}
+    for u, (p, a) in left.items():
+        want = sorted((-round(a + b + sum(x * y for x, y in zip(p, q, strict=True)), 6), i) for i, (q, b) in right.items() if (u, i) not in gone)[:4]
+        assert [(-r.s, r.item_id) for r in sorted((r for r in got if r.id == u), key=lambda r: r["rank"])] == want

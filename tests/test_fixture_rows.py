@@ -456,3 +456,12 @@ def test_sides_of_tiles_grow_with_the_tables(spark, monkeypatch):
     for u, (p, a) in left.items():
         want = sorted((-round(a + b + sum(x * y for x, y in zip(p, q, strict=True)), 6), i) for i, (q, b) in right.items() if (u, i) not in gone)[:4]
         assert [(-r.s, r.item_id) for r in sorted((r for r in got if r.id == u), key=lambda r: r["rank"])] == want
+
+
+def test_terms_are_counted_beside_their_text(spark):
+    texts = [(1, "red red fox red fox"), (1, "fox den"), (2, "the of"), (3, None), (4, ""), (5, "den den den")]
+    documents = spark.createDataFrame(texts, "item_id long, text string")
+    got = {(r.item_id, r.term): r.tf for r in content.term_counts(documents).collect()}
+    assert got == {(1, "red"): 3, (1, "fox"): 3, (1, "den"): 1, (1, "red red"): 1, (1, "red fox"): 2, (1, "fox red"): 1, (1, "fox den"): 1, (5, "den"): 3, (5, "den den"): 2}
+    plan = content.term_counts(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(item_id" in plan and "term" not in plan.split("Exchange hashpartitioning")[1].split(")")[0]

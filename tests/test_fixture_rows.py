@@ -465,3 +465,36 @@ def test_terms_are_counted_beside_their_text(spark):
     assert got == {(1, "red"): 3, (1, "fox"): 3, (1, "den"): 1, (1, "red red"): 1, (1, "red fox"): 2, (1, "fox red"): 1, (1, "fox den"): 1, (5, "den"): 3, (5, "den den"): 2}
     plan = content.term_counts(documents)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "hashpartitioning(item_id" in plan and "term" not in plan.split("Exchange hashpartitioning")[1].split(")")[0]
+
+
+def test_items_are_sent_as_few_bytes_to_few_tasks(spark, monkeypatch):
+    """Vectors of counts and of weights give the same tiles, a task keeps the best over the parts of its
+    block, and blocks don't grow with the items until their entries do."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [(i, " ".join(r.choice(words[: r.randint(2, 60)]) for _ in range(r.randint(1, 40)))) for i in range(40)] + [(77, "w1 " * 70_000), (78, "")]
+    docs = spark.createDataFrame(texts, "item_id long, text string")
+    v, w = content.tfidf_vectors(docs), content.tfidf(docs)
+    want = {(x.item_id, x.w) for x in w.collect()}
+    (packed, idf), (plain, none) = tiles.coded(v), tiles.coded(tiles.vectors(w))
+    assert idf is not None and none is None
+    for frame, table in ((packed, idf), (plain, None)):
+        got = pa.Table.from_batches(frame.toArrow().to_batches(max_chunksize=7))
+        tile = tiles.Tile.of(got, table)
+        assert {(i, x) for i, a, b in zip(got["item_id"].to_pylist(), tile.at[:-1], tile.at[1:]) for x in tile.ws[a:b]} == want
+        assert all((np.diff(tile.terms[a:b]) > 0).all() for a, b in zip(tile.at[:-1], tile.at[1:]))
+    assert sum(len(x.v) for x in packed.collect()) == 8 * w.count()
+    ratings = spark.createDataFrame([(u, i, r.choice([1.0, 4.0, 5.0])) for u in range(30) for i in r.sample(range(40), 5)], "user_id long, item_id long, rating double")
+    lists = lambda: {(x.user_id, x["rank"]): (x.item_id, x.similarity) for x in content.recommend_content(ratings, v, ratings, 4).collect()}
+    near = lambda: {(x.item_id, x["rank"]): (x.other_id, x.similarity) for x in content.similar_items(v, 4).collect()}
+    whole = lists(), near()
+    for name, value in (("CELLS", 90), ("BLOCK", 5), ("TILES", 3), ("STRIPE", 4)):
+        monkeypatch.setattr(tiles, name, value)
+    assert (lists(), near()) == whole
+    monkeypatch.undo()
+    assert tiles.blocks_of(120_000, 26_000_000, tiles.TILES) <= 32 and tiles.blocks_of(1_200_000, 260_000_000, tiles.TILES) <= 32

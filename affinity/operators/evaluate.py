@@ -59,8 +59,9 @@ def catalog_coverage(recs: DataFrame, items: DataFrame) -> DataFrame:
 def intralist_diversity(recs: DataFrame, items: DataFrame, k: int = s.TOP_K) -> DataFrame:
     """Mean of 1 - genre Jaccard over the pairs of a list, then over users with a pair."""
     sets = recs.where(F.col("rank") <= k).join(items.select(F.col("id").alias("item_id"), delimited("genres", r"\|").alias("g")), "item_id").select("user_id", "rank", "g")
-    other = sets.select("user_id", F.col("rank").alias("later"), F.col("g").alias("h"))
-    pairs = sets.join(other, "user_id").where("rank < later")
+    whole = sets.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "g"))).alias("x"))  # k sets at most
+    later = lambda a: F.transform(F.filter("x", lambda b: b["rank"] > a["rank"]), lambda b: F.struct(a["g"].alias("g"), b["g"].alias("h")))
+    pairs = whole.select("user_id", F.inline(F.flatten(F.transform("x", later))))
     each = pairs.groupBy("user_id").agg(F.avg(1 - jaccard(F.col("g"), F.col("h"))).alias("d"))
     return each.agg(F.round(F.coalesce(F.avg("d"), F.lit(0.0)), 6).alias("diversity"))
 

@@ -498,3 +498,31 @@ def test_items_are_sent_as_few_bytes_to_few_tasks(spark, monkeypatch):
     assert (lists(), near()) == whole
     monkeypatch.undo()
     assert tiles.blocks_of(120_000, 26_000_000, tiles.TILES) <= 32 and tiles.blocks_of(1_200_000, 260_000_000, tiles.TILES) <= 32
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_popular_lists_read_few_places_and_rows(spark, monkeypatch, few):
+    """Against all pairs, with a user who has rated all but two items and a repeated rating; there is no row
+    for each place that a user tries, and lists are made once for the pairs in them."""
+    import random
+
+    monkeypatch.setattr(recommend, "FEW", few)
+    r = random.Random(2)
+    rated = [(u, i) for u in range(-1, 20) for i in r.sample(range(40), r.randint(1, 12))] + [(50, i) for i in range(38)] + [(50, 3)]
+    scores = [(i, float(i % 7)) for i in range(40)]
+    watched = spark.createDataFrame(rated, "user_id long, item_id long")
+    users = spark.createDataFrame([(u,) for u in [*range(-1, 25), 50, 50]], "user_id long")
+    lists = recommend.popularity_topn(users, spark.createDataFrame(scores, "item_id long, popularity_score double"), watched, 6)
+    want = {}
+    for u in [*range(-1, 25), 50]:
+        open_ = [(-x, i) for i, x in scores if u <= 0 or (u, i) not in rated]
+        want |= {(u, k + 1): (i, -x) for k, (x, i) in enumerate(sorted(open_)[:6])}
+    got = lists.collect()
+    assert {(x.user_id, x["rank"]): (x.item_id, x.popularity_score) for x in got} == want and len(got) == len(want)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan(lists) and "row_number" not in plan(lists)
+    items = spark.createDataFrame([(i, f"A|{'BCD'[i % 3]}") for i in range(40)], "id long, genres string")
+    diversity = evaluate.intralist_diversity(lists, items)
+    pairs = {u: [0.0 if want[u, a][0] % 3 == want[u, b][0] % 3 else 2 / 3 for a in range(1, 7) for b in range(a + 1, 7) if (u, b) in want] for u in {u for u, _ in want}}
+    assert diversity.first()[0] == pytest.approx(sum(sum(p) / len(p) for p in pairs.values()) / len(pairs), abs=1e-6)
+    assert plan(diversity).count("array_except") == 1

@@ -206,3 +206,19 @@ def test_kept_frames_use_the_folder_given_to_the_context(spark, tmp_path):
     finally:
         if before.isDefined():
             spark.sparkContext.setCheckpointDir(before.get())
+
+
+def test_factors_lie_in_rows_of_bounded_size(spark, monkeypatch):
+    """A row holds at most ``PIECE`` ids however many a block has, and when factors are kept doesn't change them."""
+    rows = [(i, j, float((i * j) % 9) / 2 + 0.5) for i in range(3000) for j in (i % 60, (i * 7 + 1) % 60)]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    monkeypatch.setattr(sgd, "CELL", 2000)
+    made = []
+    for turns in (8, 1):
+        monkeypatch.setattr(sgd, "TURNS", turns)
+        training = sgd.epochs(sgd.start(ratings, sgd.Options(rank=3)), 1)
+        sizes = training.state.select("kind", F.size("ids").alias("n"), F.length("features").alias("bytes")).collect()
+        assert training.blocks == 2 and max(x.n for x in sizes) <= 1024 < max(sum(x.n for x in sizes if x.kind == k) for k in ("user", "item")) / 2
+        assert all(x.bytes == 24 * x.n for x in sizes) and sum(x.n for x in sizes) == 3060
+        made.append(sorted((x.user_id, x.bias, tuple(x.features)) for x in sgd.model(training)["users"].collect()))
+    assert made[0] == made[1]

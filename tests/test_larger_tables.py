@@ -2,17 +2,49 @@
 
 import glob
 
+import numpy as np
 import pyarrow.parquet as pq
 
-from affinity.operators import content, kept
+from affinity.operators import content, kept, tiles
 
 
 def test_kept_counts_share_beginnings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(kept, "work_path", lambda _, name: f"file://{tmp_path}/{name}")
     rows = [(k, " ".join(f"word{(k * 7 + j * j) % 400}" for j in range(120))) for k in range(60)]
     content.weighed(spark.createDataFrame(rows, "item_id long, text string"), None)
-    for file in glob.glob(f"{tmp_path}/counts/*.parquet"):
+    files = glob.glob(f"{tmp_path}/counts/*.parquet")
+    assert files
+    for file in files:
         found = pq.ParquetFile(file).metadata
         for column in (found.row_group(g).column(c) for g in range(found.num_row_groups) for c in range(found.num_columns)):
             assert column.compression == "ZSTD"
             assert "term" not in column.path_in_schema or "DELTA_BYTE_ARRAY" in column.encodings
+
+
+def test_lists_found_in_single_precision_are_exact():
+    """Values that single precision can't tell apart, or that very many share, come in order of exact value and column."""
+    rng = np.random.default_rng(3)
+    for exact in (0.5 + rng.integers(-40, 40, (30, 400)) * 1e-9, np.full((30, 400), 0.25), rng.random((30, 400)) * (rng.random((30, 400)) < 0.02)):
+        near = tiles.Candidates(7, np.full(30, 1e-6), lambda r, c, exact=exact: exact[r, c])
+        near.limit = 3000
+        for j in range(0, 400, 50):
+            for i in range(0, 30, 8):
+                near.add(i, exact[i : i + 8, j : j + 50].astype(np.float32), j)
+        row, column, value = near.found()
+        want = [(k, c, exact[k, c]) for k in range(30) for c in np.argsort(-exact[k], kind="stable")[:7] if exact[k, c] > 0]
+        assert list(zip(row, column, value, strict=True)) == want
+        assert sum(len(x[0]) for x in near.parts) <= 3000 + 8 * 50
+
+
+def test_dense_terms_and_pairs_give_the_same_product():
+    rng = np.random.default_rng(5)
+    rows = [np.flatnonzero(rng.random(90) < 0.9 / (1 + np.arange(90) / 6)) for _ in range(70)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    tile = tiles.Tile(at, np.concatenate(rows), rng.random(at[-1]))
+    whole = np.zeros((70, 90))
+    whole[tile.rows(), tile.terms] = tile.ws
+    assert 0 < tiles.dense_terms(tile, tile) <= 90
+    for hot in (0, 5, 90, 200):
+        for kind, wrong in ((np.float64, 1e-12), (np.float32, 1e-4)):
+            got = tiles.Columns(tile.part(0, 40), hot, kind).times(tile)
+            assert got.dtype == kind and np.abs(got - whole @ whole[:40].T).max() < wrong

@@ -5,7 +5,7 @@ import glob
 import numpy as np
 import pyarrow.parquet as pq
 
-from affinity.operators import content, kept, tiles
+from affinity.operators import content, factors, kept, tiles
 
 
 def test_kept_counts_share_beginnings(spark, tmp_path, monkeypatch):
@@ -48,3 +48,20 @@ def test_dense_terms_and_pairs_give_the_same_product():
         for kind, wrong in ((np.float64, 1e-12), (np.float32, 1e-4)):
             got = tiles.Columns(tile.part(0, 40), hot, kind).times(tile)
             assert got.dtype == kind and np.abs(got - whole @ whole[:40].T).max() < wrong
+
+
+def test_equal_vectors_are_scored_once(spark, monkeypatch):
+    """Lists over rows that share a few vectors agree with all pairs; ties go by id, and what was seen is left out."""
+    monkeypatch.setattr(factors, "BLOCK", 60)
+    first, kind = factors.alike(np.array([[1.0, 2.0], [1.0, 2.0], [0.0, 2.0]]), np.array([0.5, 0.5, 0.5]))
+    assert len(first) == 2 and kind[0] == kind[1] != kind[2]
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(9, 3)).round(2)
+    frame = lambda key, n, k: spark.createDataFrame([(i, [float(x) for x in vectors[i * k % 9]], (i * k % 9) / 100) for i in range(1, n)], f"{key} long, features array<double>, bias double")
+    users, items = frame("id", 120, 1), frame("item_id", 150, 7)
+    pairs = {(int(u), int(i)) for u, i in zip(rng.integers(1, 125, 400), rng.integers(1, 160, 400), strict=True)} | {(5, i) for i in range(1, 148)}
+    got = factors.top_n(factors.best_in_blocks(users, items, spark.createDataFrame(sorted(pairs), "id long, item_id long"), 4, 1.0, (-0.5, 1.5), "s"), "s", 4, "id").collect()
+    for u in range(1, 120):
+        score = lambda i: round(min(max(1.0 + u % 9 / 100 + i * 7 % 9 / 100 + float(vectors[u % 9] @ vectors[i * 7 % 9]), -0.5), 1.5), 6)  # noqa: B023, E731
+        want = sorted((-score(i), i) for i in range(1, 150) if (u, i) not in pairs)[:4]
+        assert [(-r.s, r.item_id) for r in sorted((r for r in got if r.id == u), key=lambda r: r["rank"])] == want

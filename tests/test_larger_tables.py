@@ -5,6 +5,7 @@ import glob
 import numpy as np
 import pyarrow.parquet as pq
 
+from affinity.llm import exchange, suffix_dedup
 from affinity.operators import content, factors, kept, tiles
 
 
@@ -65,3 +66,13 @@ def test_equal_vectors_are_scored_once(spark, monkeypatch):
         score = lambda i: round(min(max(1.0 + u % 9 / 100 + i * 7 % 9 / 100 + float(vectors[u % 9] @ vectors[i * 7 % 9]), -0.5), 1.5), 6)  # noqa: B023, E731
         want = sorted((-score(i), i) for i in range(1, 150) if (u, i) not in pairs)[:4]
         assert [(-r.s, r.item_id) for r in sorted((r for r in got if r.id == u), key=lambda r: r["rank"])] == want
+
+
+def test_anchors_are_sent_in_few_bytes():
+    rng = np.random.default_rng(2)
+    texts = np.concatenate([[0], np.cumsum(rng.integers(200, 900, 500))])
+    columns = list(suffix_dedup.regions(rng.integers(97, 123, texts[-1]).astype(np.uint8), texts, 50))
+    order = np.lexsort((columns[2], columns[1], columns[0]))
+    sent = sum(len(p) for _, p in exchange.scatter([columns[0][order]], 3))
+    assert sent / len(order) < 3.9
+    assert len(np.unique(columns[0])) > 0.85 * len(order)  # they still tell strings apart; a string cut at LONGEST has one anchor twice
